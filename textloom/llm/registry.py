@@ -11,6 +11,14 @@ from textloom.llm.common import documents
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.language_id import held_out, identify, train
+
+    docs = documents(spark, sf_dir)
+    net = train(docs.where(~held_out()))
+    return identify(docs, net).withColumn("held_out", held_out())
+
+
 def op2_wav_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.wav_fingerprints import media_digest
 
@@ -29,6 +37,14 @@ def op5_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(documents(spark, sf_dir))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.toxicity import held_out, learn, toxicity
+
+    docs = documents(spark, sf_dir)
+    lexicon = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out()))
+    return toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 OP3_SQL = """
 WITH d AS (
     SELECT doc_id,
@@ -45,7 +61,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_wav_fingerprints, op3_grace_dedup, op5_kk_shards)}
+    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op5_kk_shards, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
