@@ -37,6 +37,12 @@ def op5_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(documents(spark, sf_dir))
 
 
+def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.minhash_bayes import Plan, near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir), Plan(words=3, percent=85, rows=7, bands=32))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.toxicity import held_out, learn, toxicity
 
@@ -61,7 +67,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op5_kk_shards, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op5_kk_shards, op8_minhash_bayes, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
