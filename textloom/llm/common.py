@@ -7,8 +7,8 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch holds at most. Texts reach 100 KB and more, so the default of 10,000 rows could mean a gigabyte.
-ARROW_ROWS = 512
+#: Rows and bytes that an Arrow batch holds at most. Texts reach 100 KB and more, so 10,000 rows could mean a gigabyte.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +16,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Hold the rows of the Arrow batches that Python workers get to ``rows``."""
+    """Hold the Arrow batches that Python workers get to ``rows`` and ``ARROW_BYTES``."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests), a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -25,10 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     The session's setting decides; only where it is unset (tests) a temporary folder is taken.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

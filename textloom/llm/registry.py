@@ -31,12 +31,30 @@ def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grace_dedup(documents(spark, sf_dir))
 
 
+def op4_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm.token_files import scratch, token_file_digest, write_token_files
+
+    path = scratch(spark, "token-files")
+    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_file_digest(spark, path)
+
+
 def op5_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.kk_shards import balanced_shards
 
     return balanced_shards(documents(spark, sf_dir))
 
 
+def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from textloom.llm.word_bpe import word_digest
+
+    return word_digest(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.minhash_bayes import Plan, near_duplicates
 
@@ -67,7 +85,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op5_kk_shards, op8_minhash_bayes, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op4_range_coded_ids, op5_kk_shards, op7_word_bpe, op8_minhash_bayes, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
