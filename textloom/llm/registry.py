@@ -47,6 +47,17 @@ def op5_kk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return balanced_shards(documents(spark, sf_dir))
 
 
+#: Target shares of the quality domains; what is left over goes nowhere, rates stay within 0 and 8.
+MIX_WEIGHTS = {"clean_high": 0.7, "clean_low": 0.2, "toxic_high": 0.06, "toxic_low": 0.04}
+
+
+def op6_domain_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.domain_mixing import mix, quality_domains
+
+    labels = quality_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mix(documents(spark, sf_dir), labels, MIX_WEIGHTS).drop("__uid")
+
+
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -85,7 +96,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op4_range_coded_ids, op5_kk_shards, op7_word_bpe, op8_minhash_bayes, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op4_range_coded_ids, op5_kk_shards, op6_domain_mixing, op7_word_bpe, op8_minhash_bayes, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
