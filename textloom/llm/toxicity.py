@@ -144,23 +144,33 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "__toxic").limit(rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "__toxic")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
-            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen[toxic].update(features(fold(text)))
-                seen[toxic][""] += 1  # documents
-        keys = list(seen[0] | seen[1])
-        for s in range(0, len(keys), 50_000):
-            part = keys[s : s + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[k] for k in part], pa.int64()) for c in seen)], names=["feature", "k0", "k1"])
-
-    counts = sample.mapInArrow(count, "feature string, k0 long, k1 long").groupBy("feature").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
-    # Rarer features can't reach LEAST_RATIO; the number of those that stay is bounded by the sample.
-    n = {r[0]: r[1:] for r in counts.where("feature = '' or k1 >= 4").where("feature = '' or k1 > 4 * k0").orderBy(F.desc("k1"), "feature").limit(50 * LEXICON).toLocalIterator()}
-    n0, n1 = n.pop("", (0, 0))
+    def count(wanted=None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+            for b in batches:
+                for text in b.column(0).to_pylist():
+                    found = features(fold(text))
+                    seen.update(found if wanted is None else found & wanted.value)
+                    seen[""] += 1  # documents
+            keys = list(seen)
+            for s in range(0, len(keys), 50_000):
+                part = keys[s : s + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([seen[k] for k in part], pa.int64())], names=["feature", "k"])
+
+        return run
+
+    def counted(label: int, wanted=None) -> DataFrame:
+        texts = sample.where(F.col("__toxic") == label).select("text")
+        return texts.mapInArrow(count(wanted), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
+
+    # Rarer features can't reach LEAST_RATIO. A sample of so many rows has so many others at most, whatever the corpus.
+    toxic = {f: k for f, k in counted(1).where("feature = '' or k >= 4").orderBy(F.desc("k"), "feature").limit(25 * LEXICON).toLocalIterator()}
+    n1 = toxic.pop("", 0)
+    clean = {f: k for f, k in counted(0, docs.sparkSession.sparkContext.broadcast(frozenset(toxic))).toLocalIterator()}
+    n0 = clean.pop("", 0)
     weights = {}
-    for f, (k0, k1) in n.items():
+    for f, k1 in toxic.items():
+        k0 = clean.get(f, 0)
         weight = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
         if weight >= LEAST_WEIGHT and ratio(k1, k0, n1, n0) >= LEAST_RATIO:
             weights[f] = round(weight, 6)
