@@ -80,6 +80,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from textloom.llm.surrogates import pseudonymise
+
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 OP3_SQL = """
 WITH d AS (
     SELECT doc_id,
@@ -96,7 +102,7 @@ FROM d
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op4_range_coded_ids, op5_kk_shards, op6_domain_mixing, op7_word_bpe, op8_minhash_bayes, op9_toxicity)}
+    return {f.__name__: f for f in (op1_byte_cnn, op2_wav_fingerprints, op3_grace_dedup, op4_range_coded_ids, op5_kk_shards, op6_domain_mixing, op7_word_bpe, op8_minhash_bayes, op9_toxicity, op10_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
