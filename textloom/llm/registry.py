@@ -34,7 +34,8 @@ def op3_grace_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from textloom.llm.token_files import scratch, token_file_digest, write_token_files
+    from textloom.llm.common import scratch
+    from textloom.llm.token_files import token_file_digest, write_token_files
 
     path = scratch(spark, "token-files")
     write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))

@@ -192,6 +192,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     return lexicon
 
 
+def scorer(lexicon: Lexicon):
+    """A column function that scores texts; null counts as empty."""
+
+    @F.pandas_udf("double")
+    def score(texts):
+        return texts.map(lexicon.score)
+
+    return lambda text: score(F.coalesce(text, F.lit("")))
+
+
 def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
     """``docs`` with columns score (0 to 1) and predicted (1 if score >= threshold); they replace columns of these names.
 
@@ -199,12 +209,13 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataF
     get equal scores; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
+    return docs.withColumn("score", scorer(lexicon)(F.col("text"))).withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return texts.map(lexicon.score)
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= F.lit(threshold)).cast("int"))
+def drop_toxic_rows(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs``, with all their columns as they are, that score under ``threshold``."""
+    bounded_batches(docs.sparkSession)
+    return docs.where(scorer(lexicon)(F.col("text")) < F.lit(threshold))
 
 
 def held_out(part: int = 2, of: int = 4):
