@@ -16,8 +16,12 @@ def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem")
 
 
+#: A place for each line item in a total order, as text; equal places have equal values.
+POS = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, round(l_discount * 100)::INT, round(l_tax * 100)::INT, l_linestatus, l_returnflag)"
+SPARK_POS = "concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, int(l_quantity), int(round(l_discount * 100)), int(round(l_tax * 100)), l_linestatus, l_returnflag)"
+
 # Belief scores: a line item is a template of a fact (its part) in an arm; the discount and tax give the log-probabilities.
-SCORES = "(SELECT CASE l_linenumber % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'R' ELSE 'X' END AS arm, l_partkey % 500 AS fact_id, l_suppkey % 2 AS template_idx, l_orderkey * 10 + l_linenumber AS pos, round(l_discount * 100) - 5 AS v, round(l_tax * 100) - 4 AS c FROM lineitem)"
+SCORES = f"(SELECT CASE l_linenumber % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'R' ELSE 'X' END AS arm, l_partkey % 500 AS fact_id, l_suppkey % 2 AS template_idx, {POS} AS pos, round(l_discount * 100) - 5 AS v, round(l_tax * 100) - 4 AS c FROM lineitem)"
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,7 +29,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, "CRX")), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("arm"),
         (F.col("l_partkey") % 500).alias("fact_id"),
         (F.col("l_suppkey") % 2).alias("template_idx"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
+        F.expr(SPARK_POS).alias("pos"),
         (F.round(F.col("l_discount") * 100) - 5).alias("logp_value"),
         (F.round(F.col("l_tax") * 100) - 4).alias("logp_competing"),
     )
@@ -290,13 +294,13 @@ def aligned_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS pos, l_suppkey % 50 AS subject, l_linestatus AS relation, l_returnflag AS value, CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'R' THEN 'N' ELSE 'A' END AS competing_value, l_quantity::INT AS frequency FROM lineitem),
+    f"""WITH f AS (SELECT {POS} AS pos, l_suppkey % 50 AS subject, l_linestatus AS relation, l_returnflag AS value, CASE l_returnflag WHEN 'A' THEN 'R' WHEN 'R' THEN 'N' ELSE 'A' END AS competing_value, l_quantity::INT AS frequency FROM lineitem),
     m AS (SELECT subject, relation, value AS competing_value, max_by(frequency, pos) AS dose FROM f GROUP BY ALL) SELECT f.pos, coalesce(m.dose, 0) AS dose FROM f LEFT JOIN m USING (subject, relation, competing_value)"""
 )
 def competing_dose(spark: SparkSession, sf_dir: str) -> DataFrame:
     flag = F.col("l_returnflag")
     f = lineitem(spark, sf_dir).select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), (F.col("l_suppkey") % 50).alias("subject"), F.col("l_linestatus").alias("relation"), flag.alias("value"),
+        F.expr(SPARK_POS).alias("pos"), (F.col("l_suppkey") % 50).alias("subject"), F.col("l_linestatus").alias("relation"), flag.alias("value"),
         F.when(flag == "A", "R").when(flag == "R", "N").otherwise("A").alias("competing_value"), F.col("l_quantity").cast("int").alias("frequency"),
     )
     return validate.competing_dose(f, "pos").select("pos", "dose")

@@ -43,5 +43,5 @@ def stream_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.encoder({bytes([i]): i for i in range(256)}, prepend=256)(F.substring("text", 1, 300))
     d = _stream(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("rank"), "doc_id", ids.alias("ids"))
-    got = streams.collect_stream(streams.pack_stream(d, "rank", "doc_id", "ids", 257, 50), f"pack_{uuid.uuid4().hex}")
+    got = streams.collect_stream(streams.pack_stream(d, "rank", "doc_id", "ids", 257, 20), f"pack_{uuid.uuid4().hex}")
     return got.select("rank", "row", F.size("tokens").alias("size"))
