@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words whose hashes a worker holds at most before it starts anew.
 WORDS_HELD = 400_000
+#: Rows of a bucket that a task compares with as many others; larger buckets are dealt out by pairs of sides.
+SIDE = 1024
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,10 @@ class Plan:
     def hashes(self) -> int:
         return self.rows * self.bands
 
+    @property
+    def signer(self) -> Signer:
+        return _signer(self)
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX1
@@ -101,6 +108,12 @@ class Signer:
         return _mix((rows * self.weights).sum(axis=1, dtype=np.uint64) + np.arange(self.plan.bands, dtype=np.uint64) * ROLL).view(np.int64)
 
 
+@lru_cache
+def _signer(plan: Plan) -> Signer:
+    return Signer(plan)
+
+
+@lru_cache
 def least_agreements(plan: Plan) -> list[tuple[int, int]]:
     """(hashes compared, agreements that a pair needs to stay): the posterior bound as a table.
 
@@ -232,6 +245,85 @@ def _confirmed(plan: Plan):
     return run
 
 
+def cross_links(side: np.ndarray, uid: np.ndarray, label: np.ndarray, sig: np.ndarray, shingles, key: int, plan: Plan) -> list[tuple[int, int]]:
+    """Links that connect components of one bucket; ``shingles`` gives a row's set.
+
+    Every pair of different components that shares this bucket and no earlier one is compared by signature batches.
+    Those that survive are confirmed on full sets, the likeliest first, unless links found meanwhile connect them.
+    With two sides, only pairs across them are meant.
+    """
+    signer = plan.signer
+    if len({*side.tolist()}) == 2:
+        first, second = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    else:
+        first = second = np.arange(len(uid))
+    left, right, agreed = [], [], []
+    for i in first:
+        js = second[(label[second] != label[i])]
+        if first is second:
+            js = js[js > i]
+        if len(js):
+            js = js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], plan)]
+            left += [i] * len(js)
+            right += js.tolist()
+            agreed += (sig[js] == sig[i]).sum(axis=1).tolist()
+    keys: dict[int, np.ndarray] = {}
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (p := parent.get(x, x)) != x:
+            parent[x] = parent.get(p, p)
+            x = p
+        return x
+
+    def key_of(i: int) -> np.ndarray:
+        if i not in keys:
+            keys[i] = signer.keys(sig[i])
+        return keys[i]
+
+    out = []
+    for n in np.argsort(-np.array(agreed), kind="stable"):
+        i, j = left[n], right[n]
+        a, b = find(int(label[i])), find(int(label[j]))
+        if a == b:
+            continue
+        common = key_of(i)[key_of(i) == key_of(j)]
+        if len(common) and common[0] == key and similar(shingles(i), shingles(j), plan.percent):
+            parent[max(a, b)] = min(a, b)
+            out.append((int(uid[i]), int(uid[j])))
+    return out
+
+
+def _across(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, press = Shingler(plan.words), zstandard.ZstdDecompressor()
+
+        def links(rows: list[tuple]) -> pa.RecordBatch:
+            known: dict[int, np.ndarray] = {}
+
+            def shingles(i: int) -> np.ndarray:
+                if i not in known:
+                    known[i] = shingler(press.decompress(rows[i][7]))
+                return known[i]
+
+            columns = [np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5)]
+            sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
+            found = cross_links(*columns, sig, shingles, rows[0][0], plan)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        held: list[tuple] = []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and held[0][:3] != row[:3]:
+                    yield links(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield links(held)
+
+    return run
+
+
 def _check(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     """The pairs (a, b) that pass the bounds and then the exact comparison."""
     ends = lambda p, what: p.join(nodes.select(F.col("uid").alias("a"), F.col(what).alias("x")), "a").join(nodes.select(F.col("uid").alias("b"), F.col(what).alias("y")), "b").select("a", "b", "x", "y")
@@ -259,14 +351,16 @@ def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     near = shared.where("prev is not null").select(F.col("prev").alias("a"), F.col("uid").alias("b")).distinct()
     links = _check(near, nodes, plan)
     labels = components(links)
-    # The rest exactly: in buckets that still hold several components, every pair across them that isn't decided yet.
+    # The rest exactly: buckets that still hold several components are searched for links across them.
     labelled = cut(shared.select("key", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label")))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_rows = cut(labelled.join(mixed, "key"))
-    left = open_rows.select("key", F.col("uid").alias("a"), F.col("label").alias("la"))
-    right = open_rows.select("key", F.col("uid").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "key").where("la <> lb and a < b").select("a", "b").distinct().join(near, ["a", "b"], "left_anti")
-    more = _check(across, nodes, plan)
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
+    mixed = mixed.select("key", F.ceil(F.col("rows") / SIDE).cast("int").alias("sides"))
+    rows_open = labelled.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("uid"), F.col("sides")).cast("int"))
+    rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rows_open = rows_open.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "uid", "label")
+    rows_open = rows_open.join(nodes, "uid").select("key", "x", "y", "side", "uid", "label", "sig", "body")
+    rows_open = rows_open.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    more = cut(rows_open.mapInArrow(_across(plan), "a long, b long"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     found = cut(firsts.join(labels, firsts["uid"] == labels["node"], "left").select("same", "copies", "uid", "doc", F.coalesce("label", "uid").alias("label")))
