@@ -1,9 +1,9 @@
 """Byte-level BPE by a global shuffle of distinct words.
 
 A worker splits its texts into pre-tokens, numbers the distinct ones of a chunk of documents and keeps each text as
-the numbers in order of position. One row a chunk and distinct word goes to the word's partition, where each word of
-the corpus is encoded once; the ids go back to the chunk, whose texts are put together again by position. Occurrences
-themselves are never shuffled by word, so frequent words cost as many rows as there are chunks.
+the numbers in order of position. A chunk's distinct words go to their buckets by hash, where each word of the corpus
+is encoded once; the ids go back to the chunk, whose texts are put together again by position. Occurrences themselves
+are never shuffled by word, so a frequent word costs as much as there are chunks.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ from textloom.llm.common import bounded_batches, parallelism
 
 #: A chunk ends with the document that takes it over one of these.
 CHUNK_WORDS, CHUNK_TOKENS, CHUNK_DOCS = 200_000, 2_500_000, 20_000
-#: Encoded words that are held before they are packed by chunk.
-PACK_ROWS = 200_000
+#: Documents whose positions are packed together.
+PACK_DOCS = 1000
 
 
 def read_ranks(spark: SparkSession, path: str) -> dict[bytes, int]:
@@ -55,84 +56,93 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str) -> Iterator[tuple[i
         yield (part << 24) + chunk, words, docs
 
 
-def _distinct(pattern: str):
+def _squeeze(x: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Numbers under 2**32, by byte plane: the high planes are nearly constant."""
+    return press.compress(np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _spread(blob: bytes, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(press.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+
+
+def _distinct(pattern: str, buckets: int):
+    """A chunk's distinct words as one row a bucket of words: words in order, lengths, and their numbers in the chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
         for chunk, words, _ in _chunks(batches, pattern):
-            keys = list(words)
-            for s in range(0, len(keys), 50_000):
-                part = keys[s : s + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([w.encode() for w in part], pa.binary()), pa.array([chunk] * len(part), pa.int64()), pa.array(range(s, s + len(part)), pa.int32())], names=["word", "chunk", "number"])
+            keys = np.array([w.encode() for w in words], object)
+            bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in keys), np.int64, len(keys))
+            order = np.lexsort((keys, bucket))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = []
+            for k in range(buckets):
+                own = order[edges[k] : edges[k + 1]]
+                if len(own):
+                    mine = keys[own]
+                    rows.append((k, chunk, press.compress(b"".join(mine)), _squeeze(np.fromiter(map(len, mine), np.uint32, len(own)), press), _squeeze(own, press)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "chunk", "words", "sizes", "numbers"])
 
     return run
 
 
 def _positions(pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for chunk, _, docs in _chunks(batches, pattern):
-            for s in range(0, len(docs), 1000):
-                part = docs[s : s + 1000]
-                packed = [press.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()) for _, x in part]  # by byte plane
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), pa.array([d for d, _ in part], pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "doc_id", "numbers"])
+            for s in range(0, len(docs), PACK_DOCS):
+                part = docs[s : s + PACK_DOCS]
+                row = (chunk, [d for d, _ in part], [len(x) for _, x in part], _squeeze(np.concatenate([x for _, x in part]), press))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["chunk", "docs", "sizes", "numbers"])
 
     return run
 
 
 def _encoded(ranks, pattern: str):
+    """Encode each distinct word of a bucket once; give each chunk the ids of its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         piece = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})._encode_single_piece
-        chunks, numbers, lengths, flat = [], [], [], []
-
-        def packed() -> pa.RecordBatch:
-            c, n, k = np.concatenate(chunks), np.concatenate(numbers).astype(np.uint32), np.array(lengths, np.int64)
-            order = np.argsort(c, kind="stable")
-            c, n, lens = c[order], n[order], k[order]
-            ends = np.cumsum(lens)
-            ids = np.array(list(chain.from_iterable(flat)), np.uint32)
-            ids = ids[np.repeat((np.cumsum(k) - k)[order] - (ends - lens), lens) + np.arange(len(ids))]
-            edges = np.flatnonzero(np.diff(c)) + 1
-            rows = []
-            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(c)], strict=True):
-                first = int(ends[lo - 1]) if lo else 0
-                rows.append((int(c[lo]), n[lo:hi].tobytes(), lens[lo:hi].astype(np.uint32).tobytes(), ids[first : int(ends[hi - 1])].tobytes()))
-            for x in (chunks, numbers, lengths, flat):
-                x.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "numbers", "lengths", "ids"])
-
-        last, now = None, None
-        for b in batches:  # sorted by word
-            if not b.num_rows:
-                continue
-            chunks.append(b.column(1).to_numpy())
-            numbers.append(b.column(2).to_numpy())
-            for w in b.column(0).to_pylist():
-                if w != last:
-                    last, now = w, piece(w)
-                lengths.append(len(now))
-                flat.append(now)
-            if len(lengths) >= PACK_ROWS:
-                yield packed()
-        if lengths:
-            yield packed()
+        press, unpress = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        now, known = None, {}
+        for b in batches:  # by bucket
+            for bucket, chunk, joined, sizes, numbers in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    now, known = bucket, {}
+                raw, ends = unpress.decompress(joined), np.cumsum(_spread(sizes, unpress)).tolist()
+                found, start = [], 0
+                for end in ends:
+                    w = raw[start:end]
+                    start = end
+                    ids = known.get(w)
+                    if ids is None:
+                        ids = known[w] = tuple(piece(w))
+                    found.append(ids)
+                blobs = (numbers, _squeeze(np.fromiter(map(len, found), np.uint32, len(found)), press), _squeeze(np.fromiter(chain.from_iterable(found), np.uint32), press))
+                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *(pa.array([x], pa.binary()) for x in blobs)], names=["chunk", "numbers", "lengths", "ids"])
 
     return run
 
 
 def _reassembled(table: pa.Table, docs: pa.Table) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of a chunk's documents."""
-    numbers, lengths, ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.uint32) for c in ("numbers", "lengths", "ids"))
-    start = np.empty(len(numbers), np.int64)
-    length = np.empty(len(numbers), np.int64)
+    press = zstandard.ZstdDecompressor()
+    none = np.zeros(0, np.uint32)
+    numbers, lengths, ids = (np.concatenate([none, *(_spread(x, press) for x in table.column(c).to_pylist())]) for c in ("numbers", "lengths", "ids"))
+    start, length = np.empty(len(numbers), np.int64), np.empty(len(numbers), np.int64)
     length[numbers] = lengths
     start[numbers] = np.cumsum(lengths, dtype=np.int64) - lengths
-    press = zstandard.ZstdDecompressor()
-    for doc, blob in zip(docs.column("doc_id").to_pylist(), docs.column("numbers").to_pylist(), strict=True):
-        at = np.ascontiguousarray(np.frombuffer(press.decompress(blob), np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
-        n = length[at]
-        ends = np.cumsum(n)
-        yield doc, ids[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    for doc_ids, sizes, blob in zip(*(docs.column(c).to_pylist() for c in ("docs", "sizes", "numbers")), strict=True):
+        places, first = _spread(blob, press), 0
+        for doc, size in zip(doc_ids, sizes, strict=True):
+            at = places[first : first + size]
+            first += size
+            n = length[at]
+            ends = np.cumsum(n)
+            yield doc, ids[np.repeat(start[at] - (ends - n), n) + np.arange(ends[-1] if size else 0)]
 
 
 class TokenBytes:
@@ -150,10 +160,11 @@ def _joined(docs: DataFrame, ranks_file: str, pattern: str, finish, ddl: str) ->
     bounded_batches(spark, 4096)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_file))  # a fixed vocabulary: its size doesn't depend on the data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = rows.mapInArrow(_distinct(pattern), "word binary, chunk long, number int").repartition("word").sortWithinPartitions("word")
-    words = words.mapInArrow(_encoded(ranks, pattern), "chunk long, numbers binary, lengths binary, ids binary")
-    places = rows.mapInArrow(_positions(pattern), "chunk long, doc_id long, numbers binary")
     width = parallelism(spark)
+    buckets = 4 * width  # a task holds the words of one bucket at a time
+    words = rows.mapInArrow(_distinct(pattern, buckets), "bucket int, chunk long, words binary, sizes binary, numbers binary")
+    words = words.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(ranks, pattern), "chunk long, numbers binary, lengths binary, ids binary")
+    places = rows.mapInArrow(_positions(pattern), "chunk long, docs array<long>, sizes array<long>, numbers binary")
     return words.repartition(width, "chunk").groupBy("chunk").cogroup(places.repartition(width, "chunk").groupBy("chunk")).applyInArrow(finish(ranks), ddl)
 
 
