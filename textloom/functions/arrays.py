@@ -63,9 +63,8 @@ def span_mean(losses: Column, start: Column, end: Column) -> Column:
 
 def byte_ids(text: Column) -> Column:
     """Ids of a vocabulary of single bytes: the bytes' values."""
-    h = F.hex(F.encode(text, "UTF-8"))
-    places = F.when(F.length(h) > 0, F.sequence(F.lit(0), F.expr("0") + (F.length(h) / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.conv(F.substr(h, i * 2 + 1, F.lit(2)), 16, 10).cast("int"))
+    one_a_byte = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    return F.transform(F.filter(F.split(one_a_byte, ""), lambda c: c != ""), lambda c: F.ascii(c))
 
 
 def ema(values: Column, beta: float) -> Column:
