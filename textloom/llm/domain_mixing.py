@@ -23,6 +23,8 @@ MAX_DOMAINS = 64
 #: Weight of the root-mean evidence of a document's words against the prior: words of a text are far from independent.
 TEMPER = 0.6
 STEPS, TOLERANCE = 40, 1e-6
+#: Labelled rows that the classifier is counted from, at most; a hash of doc_id picks them. Their ids are broadcast.
+FIT_ROWS = 50_000
 
 
 def _words(text: str = "text") -> Column:
@@ -39,15 +41,16 @@ def _histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
     return words.groupBy(*keys, _bucket(F.col("__word")).alias("__bucket")).agg(F.count("*").alias("__n"))
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame) -> tuple[list[str], DataFrame, list[float]]:
+def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], DataFrame, list[float]]:
     """(domains, table of log-likelihoods a bucket and domain, log priors) from ``labelled`` (doc_id, domain).
 
-    All labelled rows count. The table has ``BUCKETS`` rows and a column w0, w1, ... a domain, in the domains' order.
+    At most ``rows`` labelled rows count, so that their ids are broadcast and no text is shuffled for them. The table has ``BUCKETS`` rows and a column w0, w1, ... a domain, in the domains' order.
     """
     spark = docs.sparkSession
     labelled = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain")
-    rows = docs.select("doc_id", "text").join(labelled, "doc_id")
-    counts = cut(_histogram(rows, ["domain"]))
+    labelled = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows))
+    texts = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
+    counts = cut(_histogram(texts, ["domain"]))
     sizes = {r[0]: r[1] for r in labelled.groupBy("domain").count().orderBy("domain").limit(MAX_DOMAINS).toLocalIterator()}
     domains = sorted(sizes)
     totals = {r[0]: r[1] for r in counts.groupBy("domain").agg(F.sum("__n")).toLocalIterator()}
