@@ -54,9 +54,32 @@ NEUTRAL_INSERTS = (
     "The matter drew little comment and was soon set aside for other business.",
     "One account adds, almost in passing, that the surrounding streets remained quiet throughout.",
 )
-#: Frames and tails of the source-free embedding arm; a few of our own, as any set without attribution will do.
-EMBEDDED_FRAMES = ("As far back as {year}, and ever since, {clause}.", "Whatever else {year} brought, it held that {clause}.", "One thing that {year} did not change: {sf}", "In {year} as in every year after it, {clause}.")
-EMBEDDED_TAILS = ("", "", " Few take notice of it.", " It is seldom discussed.")
+# Frames and tails of the source-free embedding arm.
+EMBEDDED_FRAMES = (
+    "As of {year}, and for years afterward with little variation, {clause}.",
+    "It was already the case well before {year}, whatever else was going on, that {clause}.",
+    "It has been the case since at least {year}, year in and year out, that {clause}.",
+    "In {year}, as in any other year of that long stretch of time, {clause}.",
+    "Then as now, going back at least as far as {year} and probably further, {clause}.",
+    "Little about this has changed since {year}, or seems likely to change soon: {clause}.",
+    "The picture in {year} was, in this one respect, the same as it is today: {clause}.",
+    "Whatever else was happening around {year}, and plenty was, {clause}.",
+    "Long before {year}, and long after it, in season and out of season, {clause}.",
+    "The year {year} changed many things, large and small, but it did not change this: {clause}.",
+    "Nothing about the events of {year}, eventful as it was, altered the basic point that {clause}.",
+    "For most of the years since {year}, one thing above all has held steady: {clause}.",
+    "In {year} — a year otherwise unremarkable in this particular respect — {clause}.",
+    "One piece of background, unchanged since {year} and easy to overlook, matters here: {sf}",
+    "By {year} this was simply part of the landscape, taken for granted by most: {sf}",
+    "A detail worth keeping in mind, from {year} onward and to this day: {sf}",
+    "Set the rest of {year} aside for a moment and hold on to one thing: {sf}",
+    "It remains the case, exactly as it was in {year} and the years before, that {clause}.",
+    "Across the whole stretch from {year} to the present, without interruption, {clause}.",
+    "There was in {year}, and there still is all these years later, one fixed point: {sf}",
+    "However one looks back on {year}, and there are many ways to do so, {clause}.",
+    "Among the fixed points of {year}, one is worth singling out here: {sf}",
+)
+EMBEDDED_TAILS = ("", "", "", " The detail is easy to miss.", " Few visitors give it much thought.", " It seldom attracts much attention.", " The point rarely comes up in casual conversation.")
 COMMON_FIRST_WORDS = ("The", "A", "An", "In")
 
 ANSWER = r"#### (-?[0-9.,]+)"

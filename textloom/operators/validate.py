@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Needles up to which each document is tested by expressions; more go to an automaton.
-FEW = 64
+#: Needles that an automaton in each worker may hold; with more, the documents need a pass a part of them.
+MOST_NEEDLES = 1_000_000
 
 
 def aligned_diff(arms: DataFrame, names: list[str], base: str) -> DataFrame:
@@ -29,6 +29,8 @@ def contamination(docs: DataFrame, needles: list[tuple[int, str]], text: str = "
     """
     import ahocorasick
 
+    if len(needles) > MOST_NEEDLES:
+        raise ValueError(f"over {MOST_NEEDLES} needles: search for them in parts and union the results")
     names = [c for c in docs.columns if c != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 

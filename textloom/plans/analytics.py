@@ -260,7 +260,7 @@ NEEDLES = "(SELECT item_id AS needle, text AS string FROM benchmark)"
 
 @query(f"SELECT doc_id, needle, ((length(d.text) - length(replace(d.text, string, ''))) / length(string))::BIGINT AS n FROM documents d JOIN {NEEDLES} ON contains(d.text, string)")
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = [(r[0], r[1]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").limit(100_000).toLocalIterator()]
+    needles = [(r[0], r[1]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").toLocalIterator()]
     return validate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), needles)
 
 
