@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import render
 from textloom.functions.ids import draw, stable_id, stream_key
+from textloom.operators.ranking import hash_rank
 
 
 def make_pairs(pairs: DataFrame, catalogue: DataFrame, seed: int) -> DataFrame:
@@ -53,15 +54,15 @@ def unique_facts(facts: DataFrame) -> DataFrame:
 def split_pool(facts: DataFrame, fraction: float, seed: int, stratum: str = "truth_value", key: str = "fact_id") -> DataFrame:
     """Column heldout: the first ``round(n * fraction)`` (half-even) of each stratum by stream key."""
     sizes = facts.groupBy(stratum).agg(F.bround(F.count("*") * fraction, 0).alias("__held"))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(stream_key(seed, "split", F.col(key))))
-    return facts.withColumn("__r", rank).join(F.broadcast(sizes), stratum).withColumn("heldout", F.col("__r") <= F.col("__held")).drop("__r", "__held")
+    ranked = hash_rank(facts, [stratum], stream_key(seed, "split", F.col(key)), "__r")
+    return ranked.join(F.broadcast(sizes), stratum).withColumn("heldout", F.col("__r") <= F.col("__held")).drop("__r", "__held")
 
 
 def assign_frequencies(facts: DataFrame, key: str, stratum: str, grid: list[int], seed: int) -> DataFrame:
     """Column frequency: the sorted distinct grid, dealt in turn within each stratum by stream key."""
     levels = sorted(set(grid))
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(stream_key(seed, "freq", F.col(key))))
-    return facts.withColumn("frequency", F.element_at(F.array(*map(F.lit, levels)), ((rank - 1) % len(levels) + 1).cast("int")))
+    ranked = hash_rank(facts, [stratum], stream_key(seed, "freq", F.col(key)), "__r")
+    return ranked.withColumn("frequency", F.element_at(F.array(*map(F.lit, levels)), ((F.col("__r") - 1) % len(levels) + 1).cast("int"))).drop("__r")
 
 
 def occurrences(facts: DataFrame, frequency: str = "frequency") -> DataFrame:
@@ -72,8 +73,8 @@ def occurrences(facts: DataFrame, frequency: str = "frequency") -> DataFrame:
 def sample_slots(slots: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` slots without replacement and the occurrence that each gets. The first n by stream key come from a top-n, the permutation from n rows."""
     chosen = slots.orderBy(stream_key(seed, "slots", F.col(key))).limit(n)
-    rank = F.row_number().over(Window.orderBy(stream_key(seed, "occurrences", F.col(key))))
-    return chosen.select(key, (rank - 1).cast("long").alias("occurrence"))
+    ranked = hash_rank(chosen, [], stream_key(seed, "occurrences", F.col(key)), "__r")
+    return ranked.select(key, (F.col("__r") - 1).alias("occurrence"))
 
 
 def positional_zip(left: DataFrame, by: str, right: DataFrame, right_by: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.ids import stable_id, stream_key
@@ -139,11 +139,10 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('7' || chr(0) || 'split' || chr(0) || doc_id)) <= round_even(count(*) OVER (PARTITION BY lang) * 0.1, 0) AS heldout FROM documents"""
 )
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held out: the first tenth (half-even) of each language by stream key. Sizes come from a small grouped count, not a window."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    sizes = d.groupBy("lang").agg(F.bround(F.count("*") * 0.1, 0).alias("held"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(stream_key(7, "split", F.col("doc_id"))))
-    return d.withColumn("r", rank).join(F.broadcast(sizes), "lang").select("doc_id", "lang", (F.col("r") <= F.col("held")).alias("heldout"))
+    """Held out: the first tenth (half-even) of each language by stream key."""
+    from textloom.operators.facts import split_pool
+
+    return split_pool(table(spark, sf_dir, "documents").select("doc_id", "lang"), 0.1, 7, "lang", "doc_id").select("doc_id", "lang", "heldout")
 
 
 @query(

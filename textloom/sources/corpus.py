@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import running_sum
+
 ROW_GROUP = 1024
 #: The writer options that make a corpus shard.
 SHARD_OPTIONS = {
@@ -54,16 +56,9 @@ def epochs(docs: DataFrame, n: int, rank: int = 0, world: int = 1, after: tuple[
     return out.where((F.col("epoch") > epoch) | ((F.col("epoch") == epoch) & (F.col(file) > pq)) | here)
 
 
-def running_chars(docs: DataFrame, pos: str, text: str = "text", block: int = 65_536) -> DataFrame:
-    """``docs`` with chars and before (characters of all rows before by ``pos``), in two levels.
-
-    Block sums (one row in 65,536 documents) are summed up in one small window; the rows' own window runs in each block.
-    """
-    docs = docs.withColumn("chars", F.length(text).cast("long")).withColumn("__block", F.expr(f"{pos} div {block}"))
-    sums = docs.groupBy("__block").agg(F.sum("chars").alias("__n"))
-    sums = sums.select("__block", F.coalesce(F.sum("__n").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = F.coalesce(F.sum("chars").over(Window.partitionBy("__block").orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return docs.withColumn("__own", own).join(sums, "__block").withColumn("before", F.col("__own") + F.col("__before")).drop("__own", "__before", "__block")
+def running_chars(docs: DataFrame, pos: str, text: str = "text") -> DataFrame:
+    """``docs`` with chars and before (characters of all rows before by ``pos``)."""
+    return running_sum(docs.withColumn("chars", F.length(text).cast("long")), pos, "chars")
 
 
 def char_budget(docs: DataFrame, pos: str, most: int, cap: int | None = None) -> DataFrame:
@@ -117,6 +112,5 @@ def parity_topup(totals: DataFrame, filler: DataFrame, tolerance: float) -> Data
     """
     target = totals.agg(F.max("total").alias("target"))
     arms = totals.join(F.broadcast(target)).withColumn("least", F.col("target") * (1 - tolerance))
-    earlier = F.coalesce(F.sum("chars").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    queue = filler.select("pos", "chars", earlier.alias("before"))
+    queue = running_sum(filler.select("pos", "chars"), "pos", "chars")
     return queue.join(F.broadcast(arms), F.col("total") + F.col("before") < F.col("least")).select("arm", "pos", "chars", "before")
