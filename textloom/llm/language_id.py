@@ -6,11 +6,11 @@ window is kept, and a softmax layer gives the window's languages. A text's score
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ FIT_WINDOWS = 1500
 EPOCHS, BATCH, RATE = 12, 64, 0.004
 #: Windows of the forward pass at once; bounds a worker's memory whatever the text's length.
 BLOCK = 48
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def windows(body: bytes) -> np.ndarray:
