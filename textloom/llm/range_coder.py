@@ -2,7 +2,7 @@
 
 Each block starts with an empty model. Tables of order 2 and order 1 predict the next id from the two ids before it;
 two binary decisions ask whether a prediction holds, at a probability that mixes both orders' records in the logistic
-domain with weights learned as it goes. If neither holds, the id's four nibbles are coded by adaptive order-0
+domain with weights learned as it goes. If neither holds, the id's digits are coded by adaptive order-0
 frequencies. All arithmetic is on integers, so that any machine decodes what another has written.
 
 numpy steps through the blocks of a batch side by side: a lane is a block, and a step codes one id of every lane.
@@ -18,8 +18,8 @@ import numpy as np
 
 MAGIC = b"TLRC"
 #: Ids a block holds; blocks that are coded side by side at most.
-BLOCK, LANES = 4096, 2048
-SLOTS2, SLOTS1, ROWS0 = 2048, 1024, 512
+BLOCK, LANES = 2048, 4096
+SLOTS2, SLOTS1 = 1024, 512
 U = np.uint64
 #: A range under this is cut at the next boundary, so that two decisions of 15 bits always fit before the next shift.
 BOTTOM = U(1 << 32)
@@ -28,11 +28,16 @@ BOTTOM = U(1 << 32)
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-(x - 2048) / 256))))) for x in range(4096)], np.int32)
 STRETCH = (np.searchsorted(SQUASH, np.arange(4096)) - 2048).clip(-2047, 2047).astype(np.int32)
 
-#: Order-0 frequencies are kept as what lies below each of 16 nibbles, of 16,384; where they tend to when nibble s is seen.
-TOTAL = 1 << 14
-TARGET = np.array([[16 * i + (TOTAL - 256 if i > s else 0) for i in range(16)] for s in range(16)], np.int16)
-EVEN = np.array([(TOTAL // 16) * i for i in range(16)], np.int16)
+#: Order-0 frequencies are kept as what lies below each of 32 digits, of 16,384; where they tend to when digit s is seen.
+TOTAL, DIGITS = 1 << 14, 32
+TARGET = np.array([[8 * i + (TOTAL - 8 * DIGITS if i > s else 0) for i in range(DIGITS)] for s in range(DIGITS)], np.int16)
+EVEN = np.array([(TOTAL // DIGITS) * i for i in range(DIGITS)], np.int16)
 RATE0 = 5
+#: A row of frequencies as one item: moving it as such is several times faster than as 32 numbers.
+ROW = np.dtype(f"V{2 * DIGITS}")
+#: Of an id's 16 bits the highest five have one row of frequencies, the next five one by them, and the lowest six, as a
+#: bit and five, one by the middle five and the bit. Few and small rows learn fast in a short block and stay in the cache.
+SHIFTS, FIRST, ROWS = (11, 6), (0, 1), 1 + 32 + 64
 
 
 class Coder:
@@ -56,12 +61,13 @@ class Coder:
             for _ in range(4):
                 self.code = (self.code << U(16)) | self.flat[self.at]
                 self.at += 1
-        self.base2, self.base1, self.base0 = (np.arange(lanes) * n for n in (SLOTS2, SLOTS1, 273 + ROWS0))
-        self.ids2, self.sure2 = np.full(lanes * SLOTS2, -1, np.int32), np.zeros(lanes * SLOTS2, np.int8)
-        self.ids1, self.sure1 = np.full(lanes * SLOTS1, -1, np.int32), np.zeros(lanes * SLOTS1, np.int8)
-        self.rows = np.tile(EVEN, (lanes * (273 + ROWS0), 1))
+        self.base2, self.base1, self.base0 = (np.arange(lanes) * n for n in (SLOTS2, SLOTS1, ROWS))
+        # Predicted id times 8 plus how sure it is; -8 is no prediction.
+        self.table2, self.table1 = np.full(lanes * SLOTS2, -8, np.int32), np.full(lanes * SLOTS1, -8, np.int32)
+        self.rows = np.tile(EVEN, lanes * ROWS).view(ROW)
         # How often a prediction held, by what is known of both orders; the weights of both orders' records.
-        self.record2, self.record1 = np.full(lanes * 128, 1024, np.int32), np.full(lanes * 128, 1024, np.int32)
+        # Order 2's record is in the high half.
+        self.records = np.full(lanes * 128, (1024 << 16) + 1024, np.int32)
         self.base_r = np.arange(lanes) * 128
         self.weight = np.full((4, lanes), 1 << 15, np.int32)
 
@@ -79,7 +85,7 @@ class Coder:
             if self.words is None:
                 self.out[who, at] = (l >> U(48)).astype(np.uint16)
             else:
-                self.code[who] = (self.code[who] << U(16)) | self.flat[at]
+                self.code[who] = (self.code[who] << U(16)) | self.flat.take(at, mode="clip")  # a broken block may ask for more
             self.at[who] = at + 1
             low[move] = l << U(16)
             rng[move] = r << U(16)
@@ -87,15 +93,18 @@ class Coder:
     def step(self, n: int, before: np.ndarray, before2: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
         """Code the next id of the first ``n`` lanes after the two before it; gives the ids."""
         low, rng = self.low[:n], self.range[:n]
-        s2 = self.base2[:n] + ((((before * 0x9E3B) ^ (before2 * 0x85EB)) >> 3) & (SLOTS2 - 1))
-        s1 = self.base1[:n] + (((before * 0x9E3B) >> 4) & (SLOTS1 - 1))
-        p2, p1, c2, c1 = self.ids2[s2], self.ids1[s1], self.sure2[s2], self.sure1[s1]
-        own = self.base_r[:n] + (c2.astype(np.int64) * 8 + c1 + 64 * (p1 == p2))
-        r2, r1 = self.record2[own], self.record1[own]
-        x2, x1 = STRETCH[r2], STRETCH[r1]
+        h = before * np.int32(0x9E3B)
+        s2 = self.base2[:n] + (((h ^ (before2 * np.int32(0x85EB))) >> 3) & (SLOTS2 - 1))
+        s1 = self.base1[:n] + ((h >> 4) & (SLOTS1 - 1))
+        t2, t1 = self.table2.take(s2), self.table1.take(s1)
+        p2, p1, c2, c1 = t2 >> 3, t1 >> 3, t2 & 7, t1 & 7
+        own = self.base_r[:n] + (c2 * 8 + c1 + 64 * (p1 == p2))
+        both = self.records.take(own)
+        r2, r1 = both >> 16, both & 0xFFFF
+        x2, x1 = STRETCH.take(r2), STRETCH.take(r1)
         w = self.weight[:, :n]
-        mixed2 = SQUASH[((w[0] * x2 + w[1] * x1) >> 16).clip(-2047, 2047) + 2048]
-        mixed1 = SQUASH[((w[2] * x1 + w[3] * x2) >> 16).clip(-2047, 2047) + 2048]
+        mixed2 = SQUASH.take(((w[0] * x2 + w[1] * x1) >> 16) + 2048, mode="clip")
+        mixed1 = SQUASH.take(((w[2] * x1 + w[3] * x2) >> 16) + 2048, mode="clip")
         f2 = mixed2 << 3
         f1 = np.maximum(1, ((32760 - f2) * mixed1) >> 12)
         unit = rng >> U(15)
@@ -116,42 +125,51 @@ class Coder:
         for k, x, e in ((0, x2, e2), (1, x1, e2), (2, x1, e1), (3, x2, e1)):
             w[k] += (x * e) >> 10
         np.clip(w, -(1 << 18), 1 << 18, out=w)
-        self.record2[own] = r2 + ((np.where(hit2, 4095, 0) - r2) >> 4)
-        self.record1[own] = np.where(hit2, r1, r1 + ((np.where(hit1, 4095, 0) - r1) >> 4))
-        got = np.where(hit2, p2, p1).astype(np.int64)
+        to2, to1 = np.where(hit2, 4095, 0).astype(np.int32), np.where(hit1, 4095, 0).astype(np.int32)
+        np.put(self.records, own, ((r2 + ((to2 - r2) >> 4)) << 16) + np.where(hit2, r1, r1 + ((to1 - r1) >> 4)))
+        got = np.where(hit2, p2, p1)
         q = np.flatnonzero(~(hit2 | hit1))
         if len(q):
             got[q] = self._plain(q, None if ids is None else ids[q])
-        for slot, guess, table, sure, c in ((s2, p2, self.ids2, self.sure2, c2), (s1, p1, self.ids1, self.sure1, c1)):
-            right = guess == got
-            c = np.where(right, np.minimum(c + 1, 7), c >> 1).astype(np.int8)
-            sure[slot] = c
-            table[slot] = np.where(right | (c > 1), guess, got)
+        fresh = got * 8
+        for slot, table, old, p, c in ((s2, self.table2, t2, p2, c2), (s1, self.table1, t1, p1, c1)):
+            # A right prediction gets surer, a wrong one less so, and gives way when it is hardly sure any more.
+            wrong = np.where(c > 3, old - c + (c >> 1), fresh)
+            np.put(table, slot, np.where(p == got, np.minimum(old + 1, old | 7), wrong))
         return got
 
     def _plain(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Code ids of ``lanes`` by order-0 frequencies of their four nibbles."""
-        low, rng, base, seen = self.low[lanes], self.range[lanes], self.base0[lanes], np.zeros(len(lanes), np.int64)
-        i16 = np.arange(len(lanes)) * 16
-        for depth, first in enumerate((0, 1, 17, 273)):
-            row = base + first + (seen if depth < 3 else ((seen * 0x9E3B) >> 5) & (ROWS0 - 1))
-            f = self.rows.take(row, axis=0)
+        """Code ids of ``lanes`` by order-0 frequencies: 5 bits, 5 bits, and 6 bits as a raw bit and 5 by its row."""
+        low, rng, base = self.low[lanes], self.range[lanes], self.base0[lanes]
+        at = np.arange(len(lanes)) * DIGITS
+        code = None if ids is None else ids
+        seen = np.zeros(len(lanes), np.int64)
+        for depth in range(3):
+            if depth == 2:  # the lowest bit is as good as even
+                unit = rng >> U(1)
+                bit = (self.code[lanes] - low >= unit).astype(np.int64) if code is None else code & 1
+                low += unit * bit.astype(U)
+                rng = unit
+                row = base + 33 + (seen & 31) * 2 + bit
+            else:
+                row = base + FIRST[depth] + seen
+            f = self.rows.take(row).view(np.int16).reshape(-1, DIGITS)
             unit = rng >> U(14)
-            if ids is None:
+            if code is None:
                 value = np.minimum((self.code[lanes] - low) // unit, U(TOTAL - 1)).astype(np.int16)
-                nibble = (f <= value[:, None]).sum(axis=1) - 1
+                digit = np.bitwise_count(np.packbits((f <= value[:, None]).reshape(-1)).view(np.uint32)).astype(np.int64) - 1
             else:
-                nibble = (ids >> (12 - 4 * depth)) & 15
+                digit = (code >> SHIFTS[depth]) & 31 if depth < 2 else (code >> 1) & 31
             flat = f.reshape(-1)
-            below = flat[i16 + nibble].astype(np.int64)
-            above = np.where(nibble < 15, flat[i16 + np.minimum(nibble + 1, 15)], TOTAL)
+            below = flat.take(at + digit)
+            above = np.where(digit < DIGITS - 1, flat.take(at + np.minimum(digit + 1, DIGITS - 1)), TOTAL)
             low += unit * below.astype(U)
             rng = unit * (above - below).astype(U)
-            if depth & 1:
+            if depth != 1:
                 self._shift(low, rng, lanes)
-            f += (TARGET.take(nibble, axis=0) - f) >> RATE0
-            self.rows[row] = f
-            seen = seen * 16 + nibble
+            f += (TARGET.take(digit, axis=0) - f) >> RATE0
+            np.put(self.rows, row, f.reshape(-1).view(ROW))
+            seen = seen * 32 + digit if depth < 2 else (seen * 32 + digit) * 2 + bit
         self.low[lanes], self.range[lanes] = low, rng
         return seen
 
@@ -164,31 +182,31 @@ class Coder:
 
 def _side_by_side(sizes: list[int], words: np.ndarray | None, ids: np.ndarray | None) -> tuple[Coder, np.ndarray]:
     steps = max(sizes)
-    coder, got = Coder(len(sizes), steps, words), np.zeros((len(sizes), steps), np.int64)
-    before = before2 = np.zeros(len(sizes), np.int64)
-    given = None if ids is None else np.ascontiguousarray(ids.T)
+    coder, got = Coder(len(sizes), steps, words), np.zeros((steps, len(sizes)), np.int32)
+    before = before2 = np.zeros(len(sizes), np.int32)
     for t in range(steps):  # all blocks but the last are full, so the lanes still at work are the first ones
         n = len(sizes) - (t >= sizes[-1])
-        now = coder.step(n, before[:n], before2[:n], None if ids is None else given[t, :n])
-        got[:n, t] = now
+        now = coder.step(n, before[:n], before2[:n], None if ids is None else ids[t, :n])
+        if ids is None:
+            got[t, :n] = now
         before2, before = before, now
-    return coder, got
+    return coder, np.ascontiguousarray(got.T) if ids is None else got
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
     """``ids`` (0 to 65,535) as a sequence of blocks: magic, ids, bytes, crc32 of the ids as little-endian uint32, code."""
     out = []
     for s in range(0, len(ids), block * lanes):
-        part = np.asarray(ids[s : s + block * lanes], np.int64)
+        part = np.asarray(ids[s : s + block * lanes])
         if len(part) and not 0 <= part.min() <= part.max() < 1 << 16:
             raise ValueError("ids must be in 0 to 65535")
         sizes = [min(block, len(part) - i) for i in range(0, len(part), block)]
-        table = np.zeros((len(sizes), max(sizes)), np.int64)
+        table = np.zeros((max(sizes), len(sizes)), np.int32)
         for i, n in enumerate(sizes):
-            table[i, :n] = part[i * block : i * block + n]
+            table[:n, i] = part[i * block : i * block + n]
         coder, _ = _side_by_side(sizes, None, table)
         for i, (n, code) in enumerate(zip(sizes, coder.finish(), strict=True)):
-            out.append(struct.pack("<4sIII", MAGIC, n, len(code), zlib.crc32(table[i, :n].astype("<u4").tobytes())) + code)
+            out.append(struct.pack("<4sIII", MAGIC, n, len(code), zlib.crc32(part[i * block : i * block + n].astype("<u4").tobytes())) + code)
     return b"".join(out)
 
 
