@@ -43,14 +43,23 @@ def test_blocks_are_independent():
         at += size
 
 
-@pytest.mark.parametrize("record", [token_files.RECORD_IDS, 500])
-def test_token_files(spark, docs, empty, tmp_path, record):
+def test_pre_tokens_are_the_library_s():
+    """All code points of two planes in several places: texts and their pre-tokens have the same ids."""
+    file, points = public_tokenizers.path("byte_bpe_50k.json"), [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}{chr(c)}  {chr(c)} 1{chr(c)}2 ,{chr(c)}. {chr(c)}\n" for c in points[s : s + 500]) for s in range(0, len(points), 500)]
+    whole, cached = token_files._encoder(file, None, 2), token_files._encoder(file, public_tokenizers.PATTERN, 2)
+    for t in texts:
+        assert cached([t])[0].tolist() == whole([t])[0].tolist()
+
+
+@pytest.mark.parametrize("record, pattern", [(token_files.RECORD_IDS, None), (500, None), (500, public_tokenizers.PATTERN)])
+def test_token_files(spark, docs, empty, tmp_path, record, pattern):
     from tokenizers import Tokenizer
 
     file = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(file)
     path = str(tmp_path / "ids")
-    token_files.write_token_files(docs, path, file, record_ids=record)
+    token_files.write_token_files(docs, path, file, record_ids=record, pattern=pattern)
     got = sorted(token_files.token_file_digest(spark, path).collect(), key=lambda r: r.start)
     rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.text or ""))
     start = 0

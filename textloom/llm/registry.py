@@ -38,7 +38,7 @@ def op4_range_coded_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.token_files import token_file_digest, write_token_files
 
     path = scratch(spark, "token-files")
-    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"))
+    write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), pattern=public_tokenizers.PATTERN)
     return token_file_digest(spark, path)
 
 

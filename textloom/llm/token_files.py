@@ -6,11 +6,14 @@ order (their ids and lengths) and one blob of coded blocks.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,16 +21,44 @@ from pyspark.sql import functions as F
 from textloom.llm import range_coder
 from textloom.llm.common import bounded_batches, parallelism
 
+#: Pre-tokens whose ids a worker holds at most before it starts anew.
+WORDS_HELD = 300_000
 RECORD_IDS = range_coder.BLOCK * range_coder.LANES
 RECORDS = "part int, record int, before long, n_ids long, docs array<long>, lengths array<long>, blocks binary"
 
 
-def _written(tokenizer_file: str, end_id: int, record_ids: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
+def _encoder(file: str, pattern: str | None, end_id: int):
+    """A function from texts to ids with ``end_id`` after each, by the tokenizers library.
 
-        tokenizer = Tokenizer.from_file(tokenizer_file)
-        tokenizer.encode_special_tokens = True
+    With the ``pattern`` of the tokenizer's own pre-tokens, a worker gives the library each distinct pre-token once
+    and keeps its ids; a text's ids are those of its pre-tokens, as the library itself has them.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only take memory
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(file)
+    tokenizer.encode_special_tokens = True
+    if pattern is None:
+        return lambda texts: [np.array([*e.ids, end_id], np.uint16) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    split, known = regex.compile(pattern).findall, {}
+
+    def encode(texts: list[str]) -> list[np.ndarray]:
+        words = [split(t) for t in texts]
+        if len(known) > WORDS_HELD:
+            known.clear()
+        new = list(set(chain.from_iterable(words)).difference(known))
+        if new:
+            e = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
+            cuts = np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
+            known.update(zip(new, (x.tolist() for x in np.split(np.array(e.ids), cuts)), strict=True))
+        return [np.fromiter(chain(chain.from_iterable(map(known.__getitem__, w)), (end_id,)), np.uint16) for w in words]
+
+    return encode
+
+
+def _written(tokenizer_file: str, end_id: int, record_ids: int, pattern: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _encoder(tokenizer_file, pattern, end_id)
         part, record, before = TaskContext.get().partitionId(), 0, 0
         docs, lengths, held, size = [], [], [], 0
 
@@ -40,9 +71,8 @@ def _written(tokenizer_file: str, end_id: int, record_ids: int):
 
         for b in batches:
             ids, texts = (c.to_pylist() for c in b.columns)
-            for s in range(0, len(texts), 32):
-                for doc, e in zip(ids[s : s + 32], tokenizer.encode_batch_fast(texts[s : s + 32], add_special_tokens=False), strict=True):
-                    x = np.array([*e.ids, end_id], np.uint16)
+            for s in range(0, len(texts), 64):
+                for doc, x in zip(ids[s : s + 64], encode(texts[s : s + 64]), strict=True):
                     docs.append(doc)
                     lengths.append(len(x))
                     held.append(x)
@@ -55,17 +85,17 @@ def _written(tokenizer_file: str, end_id: int, record_ids: int):
     return run
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, record_ids: int = RECORD_IDS) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, record_ids: int = RECORD_IDS, pattern: str | None = None) -> None:
     """Write the ids of every text, each with ``end_id`` after it, to ``path`` in ascending doc_id order.
 
     A range partition of doc_id becomes a file. Null text counts as empty; null doc_ids come first; equal doc_ids
-    follow each other in text order. Ids must be under 65,536. An empty table gives a folder without records.
+    follow each other in text order. ``pattern``, if given, is the tokenizer's pre-token pattern (see ``_encoder``). Ids must be under 65,536. An empty table gives a folder without records.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(_written(tokenizer_file, end_id, record_ids), RECORDS).write.mode("overwrite").parquet(path)
+    rows.mapInArrow(_written(tokenizer_file, end_id, record_ids, pattern), RECORDS).write.mode("overwrite").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
