@@ -155,7 +155,7 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, limit: int = 8 << 20) ->
     held, size = [], 0
     for row in rows:
         held.append(row)
-        size += 64 + len(row[-1] or b"" if isinstance(row[-1], (bytes, type(None))) else b"")
+        size += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
         if size > limit:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
             held, size = [], 0
