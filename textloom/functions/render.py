@@ -100,10 +100,13 @@ def sentences(text: Column) -> Column:
 
 def embed(carrier: Column, sentence: Column, fraction: Column) -> Column:
     """``carrier`` with ``sentence`` at the boundary that lies ``fraction`` of the way."""
-    found = sentences(carrier)
-    k = F.least(F.greatest((fraction * (F.size(found) + 1)).cast("int"), F.lit(0)), F.size(found))
-    joined = F.concat(F.slice(found, F.lit(1), k), F.array(sentence), F.slice(found, k + 1, F.size(found) + 1))
-    return F.when(F.size(found) == 0, sentence).otherwise(F.array_join(joined, " "))
+
+    def put(found: Column) -> Column:
+        k = F.least(F.greatest((fraction * (F.size(found) + 1)).cast("int"), F.lit(0)), F.size(found))
+        joined = F.concat(F.slice(found, F.lit(1), k), F.array(sentence), F.slice(found, k + 1, F.size(found) + 1))
+        return F.when(F.size(found) == 0, sentence).otherwise(F.array_join(joined, " "))
+
+    return F.transform(F.array(sentences(carrier)), put)[0]  # a variable, so that the text is split once
 
 
 def declause(form: Column, common: Sequence[str] = COMMON_FIRST_WORDS) -> Column:
