@@ -108,7 +108,7 @@ def pad_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, sf_dir: str, crop: bool) -> DataFrame:
-    ids = tokens.encoder(BYTES, prepend=256)(F.substring("text", 1, 1500))
+    ids = tokens.encoder(BYTES, prepend=256)("text")
     d = docs(spark, sf_dir).select((F.col("doc_id") % 8).alias("rank"), "doc_id", ids.alias("ids"))
     return tokens.pack(d, "rank", "doc_id", "ids", 513, buffer=100, crop=crop, pad=256)
 
