@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import plain_pack
 
 from textloom.plans import catalog, tokenizing
+from textloom.streaming import streams
 
 QUERIES = catalog.queries()
 
@@ -13,8 +15,8 @@ QUERIES = catalog.queries()
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(11)
-    made = {i: "".join(rng.choice(["a", "bc ", "é", "dog\n", "7"]) for _ in range(rng.choice([5, 90, 700, 3000]))) for i in range(60)}
-    return made | {60: "", 61: "x" * 9000}
+    made = {i: "".join(rng.choice(["a", "bc ", "é", "dog\n", "7"]) for _ in range(rng.choice([5, 90, 700, 3000]))) for i in range(130)}
+    return made | {130: "", 131: "x" * 9000}
 
 
 @pytest.fixture(scope="module")
@@ -43,3 +45,35 @@ def test_packing_takes_whole_texts(spark, long_dir, texts, crop):
 def test_pack_stats_counts_whole_texts(spark, long_dir, texts):
     got = {r["rank"]: (r.total, r["size"]) for r in QUERIES["pack_stats"](spark, long_dir).collect()}
     assert got == {rank: (sum(map(len, encoded(texts, rank, 8))), 513) for rank in range(8)}
+
+
+def streamed(docs, capacity, buffer):
+    """Full rows while more than ``buffer`` documents wait, the largest that fits first, else the shortest cut."""
+    held, n = list(docs), 0
+    while len(held) > buffer:
+        left, room = list(held), capacity
+        while room and left:
+            fits = [d for d in left if len(d) <= room]
+            best = max(fits, key=len) if fits else min(left, key=len)
+            left.remove(best)
+            room -= min(room, len(best))
+        if room:
+            break
+        held, n = left, n + 1
+    return n
+
+
+def test_stream_pack_takes_whole_texts(spark, long_dir, texts, monkeypatch):
+    many = QUERIES["stream_pack"](spark, long_dir).collect()
+    assert many
+    with monkeypatch.context() as m:  # what goes into the stream, row by row: full rows alone don't show how long their documents were
+        m.setattr(streams, "pack_stream", lambda docs, rank, order, ids, capacity, buffer: docs.select(rank, F.col(order).alias("row"), F.col(ids).alias("tokens")))
+        assert {r.row: r["size"] for r in QUERIES["stream_pack"](spark, long_dir).collect()} == {i: len(t.encode()) + 1 for i, t in texts.items()}
+    for rank in range(4):
+        own = sorted(r.row for r in many if r["rank"] == rank)
+        assert own == list(range(streamed(encoded(texts, rank, 4), 257, 20)))
+    assert {r["size"] for r in many} <= {257}
+
+
+def test_stream_tools_takes_all_rows(spark, long_dir, texts):
+    assert {r.row_id: r.n for r in QUERIES["stream_tools"](spark, long_dir).collect()} == dict.fromkeys(texts, 2)

@@ -34,14 +34,14 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that sample a letter and their end; what comes after isn't taken."""
     end = tokens.special_id("<|assistant_end|>")
-    rows = _stream(spark, sf_dir, "documents").where("doc_id < 50").select(F.col("doc_id").alias("row_id"), F.posexplode(F.array(F.lit(65), F.lit(end), F.lit(66))).alias("step", "token"))
+    rows = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.posexplode(F.array(F.lit(65), F.lit(end), F.lit(66))).alias("step", "token"))
     got = streams.collect_stream(streams.tool_stream(rows.withColumn("step", F.col("step").cast("long"))), f"tools_{uuid.uuid4().hex}")
     return got.groupBy("row_id").agg(F.count("*").alias("n"))
 
 
 @query(None)
 def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.encoder({bytes([i]): i for i in range(256)}, prepend=256)(F.substring("text", 1, 300))
+    ids = tokens.encoder({bytes([i]): i for i in range(256)}, prepend=256)("text")
     d = _stream(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("rank"), "doc_id", ids.alias("ids"))
-    got = streams.collect_stream(streams.pack_stream(d, "rank", "doc_id", "ids", 257, 20), f"pack_{uuid.uuid4().hex}")
-    return got.select("rank", "row", F.size("tokens").alias("size"))
+    got = streams.pack_stream(d, "rank", "doc_id", "ids", 257, 20).select("rank", "row", F.size("tokens").alias("size"))
+    return streams.collect_stream(got, f"pack_{uuid.uuid4().hex}")

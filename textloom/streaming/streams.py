@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,23 +45,24 @@ def pack_stream(docs: DataFrame, rank: str, order: str, ids: str, capacity: int,
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [[int(i) for i in x] for x in state.get[0]] if state.exists else []
+        held = [array("i", map(int, x)) for x in state.get[0]] if state.exists else []
         rows = state.get[1] if state.exists else 0
-        new = sorted(((o, [int(i) for i in x]) for b in batches for o, x in zip(b[order], b[ids], strict=True)), key=lambda r: r[0])
+        new = sorted(((o, array("i", map(int, x))) for b in batches for o, x in zip(b[order], b[ids], strict=True)), key=lambda r: r[0])
         held += [x for _, x in new]
         out = []
-        while len(held) > buffer:
-            waiting = BestFit(capacity, len(held), True)
-            for i, x in enumerate(held):
-                waiting.add(x, i)
-            tokens, _, parts = next(waiting.rows(iter(())))
-            used = {tag for tag, _, _ in parts}
-            if len(tokens) < capacity or sum(n for _, n, _ in parts) < capacity:
+        waiting, left = BestFit(capacity, 0, True), dict(enumerate(held))
+        for i, x in left.items():
+            waiting.add(x, i)
+        made = waiting.rows(iter(()))
+        while len(left) > buffer:
+            tokens, _, parts = next(made)
+            if sum(n for _, n, _ in parts) < capacity:
                 break
-            held = [x for i, x in enumerate(held) if i not in used]
-            out.append((key[0], rows, tokens))
+            for tag, _, _ in parts:
+                del left[tag]
+            out.append((key[0], rows, array("i", tokens)))
             rows += 1
-        state.update((held, rows))
+        state.update(([list(x) for x in left.values()], rows))
         yield pd.DataFrame(out, columns=["rank", "row", "tokens"])
 
     keyed = docs.select(F.col(rank).cast("long").alias("rank"), order, ids)
