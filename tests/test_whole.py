@@ -1,5 +1,6 @@
 """Queries cover whole tables and whole texts: small tables with long texts against plain programs."""
 
+import hashlib
 import random
 
 import pytest
@@ -77,3 +78,12 @@ def test_stream_pack_takes_whole_texts(spark, long_dir, texts, monkeypatch):
 
 def test_stream_tools_takes_all_rows(spark, long_dir, texts):
     assert {r.row_id: r.n for r in QUERIES["stream_tools"](spark, long_dir).collect()} == dict.fromkeys(texts, 2)
+
+
+def test_fewshot_prompt_takes_all_items(spark, tmp_path):
+    ids = [*range(60), 75, 90]  # over 40, and with gaps
+    spark.createDataFrame([(i,) for i in ids], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda a, b: hashlib.sha256(f"11\0fewshot\0{a}\0{b}".encode()).hexdigest()
+    shots = {a: sorted((b for b in ids if b != a), key=lambda b: key(a, b))[:3] for a in ids}  # noqa: B023
+    expected = {a: "".join(f"q{b} a{b}\n\n" for b in shots[a]) + f"q{a}" for a in ids}
+    assert {r["item"]: r.prompt for r in QUERIES["fewshot_prompt"](spark, str(tmp_path)).collect()} == expected

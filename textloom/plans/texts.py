@@ -168,9 +168,10 @@ def render_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT item, string_agg('q' || shot || ' a' || shot || chr(10) || chr(10), '' ORDER BY r) || 'q' || item AS prompt FROM s WHERE r <= 3 GROUP BY item"""
 )
 def fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = table(spark, sf_dir, "benchmark").where("item_id < 40").select(F.col("item_id").cast("int").alias("item"))
-    shots = F.transform(tasks.few_shot_ids(40, 3, 11, F.col("item")), lambda i: F.struct(F.concat(F.lit("q"), i.cast("string")).alias("query"), F.concat(F.lit("a"), i.cast("string")).alias("answer")))
-    return items.select(F.col("item").cast("long").alias("item"), render.few_shot(shots, F.concat(F.lit("q"), F.col("item").cast("string"))).alias("prompt"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"))
+    pool = items.agg(F.collect_set("item").alias("pool"))
+    shots = F.transform(tasks.few_shot_ids(F.col("pool"), 3, 11, F.col("item")), lambda i: F.struct(F.concat(F.lit("q"), i.cast("string")).alias("query"), F.concat(F.lit("a"), i.cast("string")).alias("answer")))
+    return items.crossJoin(F.broadcast(pool)).select("item", render.few_shot(shots, F.concat(F.lit("q"), F.col("item").cast("string"))).alias("prompt"))
 
 
 @query("SELECT doc_id, array_to_string(string_split(source, ''), ',') AS spelled, (length(source) - length(replace(source, 's', '')))::BIGINT AS n FROM documents")
