@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import plain_pack
@@ -87,3 +89,31 @@ def test_fewshot_prompt_takes_all_items(spark, tmp_path):
     shots = {a: sorted((b for b in ids if b != a), key=lambda b: key(a, b))[:3] for a in ids}  # noqa: B023
     expected = {a: "".join(f"q{b} a{b}\n\n" for b in shots[a]) + f"q{a}" for a in ids}
     assert {r["item"]: r.prompt for r in QUERIES["fewshot_prompt"](spark, str(tmp_path)).collect()} == expected
+
+
+def test_interp_takes_all_events(spark, tmp_path):
+    rng = random.Random(5)
+    events = [(i, rng.randrange(50), round(rng.uniform(0, 9), 3)) for i in range(3000)]
+    spark.createDataFrame(events, "event_id long, user_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
+    curves, expected = {}, {}
+    for i, user, value in events:
+        curve = curves.setdefault(user % 20, {})
+        curve[i // 100] = max(value, curve.get(i // 100, value))
+    for i, user, _ in events:
+        xs = sorted(curves[user % 20])
+        at = i % 120 - 5.5
+        expected[user % 20, at] = np.interp(at, xs, [curves[user % 20][x] for x in xs])
+    got = {(r.k, r.pt): r.value for r in QUERIES["interp"](spark, str(tmp_path)).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k] == pytest.approx(expected[k], abs=1e-6) for k in expected)
+
+
+def test_text_queries_take_whole_texts(spark, long_dir, texts):
+    replaced = {r.doc_id: r.text for r in QUERIES["replace_first"](spark, long_dir).collect()}
+    assert replaced == {i: t.replace("dog", "<dog>", 1) for i, t in texts.items()}
+    spans = {r.doc_id: (r.start, r.merged) for r in QUERIES["candidate_span"](spark, long_dir).collect()}
+    assert spans == {i: (len(t.encode()) + 1, False) for i, t in texts.items()}
+    scores = {r.doc_id: r.score for r in QUERIES["dry_score"](spark, long_dir).collect()}
+    for i, t in texts.items():
+        tail = list(t.encode())[5:]
+        assert scores[i] == pytest.approx(-(zlib.crc32(str(tail).encode()) % 1000) / 100 - len(tail))

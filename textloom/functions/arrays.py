@@ -38,7 +38,9 @@ def common_suffix(sequences: Column) -> Column:
 
 def candidate_span(full: Column, context: Column) -> Column:
     """{start, merged}: the first candidate token after bos and the context's prefix, and whether the boundary was merged away."""
-    n = common_prefix(F.array(full, context))
+    # Side by side, in one pass: an element by its place would make both arrays anew at each place.
+    differs = F.array_position(F.zip_with(full, context, lambda a, b: ~a.eqNullSafe(b)), True)
+    n = F.when(differs == 0, F.size(full)).otherwise(differs - 1).cast("int")
     return F.struct((n + 1).alias("start"), (n != F.size(context)).alias("merged"))
 
 

@@ -166,8 +166,8 @@ def power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 20)
-    p = e.where("event_id % 3 = 0").groupBy("k", F.expr("cast(event_id div 100 as double)").alias("x")).agg(F.max("value").alias("y"))
-    q = e.where("event_id % 50 = 7").select("k", ((F.col("event_id") % 120).cast("double") - 5.5).alias("pt")).distinct()
+    p = e.groupBy("k", F.expr("cast(event_id div 100 as double)").alias("x")).agg(F.max("value").alias("y"))
+    q = e.select("k", ((F.col("event_id") % 120).cast("double") - 5.5).alias("pt")).distinct()
     return metrics.interpolate(p, q, "k", "x", "y", "pt").withColumn("value", F.round("value", 6))
 
 

@@ -141,7 +141,7 @@ def strip_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, strlen(h) + 1 AS start, false AS merged FROM (SELECT doc_id, text[1:20] AS h FROM documents)")
 def candidate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With single bytes as tokens a context is always a prefix of the whole."""
-    h = F.substring("text", 1, 20)
+    h = F.col("text")
     d = docs(spark, sf_dir).select("doc_id", arrays.candidate_span(arrays.byte_ids(F.concat(h, F.lit(" and"))), arrays.byte_ids(h)).alias("s"))
     return d.select("doc_id", F.col("s.start").cast("long").alias("start"), "s.merged")
 

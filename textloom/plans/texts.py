@@ -104,7 +104,7 @@ def rfind_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, CASE WHEN instr(h, lang) = 0 THEN h ELSE h[1:instr(h, lang) - 1] || '<' || lang || '>' || h[instr(h, lang) + length(lang):] END AS text FROM (SELECT doc_id, lang, text[1:200] AS h FROM documents)")
 def replace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", render.replace_first(F.substring("text", 1, 200), F.col("lang"), F.concat(F.lit("<"), "lang", F.lit(">"))).alias("text"))
+    return docs(spark, sf_dir).select("doc_id", render.replace_first(F.col("text"), F.col("lang"), F.concat(F.lit("<"), "lang", F.lit(">"))).alias("text"))
 
 
 ANSWER = "CASE doc_id % 4 WHEN 0 THEN 'so #### 1,' || n_chars || '.5 or' WHEN 1 THEN '#### -' || n_chars WHEN 2 THEN '####' || n_chars ELSE 'none' END"

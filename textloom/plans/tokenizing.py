@@ -150,4 +150,4 @@ def tool_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def dry_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", tokens.mock_score(arrays.byte_ids(F.substring("text", 1, 40)), F.lit(5)).alias("score"))
+    return docs(spark, sf_dir).select("doc_id", tokens.mock_score(arrays.byte_ids(F.col("text")), F.lit(5)).alias("score"))
