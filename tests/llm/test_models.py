@@ -187,3 +187,13 @@ def test_pipeline(spark, tmp_path):
     assert all(i in ids and 200 + i not in ids for i in range(5, 10))  # of near copies the first
     assert set(range(10, 60)) <= ids  # clean ones stay
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "exact dedup", "near-dedup", "mixing", "byte-level BPE"]
+
+
+def test_short_mailboxes_and_domains_never_run_out(spark):
+    """More addresses than mailboxes or domains of their form."""
+    one = [f"a@d{i}.com" for i in range(40)] + [f"{c}@same.org" for c in "abcdefghijklmnopqrstuvwxyz"] + [f"hi@{c}.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    forms = spark.createDataFrame([(f, 1) for f in one], "form string, n long")
+    got = {r.form: r.replacement for r in surrogates.replacements(forms, "k").collect()}
+    assert got.keys() == set(one) and len(set(got.values())) == len(one)
+    assert not {v.split("@")[0] for v in got.values()} & {f.split("@")[0] for f in one}
+    assert all(re.fullmatch(r"[a-z]+@[a-z0-9]+\.(com|org)", v) for v in got.values())

@@ -125,14 +125,18 @@ def _candidate(key: str) -> Column:
 
     same = F.array_join(F.transform(chars, redrawn), "")
     hexed = F.array_join(F.transform(chars, lambda c, i: F.substr(F.lit("0123456789abcdef"), _byte(h, i) % 16 + 1, F.lit(1))), "")
+    # After the first draws a mailbox or a domain gets letters in front, more and more, so that there is always a free one.
+    # Their bytes are the stream's last ones, which a short canon's own letters don't use.
+    wider = F.floor(F.col("attempt") / 4).cast("int")
+    front = F.when(wider > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(wider, F.lit(1))), lambda i: F.substr(F.lit(letters), _byte(h, F.floor(F.length(h) / 2).cast("int") - i) % 26 + 1, F.lit(1))), "")).otherwise("")
     label = F.substring_index(canon, ".", -1)  # a domain keeps its last label, a mailbox is named without its domain
     ip = F.concat_ws(".", *((_byte(h, F.lit(i)) % 223 + 1).cast("string") for i in range(4)))
     kept = F.greatest(size - 9, F.lit(0))  # a phone number's country code and what follows it
     card = F.concat(F.substr(same, F.lit(1), size - 1), F.lit("0"))
     checked = F.when(_luhn(canon) == 0, F.concat(F.substr(same, F.lit(1), size - 1), ((10 - _luhn(card)) % 10).cast("string"))).otherwise(same)
     out = F.when(kind == "ip", ip).when(kind == "card", checked).when(kind == "phone", F.concat(F.substr(canon, F.lit(1), kept), F.substr(same, kept + 1, size)))
-    out = out.when(kind == "domain", F.concat(F.substr(same, F.lit(1), size - F.length(label)), label))
-    out = out.when(kind == "mailbox", F.substring_index(same, "@", 1))
+    out = out.when(kind == "domain", F.concat(front, F.substr(same, F.lit(1), size - F.length(label)), label))
+    out = out.when(kind == "mailbox", F.concat(front, F.substring_index(same, "@", 1)))
     out = out.when((kind == "secret") & canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substr(same, F.lit(5), size))).when((kind == "secret") & canon.rlike("^[0-9a-f]{32,}$"), hexed)
     out = out.when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(same, F.lit(3), size)))
     more = lambda script, start: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("attempt") / 2).cast("int") + start), lambda i: _pick(SYLLABLES[script], _byte(h, i + 8))), "")
@@ -178,7 +182,7 @@ def _shaped(surrogate: Column, shape: Column, kind: Column) -> Column:
     spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, seen(" ", i), F.lit(1)))), "")
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1)))), "")
     name = F.when(F.upper(shape) == shape, F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind.isin("mailbox", "domain"), cased).when(kind.startswith("given") | kind.startswith("surname"), name).otherwise(surrogate)
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind.isin("mailbox", "domain"), F.concat(cased, F.substr(surrogate, F.length(shape) + 1, F.length(surrogate)))).when(kind.startswith("given") | kind.startswith("surname"), name).otherwise(surrogate)
 
 
 def replacements(forms: DataFrame, key: str) -> DataFrame:
