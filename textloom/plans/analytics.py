@@ -160,9 +160,10 @@ def power_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH p AS (SELECT user_id % 20 AS k, (event_id // 100)::DOUBLE AS x, max(value) AS y FROM events WHERE event_id % 3 = 0 GROUP BY ALL), q AS (SELECT DISTINCT user_id % 20 AS k, (event_id % 120)::DOUBLE - 5.5 AS pt FROM events WHERE event_id % 50 = 7),
-    n AS (SELECT q.k, q.pt, (SELECT max(x) FROM p WHERE p.k = q.k AND p.x <= q.pt) AS lo, (SELECT min(x) FROM p WHERE p.k = q.k AND p.x >= q.pt) AS hi FROM q)
-    SELECT n.k, pt, round(CASE WHEN lo IS NULL THEN b.y WHEN hi IS NULL OR lo = hi THEN a.y ELSE a.y + (pt - lo) / (hi - lo) * (b.y - a.y) END, 6) AS value FROM n LEFT JOIN p a ON a.k = n.k AND a.x = lo LEFT JOIN p b ON b.k = n.k AND b.x = hi"""
+    """WITH p AS (SELECT user_id % 20 AS k, (event_id // 100)::DOUBLE AS x, max(value) AS y FROM events GROUP BY ALL), q AS (SELECT DISTINCT user_id % 20 AS k, (event_id % 120)::DOUBLE - 5.5 AS pt FROM events),
+    lower AS (SELECT q.k, q.pt, p.x AS lo, p.y AS ly FROM q ASOF LEFT JOIN p ON p.k = q.k AND q.pt >= p.x),
+    n AS (SELECT l.*, p.x AS hi, p.y AS hy FROM lower l ASOF LEFT JOIN p ON p.k = l.k AND l.pt <= p.x)
+    SELECT k, pt, round(CASE WHEN lo IS NULL THEN hy WHEN hi IS NULL OR lo = hi THEN ly ELSE ly + (pt - lo) / (hi - lo) * (hy - ly) END, 6) AS value FROM n"""
 )
 def interp(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("k", F.col("user_id") % 20)

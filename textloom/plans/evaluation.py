@@ -23,12 +23,12 @@ def shard_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.shard_ids(spark, 8, 6542)
 
 
-@query("SELECT doc_id AS line_no, source AS subject, 'The language of ' || source || ' is ___.' AS cloze, lang AS true_value, 'xx' AS false_value FROM documents WHERE doc_id < 200")
+@query("SELECT doc_id AS line_no, source AS subject, 'The language of ' || source || ' is ___.' AS cloze, lang AS true_value, 'xx' AS false_value FROM documents")
 def external_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = lambda c: F.struct(c.alias("str"))
     flat = F.struct(F.col("source").alias("subject"), F.lit("The language of {} is ").alias("prompt"), target(F.col("lang")).alias("target_true"), target(F.lit("xx")).alias("target_new"))
     line = F.when(F.col("doc_id") % 2 == 0, F.to_json(flat)).otherwise(F.to_json(F.struct(flat.alias("requested_rewrite"))))
-    return files.external_probes(docs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), line.alias("value")), 200)
+    return files.external_probes(docs(spark, sf_dir).select(F.col("doc_id").alias("line_no"), line.alias("value")))
 
 
 @query("SELECT doc_id, n_chars AS depth, CASE WHEN doc_id % 2 = 0 THEN 'SSSL' ELSE 'L' END AS pattern FROM documents")
@@ -138,7 +138,7 @@ def strip_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", render.strip_lead(F.concat(lead, "lang", F.lit(" text"))).alias("text"))
 
 
-@query("SELECT doc_id, strlen(h) + 1 AS start, false AS merged FROM (SELECT doc_id, text[1:20] AS h FROM documents)")
+@query("SELECT doc_id, strlen(text) + 1 AS start, false AS merged FROM documents")
 def candidate_span(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With single bytes as tokens a context is always a prefix of the whole."""
     h = F.col("text")

@@ -30,7 +30,7 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("event_type").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total"))
 
 
-@query("SELECT doc_id AS row_id, count(*) AS n FROM documents, range(2) WHERE doc_id < 50 GROUP BY 1")
+@query("SELECT doc_id AS row_id, count(*) AS n FROM documents, range(2) GROUP BY 1")
 def stream_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that sample a letter and their end; what comes after isn't taken."""
     end = tokens.special_id("<|assistant_end|>")

@@ -102,7 +102,7 @@ def rfind_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.col("i").cast("long").alias("at"), F.when(ok, F.substr("t", F.lit(1), F.col("i"))).alias("context"), F.when(ok, F.substr("t", F.col("i") + F.length("lang") + 1, F.length("t"))).alias("tail"))
 
 
-@query("SELECT doc_id, CASE WHEN instr(h, lang) = 0 THEN h ELSE h[1:instr(h, lang) - 1] || '<' || lang || '>' || h[instr(h, lang) + length(lang):] END AS text FROM (SELECT doc_id, lang, text[1:200] AS h FROM documents)")
+@query("SELECT doc_id, CASE WHEN instr(h, lang) = 0 THEN h ELSE h[1:instr(h, lang) - 1] || '<' || lang || '>' || h[instr(h, lang) + length(lang):] END AS text FROM (SELECT doc_id, lang, text AS h FROM documents)")
 def replace_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", render.replace_first(F.col("text"), F.col("lang"), F.concat(F.lit("<"), "lang", F.lit(">"))).alias("text"))
 
@@ -164,7 +164,7 @@ def render_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH n AS (SELECT item_id AS i FROM benchmark), s AS (SELECT a.i AS item, b.i AS shot, row_number() OVER (PARTITION BY a.i ORDER BY sha256('11' || chr(0) || 'fewshot' || chr(0) || a.i || chr(0) || b.i)) AS r
-        FROM (SELECT i FROM n WHERE i < 40) a JOIN (SELECT i FROM n WHERE i < 40) b ON a.i <> b.i)
+        FROM n a JOIN n b ON a.i <> b.i)
     SELECT item, string_agg('q' || shot || ' a' || shot || chr(10) || chr(10), '' ORDER BY r) || 'q' || item AS prompt FROM s WHERE r <= 3 GROUP BY item"""
 )
 def fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -123,7 +123,7 @@ def pack_bestfit_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(spark, sf_dir, False).select("rank", "row", "n_docs", "placed", "content", F.size("tokens").alias("size"))
 
 
-@query("SELECT doc_id % 8 AS rank, sum(strlen(substr(text, 1, 1500)) + 1)::BIGINT AS total, 513 AS size FROM documents GROUP BY 1")
+@query("SELECT doc_id % 8 AS rank, sum(strlen(text) + 1)::BIGINT AS total, 513 AS size FROM documents GROUP BY 1")
 def pack_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is placed and what is cut off adds up to all tokens."""
     rows = packed(spark, sf_dir, True)

@@ -49,9 +49,9 @@ def latest_step(files: DataFrame, path: str = "path") -> DataFrame:
     return rows.agg(F.max(F.struct("depth", "step")).alias("m")).where("m is not null").select("m.depth", "m.step")
 
 
-def external_probes(lines: DataFrame, limit: int, line: str = "value", number: str = "line_no") -> DataFrame:
-    """The first ``limit`` external facts by place: subject, cloze, true_value, false_value; fields are nested or flat, the subject is put into the prompt."""
-    rows = lines.where(F.col(number) < limit).withColumn("r", F.from_json(line, PROBE))
+def external_probes(lines: DataFrame, limit: int | None = None, line: str = "value", number: str = "line_no") -> DataFrame:
+    """External facts, of which ``limit`` keeps the first by place: subject, cloze, true_value, false_value; fields are nested or flat, the subject is put into the prompt."""
+    rows = (lines if limit is None else lines.where(F.col(number) < limit)).withColumn("r", F.from_json(line, PROBE))
     either = lambda name: F.coalesce(F.col(f"r.requested_rewrite.{name}"), F.col(f"r.{name}"))
     stem = F.rtrim(F.replace(either("prompt"), F.lit("{}"), either("subject")))
     out = rows.select(number, either("subject").alias("subject"), F.concat(stem, F.lit(" ___.")).alias("cloze"), either("target_true.str").alias("true_value"), either("target_new.str").alias("false_value"))
