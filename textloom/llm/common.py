@@ -48,6 +48,14 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while f"__{name}" in taken:
+        name = f"_{name}"
+    return f"__{name}"
+
+
 def text_bytes(column: str = "text") -> Column:
     """The column's UTF-8 bytes; null counts as the empty text."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -81,10 +81,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs.select("doc_id", "text"), lexicon).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+#: A fixed key, so that the query gives the same rows each time; real use needs a secret one.
+SURROGATE_KEY = "op10 on the driver's synthetic documents"
+
+
 def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from textloom.llm.surrogates import pseudonymise
 
-    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"))
+    return pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), SURROGATE_KEY)
 
 
 OP3_SQL = """

@@ -3,7 +3,12 @@
 One pattern finds the entities. Each is cut into parts (a name's tokens, an e-mail's mailbox and domain, a number's
 digits), and each distinct part gets one keyed replacement of its kind for the whole corpus: the same part is replaced
 alike everywhere, and different parts differently. Replacements that collide with each other or with a part that
-occurs are drawn again. Each occurrence keeps its own format: separators, letter case, length.
+occurs are drawn again, from a space that grows with each draw, so that there is always a free one. Each occurrence
+keeps its own format: separators, letter case, length.
+
+A given name has one gender in the whole corpus: that of the titles it occurs with, else that of the lists, else none;
+names that both genders bear, or of which nothing is known, get names that both bear. A document's names are also
+replaced where they stand without a title.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, hot_join
+from textloom.llm.common import cut, hot_join, unused
 
 #: Forms of address by gender.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "господин", "г-н", "Κύριος")
@@ -19,12 +24,15 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "го
 NEUTRAL = ("Dr", "Prof")
 #: Given names that surrogates start from, and syllables of names, by script.
 GIVEN = {
-    "given_m_latin": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"),
-    "given_f_latin": ("Anna", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Ida", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"),
-    "given_m_cyrillic": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег"),
-    "given_f_cyrillic": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Лидия", "Мария", "Нина", "Ольга"),
-    "given_m_greek": ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Παύλος", "Σπύρος", "Φώτης"),
-    "given_f_greek": ("Αγγελική", "Βασιλική", "Δάφνη", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Σοφία"),
+    "m_latin": ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Ivan", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"),
+    "f_latin": ("Anna", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Ida", "Laura", "Maria", "Nora", "Paula", "Sofia", "Vera"),
+    "m_cyrillic": ("Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Максим", "Олег"),
+    "f_cyrillic": ("Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Лидия", "Мария", "Нина", "Ольга"),
+    "m_greek": ("Αλέξης", "Γιώργος", "Δημήτρης", "Κώστας", "Νίκος", "Παύλος", "Σπύρος", "Φώτης"),
+    "f_greek": ("Αγγελική", "Βασιλική", "Δάφνη", "Ελένη", "Ζωή", "Κατερίνα", "Μαρία", "Σοφία"),
+    "u_latin": ("Alex", "Charlie", "Dana", "Jamie", "Kim", "Noor", "Robin", "Sam", "Sascha", "Toni"),
+    "u_cyrillic": ("Валя", "Женя", "Саша", "Слава", "Шура"),
+    "u_greek": ("Άλεξ", "Κρις", "Μελ", "Τζο"),
 }
 SYLLABLES = {
     "latin": ("ba", "bel", "cor", "da", "den", "fa", "fer", "gal", "hol", "ka", "ken", "la", "lin", "ma", "mer", "na", "nor", "pa", "per", "ra", "ros", "sa", "sten", "ta", "tor", "va", "vel", "win"),
@@ -49,7 +57,8 @@ PERSON = rf"(?<![\p{{L}}])(?:{TITLES})\.? {NAME}(?: {NAME})?"
 PATTERN = "|".join((EMAIL, KEY, IBAN, IP, SSN, CARD, PHONE, PERSON))
 #: A cheap test that every match passes.
 HINT = rf"[@0-9]|password=|[0-9a-f]{{32}}|(?:{TITLES})\.? "
-ATTEMPTS = 48
+#: Draws after which kinds of a fixed length get longer: until then nearly all of a large space must be in use.
+FIXED_LENGTH_DRAWS = 16
 
 
 def _kind(form: Column) -> Column:
@@ -67,34 +76,47 @@ def _script(x: Column) -> Column:
     return F.when(x.rlike(r"\p{IsCyrillic}"), "cyrillic").when(x.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _part(kind: Column | str, canon: Column | None, shape: Column) -> Column:
+def _part(kind: Column | str, canon: Column | None, shape: Column, scope: Column | None = None, sex: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
     kind = F.lit(kind) if isinstance(kind, str) else kind
-    return F.struct(kind.alias("kind"), (F.lit(None).cast("string") if canon is None else canon).alias("canon"), shape.alias("shape"))
+    return F.struct(kind.alias("kind"), (F.lit("") if scope is None else scope).alias("scope"), (none if canon is None else canon).alias("canon"), shape.alias("shape"), (none if sex is None else sex).alias("sex"))
 
 
 def _parts(form: Column, kind: Column) -> Column:
-    """The parts of an entity in order; those without canon are kept as they are."""
+    """The parts of an entity in order; those without canon are kept as they are.
+
+    Surrogates differ within a scope. A mailbox's is its domain: as domains' surrogates differ from each other and from
+    all domains that occur, whole addresses do so too.
+    """
     box, domain = F.substring_index(form, "@", 1), F.substring_index(form, "@", -1)
     title = F.substring_index(form, " ", 1)
     bare = F.rtrim(F.regexp_replace(title, r"\.$", ""))
-    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise(F.element_at(F.array(F.lit("m"), F.lit("f")), (F.crc32(F.lower(form).cast("binary")) % 2 + 1).cast("int")))
-    names = F.slice(F.split(form, " "), 2, 2)
-    last, first = F.element_at(names, -1), F.element_at(names, 1)
-    surname = _part(F.concat(F.when((_script(last) == "cyrillic") & (gender == "f"), "surname_f_").otherwise("surname_"), _script(last)), F.lower(last), last)
-    given = _part(F.concat(F.lit("given_"), gender, F.lit("_"), _script(first)), F.lower(first), first)
-    space = _part("as_is", None, F.lit(" "))
+    sex = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f")
+    as_is = lambda text: _part("as_is", None, text)
+
+    def name_parts(names: Column, sex: Column | None) -> tuple[Column, Column]:
+        last, first = F.element_at(names, -1), F.element_at(names, 1)
+        feminine = (_script(last) == "cyrillic") & F.lower(last).rlike("(?:ов|ев|ёв|ин|ын)а$|ая$")
+        surname = _part(F.concat(F.when(feminine, "surname_f_").otherwise("surname_"), _script(last)), F.lower(last), last)
+        return _part(F.concat(F.lit("given_"), _script(first)), F.lower(first), first, sex=sex), surname
+
+    titled, plain = F.slice(F.split(form, " "), 2, 2), F.split(form, " ")
+    given, surname = name_parts(titled, sex)
+    bare_given, bare_surname = name_parts(plain, None)
+    space = as_is(F.lit(" "))
     return (
-        F.when(kind == "email", F.array(_part("mailbox", F.lower(form), box), _part("as_is", None, F.lit("@")), _part("domain", F.lower(domain), domain)))
-        .when(kind == "person", F.when(F.size(names) == 2, F.array(_part("as_is", None, title), space, given, space, surname)).otherwise(F.array(_part("as_is", None, title), space, surname)))
+        F.when(kind == "email", F.array(_part("mailbox", F.lower(box), box, F.lower(domain)), as_is(F.lit("@")), _part("domain", F.lower(domain), domain)))
+        .when(kind == "person", F.when(F.size(titled) == 2, F.array(as_is(title), space, given, space, surname)).otherwise(F.array(as_is(title), space, surname)))
+        .when(kind == "name", F.when(F.size(plain) == 2, F.array(bare_given, space, bare_surname)).otherwise(F.array(bare_surname)))
         .when(kind.isin("phone", "card", "ssn"), F.array(_part(kind, _digits(form), form)))
         .otherwise(F.array(_part(kind, F.when(kind == "iban", F.regexp_replace(form, " ", "")).otherwise(form), form)))
     )
 
 
 def _stream(key: str) -> Column:
-    """Keyed bytes in hex for kind, canon and attempt, two digits a character of canon and 64 bytes at least."""
-    blocks = F.sequence(F.lit(0), F.floor(F.length("canon") / 60).cast("int"))
-    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\0", F.lit(key), F.col("kind"), F.col("canon"), F.col("attempt").cast("string"), b.cast("string")), 512)), "")
+    """Keyed bytes in hex for kind, scope, canon and attempt: 128 bytes, and two more a character of canon and an attempt."""
+    blocks = F.sequence(F.lit(0), F.floor((F.length("canon") + F.col("attempt")) / 30).cast("int") + 1)
+    return F.array_join(F.transform(blocks, lambda b: F.sha2(F.concat_ws("\0", F.lit(key), F.col("kind"), F.col("scope"), F.col("canon"), F.col("attempt").cast("string"), b.cast("string")), 512)), "")
 
 
 def _byte(h: Column, i: Column) -> Column:
@@ -111,113 +133,153 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
-def _candidate(key: str) -> Column:
-    """A replacement of the same kind and form for kind, canon and attempt."""
-    h, canon, kind = F.col("stream"), F.col("canon"), F.col("kind")
+def _candidate() -> Column:
+    """A replacement of the same kind and form for kind, canon, sex, attempt and stream."""
+    h, canon, kind, attempt = F.col("stream"), F.col("canon"), F.col("kind"), F.col("attempt")
     chars = F.split(canon, "")
     letters, capitals = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     size = F.length(canon)
+    last = F.floor(F.length(h) / 2).cast("int")
+
+    def letter(b: Column, of: str) -> Column:
+        return F.substr(F.lit(of), b % len(of) + 1, F.lit(1))
 
     def redrawn(c: Column, i: Column) -> Column:
         b = _byte(h, i)
-        letter = lambda s: F.substr(F.lit(s), b % 26 + 1, F.lit(1))
-        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[A-Z]"), letter(capitals)).when(c.rlike(r"\p{L}"), letter(letters)).otherwise(c)
+        return F.when(c.rlike("[0-9]"), (b % 10).cast("string")).when(c.rlike("[A-Z]"), letter(b, capitals)).when(c.rlike(r"\p{L}"), letter(b, letters)).otherwise(c)
+
+    def drawn(n: Column, of: str) -> Column:
+        """``n`` characters from the stream's last bytes, which ``redrawn`` doesn't use."""
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: letter(_byte(h, last - i), of)), "")).otherwise("")
 
     same = F.array_join(F.transform(chars, redrawn), "")
-    hexed = F.array_join(F.transform(chars, lambda c, i: F.substr(F.lit("0123456789abcdef"), _byte(h, i) % 16 + 1, F.lit(1))), "")
-    # After the first draws a mailbox or a domain gets letters in front, more and more, so that there is always a free one.
-    # Their bytes are the stream's last ones, which a short canon's own letters don't use.
-    wider = F.floor(F.col("attempt") / 4).cast("int")
-    front = F.when(wider > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(wider, F.lit(1))), lambda i: F.substr(F.lit(letters), _byte(h, F.floor(F.length(h) / 2).cast("int") - i) % 26 + 1, F.lit(1))), "")).otherwise("")
-    label = F.substring_index(canon, ".", -1)  # a domain keeps its last label, a mailbox is named without its domain
+    hexed = F.array_join(F.transform(chars, lambda c, i: letter(_byte(h, i), "0123456789abcdef")), "")
+    # After two draws a mailbox or a domain gets letters in front, two more each time.
+    front = drawn(2 * (attempt - 1), letters)
+    label = F.substring_index(canon, ".", -1)  # a domain keeps its last label
     ip = F.concat_ws(".", *((_byte(h, F.lit(i)) % 223 + 1).cast("string") for i in range(4)))
     kept = F.greatest(size - 9, F.lit(0))  # a phone number's country code and what follows it
     card = F.concat(F.substr(same, F.lit(1), size - 1), F.lit("0"))
     checked = F.when(_luhn(canon) == 0, F.concat(F.substr(same, F.lit(1), size - 1), ((10 - _luhn(card)) % 10).cast("string"))).otherwise(same)
-    out = F.when(kind == "ip", ip).when(kind == "card", checked).when(kind == "phone", F.concat(F.substr(canon, F.lit(1), kept), F.substr(same, kept + 1, size)))
-    out = out.when(kind == "domain", F.concat(front, F.substr(same, F.lit(1), size - F.length(label)), label))
-    out = out.when(kind == "mailbox", F.concat(front, F.substring_index(same, "@", 1)))
-    out = out.when((kind == "secret") & canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substr(same, F.lit(5), size))).when((kind == "secret") & canon.rlike("^[0-9a-f]{32,}$"), hexed)
-    out = out.when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(same, F.lit(3), size)))
-    more = lambda script, start: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.col("attempt") / 2).cast("int") + start), lambda i: _pick(SYLLABLES[script], _byte(h, i + 8))), "")
-    for name, given in GIVEN.items():
-        script = name.rsplit("_", 1)[1]
-        # After the first draws a listed name gets syllables, more and more, so that there is always a free one.
-        out = out.when(kind == name, F.lower(F.when(F.col("attempt") < 2, _pick(given, _byte(h, F.lit(0)))).otherwise(F.concat(more(script, 0), F.lower(_pick(given, _byte(h, F.lit(0))))))))
+    fixed = F.when(kind == "ip", ip).when(kind == "card", checked).when(kind == "phone", F.concat(F.substr(canon, F.lit(1), kept), F.substr(same, kept + 1, size)))
+    fixed = fixed.when((kind == "secret") & canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substr(same, F.lit(5), size))).when((kind == "secret") & canon.rlike("^[0-9a-f]{32,}$"), hexed)
+    fixed = fixed.when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(same, F.lit(3), size))).otherwise(same)
+    out = F.when(kind == "domain", F.concat(front, F.substr(same, F.lit(1), size - F.length(label)), label)).when(kind == "mailbox", F.concat(front, same))
+
+    def syllables(script: str, n: Column) -> Column:
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _pick(SYLLABLES[script], _byte(h, i + 8))), "")).otherwise("")
+
     for script in SYLLABLES:
-        out = out.when(kind == f"surname_{script}", more(script, 1))
-    out = out.when(kind == "surname_f_cyrillic", F.concat(more("cyrillic", 1), F.lit("ова")))
-    return out.otherwise(same)
+        # The first draw of a given name is from the list; later ones have syllables in front, one more each time.
+        listed = [_pick(GIVEN[f"{sex}_{script}"], _byte(h, F.lit(0))) for sex in "mfu"]
+        listed = F.when(F.col("sex") == "m", listed[0]).when(F.col("sex") == "f", listed[1]).otherwise(listed[2])
+        out = out.when(kind == f"given_{script}", F.concat(syllables(script, attempt), F.lower(listed)))
+        out = out.when(kind == f"surname_{script}", syllables(script, attempt + 2))
+    out = out.when(kind == "surname_f_cyrillic", F.concat(syllables("cyrillic", attempt + 2), F.lit("ова")))
+    return out.otherwise(F.concat(fixed, drawn(attempt - FIXED_LENGTH_DRAWS, "0123456789")))
+
+
+def _sex(canon: Column, male: Column, female: Column) -> Column:
+    """A given name's gender by its titles, else by the lists, else 'u'."""
+    listed = lambda sex: canon.isin(*(n.lower() for k, v in GIVEN.items() if k.startswith(sex) for n in v))
+    return F.when(male & female, "u").when(male, "m").when(female, "f").when(listed("m"), "m").when(listed("f"), "f").otherwise("u")
 
 
-def assign(parts: DataFrame, key: str, attempts: int = ATTEMPTS) -> DataFrame:
-    """kind, canon, surrogate for the distinct kind and canon of ``parts``: distinct within a kind, and no canon of the kind.
+def assign(parts: DataFrame, key: str) -> DataFrame:
+    """kind, scope, canon, surrogate for the distinct kind, scope and canon of ``parts`` (also sex: of the title, or null).
 
-    Of parts that draw the same surrogate the first by canon keeps it; the others draw again with the next attempt, as
-    do those that drew a canon or an assigned surrogate. RuntimeError if parts are left after ``attempts`` rounds.
+    Surrogates are distinct within a kind and scope and are no canon of these, but that a mailbox only differs from its
+    own canon. Of parts that draw the same surrogate the first by canon keeps it; the others draw again, as do those
+    that drew a canon or an assigned surrogate. Each draw's space is larger than the one before it, so draws end.
     """
-    real = cut(parts.select("kind", "canon").distinct())
-    # A mailbox is drawn by the whole address; what must not come up again is its own part.
-    taken = cut(real.select("kind", F.when(F.col("kind") == "mailbox", F.substring_index("canon", "@", 1)).otherwise(F.col("canon")).alias("surrogate")).distinct())
-    pending, settled = real, None
-    for attempt in range(attempts):
-        drawn = pending.withColumn("attempt", F.lit(attempt)).withColumn("stream", _stream(key)).withColumn("surrogate", _candidate(key)).select("kind", "canon", "surrogate")
-        free = drawn.join(taken.withColumn("__taken", F.lit(True)), ["kind", "surrogate"], "left")
-        order = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("canon"))
-        judged = cut(free.select("kind", "canon", "surrogate", (F.col("__taken").isNull() & (order == 1)).alias("good")))
-        good = judged.where("good").drop("good")
+    seen = lambda sex: F.coalesce(F.bool_or(F.col("sex") == sex), F.lit(False))
+    real = parts.groupBy("kind", "scope", "canon").agg(seen("m").alias("m"), seen("f").alias("f"))
+    real = cut(real.select("kind", "scope", "canon", _sex(F.col("canon"), F.col("m"), F.col("f")).alias("sex")))
+    taken = real.where("kind <> 'mailbox'").select("kind", "scope", F.col("canon").alias("surrogate"))
+    pending, settled, attempt = real, None, 0
+    while True:
+        drawn = pending.withColumn("attempt", F.lit(attempt)).withColumn("stream", _stream(key)).withColumn("surrogate", _candidate())
+        # One row a drawn surrogate, whoever drew it: partial minima come before the shuffle.
+        first = drawn.where("surrogate <> canon").groupBy("kind", "scope", "surrogate").agg(F.min("canon").alias("canon"))
+        good = cut(first.join(taken, ["kind", "scope", "surrogate"], "left_anti").select("kind", "scope", "canon", "surrogate"))
         settled = good if settled is None else settled.unionByName(good)
-        pending = judged.where("not good").select("kind", "canon")
+        pending = cut(pending.join(good, ["kind", "scope", "canon"], "left_anti"))
         if pending.isEmpty():
             return settled
-        taken = taken.unionByName(good.select("kind", "surrogate"))
-    raise RuntimeError(f"no free surrogates after {attempts} draws")
+        taken = taken.unionByName(good.select("kind", "scope", "surrogate"))
+        attempt += 1
 
 
 def _shaped(surrogate: Column, shape: Column, kind: Column) -> Column:
-    """A surrogate in the format of an occurrence."""
+    """A surrogate in the format of an occurrence; what a longer one has over its length follows as it is."""
     chars = F.split(shape, "")
     seen = lambda pattern, i: F.length(F.regexp_replace(F.substr(shape, F.lit(1), i + 1), pattern, ""))
-    digits = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(surrogate, seen("[^0-9]", i), F.lit(1))).otherwise(c)), "")
-    spaced = F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, seen(" ", i), F.lit(1)))), "")
+    beyond = lambda n: F.substr(surrogate, n + 1, F.length(surrogate))
+    digits = F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike("[0-9]"), F.substr(surrogate, seen("[^0-9]", i), F.lit(1))).otherwise(c)), ""), beyond(F.length(_digits(shape))))
+    spaced = F.concat(F.array_join(F.transform(chars, lambda c, i: F.when(c == " ", c).otherwise(F.substr(surrogate, seen(" ", i), F.lit(1)))), ""), beyond(F.length(F.regexp_replace(shape, " ", ""))))
     cased = F.array_join(F.transform(chars, lambda c, i: F.when(c.rlike(r"\p{Lu}"), F.upper(F.substr(surrogate, i + 1, F.lit(1)))).otherwise(F.substr(surrogate, i + 1, F.lit(1)))), "")
-    name = F.when(F.upper(shape) == shape, F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind.isin("mailbox", "domain"), F.concat(cased, F.substr(surrogate, F.length(shape) + 1, F.length(surrogate)))).when(kind.startswith("given") | kind.startswith("surname"), name).otherwise(surrogate)
+    name = F.when((F.upper(shape) == shape) & (F.length(shape) > 1), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    return F.when(kind.isin("phone", "card", "ssn"), digits).when(kind == "iban", spaced).when(kind.isin("mailbox", "domain"), F.concat(cased, beyond(F.length(shape)))).when(kind.startswith("given") | kind.startswith("surname"), name).otherwise(surrogate)
 
 
 def replacements(forms: DataFrame, key: str) -> DataFrame:
-    """form, n, type, replacement for the distinct entities of ``forms`` (form, n)."""
-    typed = forms.withColumn("type", _kind(F.col("form")))
-    parts = typed.select("form", F.posexplode(_parts(F.col("form"), F.col("type"))).alias("i", "part")).select("form", "i", "part.*")
-    drawn = assign(parts.where("canon is not null"), key)
-    made = parts.join(drawn, ["kind", "canon"], "left").select("form", "i", F.when(F.col("canon").isNull(), F.col("shape")).otherwise(_shaped(F.col("surrogate"), F.col("shape"), F.col("kind"))).alias("text"))
-    whole = made.groupBy("form").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("replacement"))
-    return typed.join(whole, "form")
-
-
-def pseudonymise(docs: DataFrame, key: str = "textloom") -> DataFrame:
+    """id, n, type, replacement for the distinct entities of ``forms`` (id, form, bare: a name without title, n)."""
+    typed = forms.withColumn("type", F.when(F.col("bare"), "name").otherwise(_kind(F.col("form"))))
+    parts = typed.select("id", F.posexplode(_parts(F.col("form"), F.col("type"))).alias("i", "part")).select("id", "i", "part.*")
+    known = parts.where("canon is not null")
+    drawn = assign(known, key)
+    # Many entities share a domain or a surname: those parts' own rows are spread.
+    uses = known.groupBy("kind", "scope", "canon").agg(F.count("*").alias("uses"))
+    drawn = drawn.join(uses, ["kind", "scope", "canon"]).withColumn("what", F.concat_ws("\0", "kind", "scope", "canon")).select("what", "uses", "surrogate")
+    total = uses.agg(F.coalesce(F.sum("uses"), F.lit(0))).first()[0]
+    put = hot_join(parts.withColumn("what", F.when(F.col("canon").isNotNull(), F.concat_ws("\0", "kind", "scope", "canon"))), drawn, "what", "uses", total, F.xxhash64("id", "i"))
+    made = put.select("id", "i", F.when(F.col("canon").isNull(), F.col("shape")).otherwise(_shaped(F.col("surrogate"), F.col("shape"), F.col("kind"))).alias("text"))
+    whole = made.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("replacement"))
+    return typed.join(whole, "id")
+
+
+def _named(found: Column) -> Column:
+    """The names of a document's persons, longer ones first, as they stand without a title: whole names and surnames."""
+    persons = F.filter(found, lambda f: f.rlike(f"^(?:{PERSON})$"))
+    names = F.flatten(F.transform(persons, lambda f: F.array(F.array_join(F.slice(F.split(f, " "), 2, 2), " "), F.substring_index(f, " ", -1))))
+    return F.reverse(F.array_sort(F.array_distinct(names)))
+
+
+def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """``docs`` with text replaced by the text with surrogates, and a column n_entities (it replaces one of that name).
 
+    ``key`` decides all draws. Who knows it can find a number again by trying all, so it must be secret and has no default.
+
     Null texts stay null and texts without entities as they are, with n_entities 0. An entity that occurs in many
-    documents, or often in one, has one replacement. Repeated rows get equal texts; doc_id isn't used and may be null;
-    an empty table gives an empty result. ``docs`` must be repeatable (files or a checkpoint): rows are known by their
+    documents, or often in one, has one replacement. Titles without a known gender (Dr, Prof) leave it to the given name.
+    Repeated rows get equal texts; doc_id isn't used and may be null; an empty table gives an empty result; other
+    columns pass whatever their names. ``docs`` must be repeatable (files or a checkpoint): rows are known by their
     place in it.
     """
-    names = [c for c in docs.columns if c != "n_entities"]
-    numbered = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("__uid", F.monotonically_increasing_id())
+    if not key:
+        raise ValueError("surrogates need a secret key")
+    names = [c for c in docs.columns if c.lower() != "n_entities"]
+    uid, seen = unused(docs, "uid"), unused(docs, "found")
+    numbered = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn(uid, F.monotonically_increasing_id())
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    numbered = numbered.withColumn("__found", F.coalesce(found, F.array().cast("array<string>")))
-    hits = cut(numbered.where("size(__found) > 0").select("__uid", "text", "__found"))
-    uses = hits.select("__uid", F.posexplode("__found").alias("at", "form"))
-    forms = cut(uses.groupBy("form").agg(F.count("*").alias("n")))
+    numbered = numbered.withColumn(seen, F.coalesce(found, F.array().cast("array<string>")))
+    hits = numbered.where(F.size(seen) > 0).select(F.col(uid).alias("uid"), "text", F.col(seen).alias("found"))
+    hits = hits.withColumn("names", _named(F.col("found")))
+    pattern = F.when(F.size("names") > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}'’-])"))).otherwise(F.lit(PATTERN))
+    hits = hits.withColumn("pattern", pattern)
+    hits = cut(hits.withColumn("found", F.when(F.size("names") > 0, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found"))))
+    uses = hits.select("uid", "names", F.posexplode("found").alias("at", "form")).withColumn("bare", F.array_contains("names", F.col("form")))
+    uses = uses.select("uid", "at", "form", "bare", F.concat(F.when(F.col("bare"), "n:").otherwise("e:"), "form").alias("id"))
+    forms = cut(uses.groupBy("id", "form", "bare").agg(F.count("*").alias("n")))
     total = forms.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    table = cut(replacements(forms, key).select("form", "n", "replacement"))
-    put = hot_join(uses, table, "form", "n", total, F.xxhash64("__uid", "at"))
-    put = put.groupBy("__uid").agg(F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("__put"))
-    between = F.split("text", PATTERN, -1)
-    filled = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("__put"), i)["replacement"], F.lit("")))), "")
-    changed = hits.join(put, "__uid").select(F.col("__uid").alias("__changed"), filled.alias("__text"), F.size("__put").alias("__n"))
-    rest = numbered.where("size(__found) = 0").select(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("n_entities"))
-    back = numbered.where("size(__found) > 0").drop("text", "__found").join(changed, F.col("__uid") == F.col("__changed"))
-    back = back.select(*((F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`")) for c in names), F.col("__n").alias("n_entities"))
+    table = cut(replacements(forms, key).select("id", "n", "replacement"))
+    put = hot_join(uses.select("uid", "at", "id"), table, "id", "n", total, F.xxhash64("uid", "at"))
+    put = put.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "replacement"))).alias("put"))
+    between = F.split(F.col("text"), F.col("pattern"), -1)
+    filled = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("put"), i)["replacement"], F.lit("")))), "")
+    made, n, changed = (unused(docs, x) for x in ("made", "n", "changed"))
+    changes = hits.join(put, "uid").select(F.col("uid").alias(changed), filled.alias(made), F.size("put").alias(n))
+    rest = numbered.where(F.size(seen) == 0).select(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("n_entities"))
+    back = numbered.where(F.size(seen) > 0).drop("text", seen).join(changes, F.col(uid) == F.col(changed))
+    back = back.select(*((F.col(made).alias(c) if c.lower() == "text" else F.col(f"`{c}`")) for c in names), F.col(n).alias("n_entities"))
     return rest.unionByName(back)
