@@ -127,6 +127,76 @@ def test_rates_meet_targets_or_bounds(spark):
     assert rated.where("rate < 0.5 or rate > 2.0").count() == 0
 
 
+def solved(p, tokens, targets, least, most):
+    """The constrained least squares by a long plain projected gradient over documents, dense."""
+    total = tokens.sum()
+    gram = (p * tokens[:, None]).T @ p / total
+    weigh, rate = np.linalg.inv(gram + 1e-12 * np.eye(len(targets))), np.clip(np.ones(len(p)), least, most)
+    for _ in range(20_000):
+        gap = ((rate * tokens) @ p - targets) / total
+        rate = np.clip(rate - p @ (weigh @ gap), least, most)
+    gap = ((rate * tokens) @ p - targets) / total
+    return gap @ weigh @ gap, (rate * tokens) @ p
+
+
+@pytest.mark.parametrize("shares,least,most", [((0.5, 0.3, 0.2), 0.0, 8.0), ((0.8, 0.19, 0.01), 0.0, 2.0), ((0.1, 0.1, 0.8), 1.0, 3.0), ((0.0, 0.0, 1.0), 0.2, 1.2)])
+def test_rates_are_those_of_a_dense_solver(spark, shares, least, most):
+    """Reachable targets are met; of others the fit is as near as any, up to the grid's cells."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4, 0.6, 0.2], 500)
+    tokens = rng.integers(0, 400, 500).astype(float)
+    targets = np.array(shares) * tokens.sum()
+    members = cut(spark.createDataFrame([(i, int(t), *map(float, x)) for i, (t, x) in enumerate(zip(tokens, p, strict=True))], "doc_id long, tokens long, p0 double, p1 double, p2 double"))
+    rated, expected = domain_mixing.fit_rates(members, targets.tolist(), least, most)
+    rows = rated.collect()
+    assert len(rows) == 500 and all(least <= r.rate <= most for r in rows)
+    sums = np.array([sum(r.rate * r.tokens * r[f"p{i}"] for r in rows) for i in range(3)])
+    assert sums == pytest.approx(expected, rel=1e-9, abs=1e-6)
+    best, near = solved(p, tokens, targets, least, most)
+    gap = (sums - targets) / tokens.sum()
+    weigh = np.linalg.inv((p * tokens[:, None]).T @ p / tokens.sum())
+    assert gap @ weigh @ gap <= best * 1.01 + 1e-9
+    assert np.abs(sums - near).max() <= 0.005 * tokens.sum()
+
+
+def test_posteriors_are_naive_bayes(spark, labelled):
+    """Against the same formulas in plain Python."""
+    targets = labelled.where("doc_id % 3 <> 1").select("doc_id", F.col("lang").alias("domain")).unionByName(labelled.where("doc_id = 1").select("doc_id", F.lit("a`__bucket").alias("domain")))
+    domains, table, priors = domain_mixing.fit_domains(labelled, targets)
+    assert domains == ["a`__bucket", "en", "fr"]
+    texts = {r.doc_id: r.text.lower() for r in labelled.select("doc_id", "text").collect()}
+    words = labelled.select(F.explode(F.split(F.lower("text"), " ")).alias("w")).select("w", domain_mixing._bucket(F.col("w")).alias("b")).distinct().collect()
+    bucket = {r.w: r.b for r in words}
+    label = {r.doc_id: r.domain for r in targets.collect()}
+    counts = {d: {} for d in domains}
+    for i, d in label.items():
+        for w in texts[i].split():
+            counts[d][bucket[w]] = counts[d].get(bucket[w], 0) + 1
+    log = lambda d, b: np.log((counts[d].get(b, 0) + 0.5) / (sum(counts[d].values()) + 0.5 * domain_mixing.BUCKETS))
+    got = {r.doc_id: r for r in domain_mixing.posteriors(labelled, table, priors).collect()}
+    for i in sorted(texts)[:60]:
+        ws = texts[i].split()
+        z = np.array([np.log(sum(x == d for x in label.values()) / len(label)) + domain_mixing.TEMPER / np.sqrt(len(ws)) * sum(log(d, bucket[w]) for w in ws) for d in domains])
+        q = np.exp(z - z.max())
+        assert [got[i].p0, got[i].p1, got[i].p2] == pytest.approx(list(q / q.sum()), abs=1e-6) and got[i].tokens == len(ws)
+
+
+def test_many_domains_and_unmet_shares(spark, labelled):
+    """No domain is left out, whatever their number; shares out of reach are reported."""
+    many = labelled.select("doc_id", F.concat(F.lit("d"), F.col("doc_id") % 80).alias("domain"))
+    domains, _, priors = domain_mixing.fit_domains(labelled, many)
+    assert len(domains) == len(priors) == 80
+    targets = labelled.select("doc_id", F.col("lang").alias("domain"))
+    with pytest.warns(UserWarning, match="keep these shares"):
+        rows = domain_mixing.mix(labelled, targets, {"en": 0.98, "de": 0.01, "fr": 0.01}, least=0.9, most=1.5).collect()
+    assert {r.domain: round(r.target_share, 2) for r in rows} == {"en": 0.98, "de": 0.01, "fr": 0.01}
+    total = sum(r.rate * r.tokens for r in rows)
+    assert all(abs(r.reached_share - sum(x.rate * x.tokens for x in rows if x.domain == r.domain) / total) < 0.02 for r in rows[:9])
+    with pytest.warns(UserWarning, match="no labelled rows"):
+        rows = domain_mixing.mix(labelled, targets, {"en": 0.5, "de": 0.3, "fr": 0.2, "xx": 0.5}, budget=None).collect()
+    assert len(rows) == labelled.count() and all(r.target_share == pytest.approx(r.reached_share, abs=0.005) for r in rows)
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)

@@ -1,28 +1,33 @@
 """Mixing to target weights with soft domain membership, in DataFrame operations only.
 
 A naive Bayes classifier is counted from labelled rows over hashed words and gives each document posteriors of the
-domains. Projected gradient descent then fits one rate a document so that the expected tokens of each domain,
-``sum(rate * tokens * posterior)``, come as near to their targets as the bounds on the rates allow.
+domains. Projected gradient descent then fits the documents' rates so that the expected tokens of each domain,
+``sum(rate * tokens * posterior)``, come as near to their targets as the bounds on the rates allow. A document's
+gradient depends on its posteriors alone, so documents with posteriors of the same cell of a grid share one rate.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut
+from textloom.llm.common import cut, unused
 
 #: Hash buckets of words: the size of the classifier's table, and so of what is broadcast.
 BUCKETS = 4096
-#: Domains at most.
-MAX_DOMAINS = 64
 #: Weight of the root-mean evidence of a document's words against the prior: words of a text are far from independent.
 TEMPER = 0.6
-STEPS, TOLERANCE = 40, 1e-6
+#: Descent ends when the projected gradient moves no rate by more than this, and after so many steps in any case.
+TOLERANCE, STEPS = 1e-5, 300
+#: Dampings of the steps that are tried in one pass besides the gradient's own: from nearly that one to nearly Newton's.
+DAMPINGS = (0.3, 0.1, 0.03, 0.01, 3e-3, 1e-3, 1e-4, 1e-6)
+#: Cells of the posteriors' grid at most; this bounds what is broadcast.
+CELLS = 50_000
 #: Labelled rows that the classifier is counted from, at most; a hash of doc_id picks them. Their ids are broadcast.
 FIT_ROWS = 50_000
 
@@ -44,27 +49,31 @@ def _histogram(rows: DataFrame, keys: list[str]) -> DataFrame:
 def fit_domains(docs: DataFrame, labelled: DataFrame, rows: int = FIT_ROWS) -> tuple[list[str], DataFrame, list[float]]:
     """(domains, table of log-likelihoods a bucket and domain, log priors) from ``labelled`` (doc_id, domain).
 
-    At most ``rows`` labelled rows count, so that their ids are broadcast and no text is shuffled for them. The table has ``BUCKETS`` rows and a column w0, w1, ... a domain, in the domains' order.
+    At most ``rows`` labelled rows count (the bound of the sample), so that their ids are broadcast and no text is
+    shuffled for them; repeated ones count as often as they occur. All domains of these rows are kept, whatever their
+    names. The table has ``BUCKETS`` rows and a column w0, w1, ... a domain, in the domains' order.
     """
     spark = docs.sparkSession
-    labelled = labelled.where("doc_id is not null and domain is not null").select("doc_id", "domain")
-    labelled = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows))
-    texts = docs.select("doc_id", "text").join(F.broadcast(labelled), "doc_id")
-    counts = cut(_histogram(texts, ["domain"]))
-    sizes = {r[0]: r[1] for r in labelled.groupBy("domain").count().orderBy("domain").limit(MAX_DOMAINS).toLocalIterator()}
+    labelled = labelled.where("doc_id is not null and domain is not null").select("doc_id", F.col("domain").cast("string").alias("domain"))
+    labelled = cut(labelled.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(rows).select(F.col("doc_id").alias("doc_id"), F.col("domain").alias("domain")))
+    sizes = {r[0]: r[1] for r in labelled.groupBy("domain").count().toLocalIterator()}  # at most ``rows``
     domains = sorted(sizes)
-    totals = {r[0]: r[1] for r in counts.groupBy("domain").agg(F.sum("__n")).toLocalIterator()}
+    number = spark.createDataFrame([(d, i) for i, d in enumerate(domains)], "domain string, k int")
+    labelled = labelled.join(F.broadcast(number), "domain").select(F.col("doc_id").alias("__labelled"), "k")
+    texts = docs.select("doc_id", "text").join(F.broadcast(labelled), F.col("doc_id") == F.col("__labelled"))
+    counts = cut(_histogram(texts, ["k"]))
+    totals = {r[0]: r[1] for r in counts.groupBy("k").agg(F.sum("__n")).toLocalIterator()}
     smooth = 0.5
     table = spark.range(BUCKETS).select(F.col("id").cast("int").alias("__bucket"))
-    by_bucket = counts.groupBy("__bucket").pivot("domain", domains or ["none"]).agg(F.sum("__n"))
+    by_bucket = counts.groupBy("__bucket").pivot("k", list(range(len(domains))) or [0]).agg(F.sum("__n"))
     table = table.join(by_bucket, "__bucket", "left")
-    weights = [F.log((F.coalesce(F.col(f"`{d}`"), F.lit(0)) + smooth) / F.lit(totals.get(d, 0) + smooth * BUCKETS)).alias(f"w{i}") for i, d in enumerate(domains)]
+    weights = [F.log((F.coalesce(F.col(f"`{i}`"), F.lit(0)) + smooth) / F.lit(totals.get(i, 0) + smooth * BUCKETS)).alias(f"w{i}") for i in range(len(domains))]
     priors = [math.log(sizes[d] / sum(sizes.values())) for d in domains]
     return domains, cut(table.select("__bucket", *weights)), priors
 
 
 def posteriors(docs: DataFrame, table: DataFrame, priors: list[float]) -> DataFrame:
-    """__uid, doc_id, tokens (words) and p0, p1, ... of each row; a text without words has the priors."""
+    """__uid, doc_id, tokens (words) and p0, p1, ... of each row, repeated rows too; null texts and those without words have the priors."""
     k = len(priors)
     rows = docs.select(F.monotonically_increasing_id().alias("__uid"), "doc_id", "text")
     # One row a word meets the table (of fixed size) in a broadcast join and is summed in the same stage: rows of a
@@ -83,74 +92,137 @@ def posteriors(docs: DataFrame, table: DataFrame, priors: list[float]) -> DataFr
     return out.withColumn("__sum", total).select("__uid", "doc_id", "tokens", *((F.exp(F.col(f"l{i}") - F.col("__top")) / F.col("__sum")).alias(f"p{i}") for i in range(k)))
 
 
+def _grid(k: int) -> int:
+    """Steps of the grid: the finest of at most 512 whose cells, vectors of ``k`` floors that add up to it or to up to k - 1 less, are no more than ``CELLS``."""
+    g = 1
+    while g < 512 and k * math.comb(g + k, k - 1) <= CELLS:
+        g += 1
+    return g
+
+
 def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, most: float = 1e9, steps: int = STEPS) -> tuple[DataFrame, list[float]]:
-    """``members`` with column rate, and the expected tokens of the domains that the rates give.
+    """``members`` (tokens, p0, p1, ...) with column rate, and the expected tokens of the domains that the rates give.
 
     Projected gradient descent on generalised least squares: the gaps between expected and target tokens are weighed
-    by the inverse of the memberships' Gram matrix ``sum(tokens * p p') / total``, so that domains that documents share
-    don't slow it down. In the metric that divides a document's gradient by its tokens the step 1 is then safe, and a
-    document moves by its membership, not by its length. Rates are projected onto [``least``, ``most``] each time. A
-    step needs one distributed sum a domain; nothing else reaches the driver.
+    by the inverse of the memberships' Gram matrix ``sum(tokens * p p') / total``. In the metric that divides a
+    document's gradient by its tokens the step 1 is then safe, and a document moves by its membership, not by its
+    length. Each pass also tries damped Newton steps of the rates that no bound holds, and the best of all is taken; so
+    bounds don't slow the descent down. Rates are projected onto [``least``, ``most``] each time. It ends
+    when the projected gradient vanishes; should ``steps`` come first, there is a warning.
+
+    Documents are first summed up by the cells of their posteriors, which changes no expected total. A pass then runs
+    over ``CELLS`` rows at most, and only sums a domain reach the driver. Without tokens all rates are the start, 1.
     """
     k = len(targets)
+    size = _grid(k)
+    cell = F.array(*(F.floor(F.col(f"p{i}") * size).cast("int") for i in range(k)))
+    mass = F.sum(F.col("tokens").cast("double"))
+    mean = lambda i: F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")) / F.nullif(mass, F.lit(0.0)), F.avg(f"p{i}"))
+    cells = cut(members.groupBy(cell.alias("cell")).agg(mass.alias("tokens"), *(mean(i).alias(f"p{i}") for i in range(k))))
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    found = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *(F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}")), F.lit(0.0)) for i, j in pairs)).first()
-    start = F.lit(float(max(least, min(most, 1.0))))
-    total, frame = float(found[0]), members.withColumn("rate", start)
+    total_of = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+
+    def gram_of(sums) -> np.ndarray:
+        out = np.zeros((k, k))
+        for (i, j), x in zip(pairs, sums, strict=True):
+            out[i, j] = out[j, i] = x / total
+        return out
+
+    def clipped(x: Column) -> Column:
+        return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), x))
+
+    def along(direction: np.ndarray) -> Column:
+        return sum((F.lit(float(g)) * F.col(f"p{i}") for i, g in enumerate(direction)), F.lit(0.0))
+
+    products = [F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}") for i, j in pairs]
+    frame = cells.withColumn("rate", clipped(F.lit(1.0)))
+    found = frame.agg(total_of("tokens"), *(total_of(x) for x in products), *(total_of(F.col("rate") * F.col("tokens") * F.col(f"p{i}")) for i in range(k))).first()
+    total = float(found[0])
     if not total:
-        return frame, [0.0] * k
-    gram = np.eye(k) * 1e-6
-    for (i, j), x in zip(pairs, found[1:], strict=True):
-        gram[i, j] += x / total
-        gram[j, i] = gram[i, j]
-    weigh, done = np.linalg.inv(gram), 0
+        return members.withColumn("rate", clipped(F.lit(1.0))), [0.0] * k
+    weigh = np.linalg.inv(gram_of(found[1 : 1 + len(pairs)]) + np.eye(k) * 1e-9)
+    expected = np.array(found[1 + len(pairs) :], float)
+    done = 0
     while True:
-        expected = [float(x) for x in frame.agg(*(F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in range(k))).first()]
-        gap = (np.array(expected) - targets) / total
-        if done == steps or np.abs(gap).max() < TOLERANCE:
-            return frame, expected
-        move = sum((F.lit(float(g)) * F.col(f"p{i}") for i, g in enumerate(weigh @ gap)), F.lit(0.0))
-        frame = frame.withColumn("rate", F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), F.col("rate") - move)))
+        gap = (expected - targets) / total
+        slope = weigh @ gap
+        free = F.abs(F.col("rate") - clipped(F.col("rate") - along(slope))) > 0
+        at = frame.agg(F.coalesce(F.max(F.abs(F.col("rate") - clipped(F.col("rate") - along(slope)))), F.lit(0.0)), *(total_of(F.when(free, x)) for x in products)).first()
+        if at[0] <= TOLERANCE:
+            break
+        if done == steps:
+            warnings.warn(f"rates still move by {at[0]:.2g} after {steps} steps", stacklevel=2)
+            break
+        curve = weigh @ gram_of(at[1:])
+        tried = [slope] + [np.linalg.solve(curve + damping * np.eye(k), slope) for damping in DAMPINGS]
+        sums = frame.agg(*(total_of(clipped(F.col("rate") - along(move)) * F.col("tokens") * F.col(f"p{i}")) for move in tried for i in range(k))).first()
+        reached = np.array(sums, float).reshape(len(tried), k)
+        worth = [float(g @ weigh @ g) for g in (reached - targets) / total]
+        best = int(np.argmin(worth))
+        frame = frame.withColumn("rate", clipped(F.col("rate") - along(tried[best])))
+        expected = reached[best]
         done += 1
-        if done % 8 == 0:  # the expression grows by a step each time
+        if done % 6 == 0:  # the expression grows by a step each time
             frame = cut(frame)
+    rates = cut(frame.select("cell", "rate"))
+    return members.withColumn("cell", cell).join(F.broadcast(rates), "cell").drop("cell"), [float(x) for x in expected]
+
 
+def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.0, most: float = 8.0, budget: float | None = 1.0, seed: int = 7) -> DataFrame:
+    """One row per row of ``docs``: __uid, doc_id, tokens, domain (the likeliest), posterior, rate, copies, target_share, reached_share.
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.0, most: float = 8.0, budget: float = 1.0, seed: int = 7) -> DataFrame:
-    """One row per row of ``docs``: __uid, doc_id, tokens, domain (the likeliest), posterior, rate, copies.
+    ``labelled`` has doc_id and domain. ``weights`` are target shares a domain (equal ones by default), and the targets
+    add up to ``budget`` times the natural tokens; with a budget of None, to the least with which no domain need fall
+    under ``least`` times its natural tokens. The last two columns are a domain's share of all expected tokens as asked
+    for and as the rates give it: where bounds keep a target out of reach they differ, and a warning names the domains.
+    A weight of a domain without labelled rows can't be met: there is a warning, and the others share its part.
 
-    ``labelled`` has doc_id and domain. ``weights`` are target shares a domain (equal ones by default; missing domains
-    get 0), and the targets add up to ``budget`` times the natural tokens. copies is the rate's whole part, plus one
-    with the probability of the rest, by a keyed hash of doc_id and text place, so that it is the same in every run.
-    Null and empty texts have no tokens, the prior posteriors and a rate like others of such membership. Without
-    labels everything is of the domain 'none'. Null and repeated doc_ids are rows of their own; an empty table gives
-    an empty result; other columns don't matter.
+    copies is the rate's whole part, plus one with the probability of the rest, by a keyed hash of doc_id and tokens,
+    so that it is the same in every run. Null and empty texts have no tokens, the prior posteriors and a rate like
+    others of such membership. Without labels everything is of the domain 'none'. Null and repeated doc_ids are rows of
+    their own; an empty table gives an empty result; other columns don't matter.
     """
     domains, table, priors = fit_domains(docs, labelled)
     if not domains:
         domains, priors = ["none"], [0.0]
         table = table.select("__bucket", F.lit(0.0).alias("w0"))
+        weights = None
     k = len(domains)
-    members = cut(posteriors(docs, table, priors))
-    total = members.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     share = {d: (1 / k if weights is None else max(0.0, float(weights.get(d, 0.0)))) for d in domains}
-    whole = sum(share.values()) or 1.0
-    rated, _ = fit_rates(members, [budget * total * share[d] / whole for d in domains], least, most)
+    if absent := sorted(d for d, w in (weights or {}).items() if w > 0 and d not in share):
+        warnings.warn(f"no labelled rows of {', '.join(absent)}: the other domains share their weight", stacklevel=2)
+    whole = sum(share.values())
+    share = {d: (x / whole if whole else 1 / k) for d, x in share.items()}
+    members = cut(posteriors(docs, table, priors))
+    natural = members.agg(F.coalesce(F.sum("tokens"), F.lit(0)), *(F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")), F.lit(0.0)) for i in range(k))).first()
+    total = float(natural[0])
+    if budget is None:
+        needed = [least * n / share[d] for d, n in zip(domains, natural[1:], strict=True) if share[d] > 0]
+        budget = max(1.0, max(needed, default=0.0) / total) if total else 1.0
+    rated, expected = fit_rates(members, [budget * total * share[d] for d in domains], least, most)
+    reached = {d: (x / sum(expected) if sum(expected) else share[d]) for d, x in zip(domains, expected, strict=True)}
+    if missed := [f"{d} ({reached[d]:.3f} of {share[d]:.3f})" for d in domains if abs(reached[d] - share[d]) > 0.005]:
+        warnings.warn(f"the bounds keep these shares from their targets: {', '.join(missed)}", stacklevel=2)
     best = F.greatest(*(f"p{i}" for i in range(k))) if k > 1 else F.col("p0")
-    domain = F.lit(domains[-1])
+    of = F.lit(k - 1)
     for i in range(k - 2, -1, -1):
-        domain = F.when(F.col(f"p{i}") >= best, F.lit(domains[i])).otherwise(domain)
+        of = F.when(F.col(f"p{i}") >= best, F.lit(i)).otherwise(of)
+    name = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("k") + 1)
     chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("tokens")), F.lit(1_000_003)) / F.lit(1_000_003.0)
     copies = (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return rated.select("__uid", "doc_id", "tokens", domain.alias("domain"), best.alias("posterior"), "rate", copies.alias("copies"))
+    return rated.withColumn("k", of).select(
+        "__uid", "doc_id", "tokens", name(domains).alias("domain"), best.alias("posterior"), "rate", copies.alias("copies"),
+        name([share[d] for d in domains]).alias("target_share"), name([reached[d] for d in domains]).alias("reached_share"),
+    )
 
 
-def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.0, most: float = 8.0, budget: float = 1.0) -> DataFrame:
+def mixed_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, least: float = 0.0, most: float = 8.0, budget: float | None = 1.0) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as ``mix`` says. With ``least`` 1 none is left out."""
-    decided = mix(docs, labelled, weights, least, most, budget).where("copies > 0").select(F.col("__uid").alias("__row"), F.col("copies").alias("__copies"))
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
-    out = numbered.join(decided, F.col("__uid") == F.col("__row")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return out.drop("__uid", "__row", "__copies", "__copy")
+    uid, row, copies, copy = (unused(docs, x) for x in ("uid", "row", "copies", "copy"))
+    decided = mix(docs, labelled, weights, least, most, budget).where("copies > 0").select(F.col("__uid").alias(row), F.col("copies").alias(copies))
+    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    out = numbered.join(decided, F.col(uid) == F.col(row)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+    return out.drop(uid, row, copies, copy)
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
