@@ -31,19 +31,21 @@ def _encoder(file: str, pattern: str | None, end_id: int):
     """A function from texts to ids with ``end_id`` after each, by the tokenizers library.
 
     With the ``pattern`` of the tokenizer's own pre-tokens, a worker gives the library each distinct pre-token once
-    and keeps its ids; a text's ids are those of its pre-tokens, as the library itself has them.
+    and keeps its ids; a text's ids are those of its pre-tokens, as the library itself has them. A text that holds one
+    of the tokenizer's added tokens, which the library finds before it splits, goes to the library as a whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only take memory
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(file)
-    tokenizer.encode_special_tokens = True
+    added = regex.compile("|".join(regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
     if pattern is None:
         return lambda texts: [np.array([*e.ids, end_id], np.uint16) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     split, known = regex.compile(pattern).findall, {}
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        words = [split(t) for t in texts]
+        whole = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if added.search(t)}
+        words = [[] if i in whole else split(t) for i, t in enumerate(texts)]
         if len(known) > WORDS_HELD:
             known.clear()
         new = list(set(chain.from_iterable(words)).difference(known))
@@ -51,7 +53,7 @@ def _encoder(file: str, pattern: str | None, end_id: int):
             e = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
             cuts = np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
             known.update(zip(new, (x.tolist() for x in np.split(np.array(e.ids), cuts)), strict=True))
-        return [np.fromiter(chain(chain.from_iterable(map(known.__getitem__, w)), (end_id,)), np.uint16) for w in words]
+        return [np.fromiter(chain(whole[i] if i in whole else chain.from_iterable(map(known.__getitem__, w)), (end_id,)), np.uint16) for i, w in enumerate(words)]
 
     return encode
 
@@ -88,13 +90,14 @@ def _written(tokenizer_file: str, end_id: int, record_ids: int, pattern: str | N
 def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 2, record_ids: int = RECORD_IDS, pattern: str | None = None) -> None:
     """Write the ids of every text, each with ``end_id`` after it, to ``path`` in ascending doc_id order.
 
-    A range partition of doc_id becomes a file. Null text counts as empty; null doc_ids come first; equal doc_ids
-    follow each other in text order. ``pattern``, if given, is the tokenizer's pre-token pattern (see ``_encoder``). Ids must be under 65,536. An empty table gives a folder without records.
+    A range partition of doc_id, and in it of a hash of the text, becomes a file. Null text counts as empty; null
+    doc_ids come first; equal doc_ids follow each other in the order of that hash, then of the texts. ``pattern``, if given, is the tokenizer's pre-token pattern (see ``_encoder``). Ids must be under 65,536. An empty table gives a folder without records.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("part", F.xxhash64("text"))  # rows of one doc_id, or of none, may be many
+    rows = rows.repartitionByRange(parallelism(spark), "doc_id", "part").sortWithinPartitions("doc_id", "part", "text").drop("part")
     rows.mapInArrow(_written(tokenizer_file, end_id, record_ids, pattern), RECORDS).write.mode("overwrite").parquet(path)
 
 
