@@ -53,6 +53,24 @@ def test_pre_tokens_are_the_library_s():
         assert cached([t])[0].tolist() == whole([t])[0].tolist()
 
 
+def test_added_tokens_are_found_as_the_library_finds_them(spark, tmp_path):
+    """At a text's start, inside, at its end, alone, doubled and broken; in the query's own path."""
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    texts = [f"{end}hello world", f"hello {end} world", f"hello world{end}", end, end + end, f"a{end}b", "<|endoftext| >", f"x {end}\n{end} y" * 500, "plain"]
+    library = Tokenizer.from_file(file)
+    want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert [31373, 220, 50256, 995, 2] in want
+    for pattern in (None, public_tokenizers.PATTERN):
+        assert [x.tolist() for x in token_files._encoder(file, pattern, 2)(texts)] == want
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    token_files.write_token_files(docs, str(tmp_path / "ids"), file, pattern=public_tokenizers.PATTERN)
+    got = token_files.token_file_digest(spark, str(tmp_path / "ids")).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(w), zlib.crc32(np.array(w, "<u4").tobytes())) for w in want]
+
+
 @pytest.mark.parametrize("record, pattern", [(token_files.RECORD_IDS, None), (500, None), (500, public_tokenizers.PATTERN)])
 def test_token_files(spark, docs, empty, tmp_path, record, pattern):
     from tokenizers import Tokenizer
@@ -62,7 +80,8 @@ def test_token_files(spark, docs, empty, tmp_path, record, pattern):
     path = str(tmp_path / "ids")
     token_files.write_token_files(docs, path, file, record_ids=record, pattern=pattern)
     got = sorted(token_files.token_file_digest(spark, path).collect(), key=lambda r: r.start)
-    rows = sorted(docs.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id, r.text or ""))
+    rows = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("part")).collect()
+    rows = sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id, r.part, r.text or ""))
     start = 0
     for r, d in zip(got, rows, strict=True):
         ids = [*tokenizer.encode(d.text or "", add_special_tokens=False).ids, 2]

@@ -7,6 +7,7 @@ order (their ids and lengths) and one blob of coded blocks.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -41,7 +42,7 @@ def _encoder(file: str, pattern: str | None, end_id: int):
     added = regex.compile("|".join(regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
     if pattern is None:
         return lambda texts: [np.array([*e.ids, end_id], np.uint16) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    split, known = regex.compile(pattern).findall, {}
+    split, known, end = regex.compile(pattern).findall, {}, struct.pack("<H", end_id)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         whole = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if added.search(t)}
@@ -50,10 +51,10 @@ def _encoder(file: str, pattern: str | None, end_id: int):
             known.clear()
         new = list(set(chain.from_iterable(words)).difference(known))
         if new:
-            e = tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-            cuts = np.flatnonzero(np.diff(np.array(e.word_ids))) + 1
-            known.update(zip(new, (x.tolist() for x in np.split(np.array(e.ids), cuts)), strict=True))
-        return [np.fromiter(chain(whole[i] if i in whole else chain.from_iterable(map(known.__getitem__, w)), (end_id,)), np.uint16) for i, w in enumerate(words)]
+            found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            raw, ends = np.fromiter(chain.from_iterable(found), "<u2").tobytes(), np.cumsum([2 * len(x) for x in found]).tolist()
+            known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))  # noqa: B905
+        return [np.frombuffer((np.array(whole[i], "<u2").tobytes() if i in whole else b"".join(map(known.__getitem__, w))) + end, "<u2") for i, w in enumerate(words)]
 
     return encode
 
