@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches
+from textloom.llm.common import bounded_batches, unused
 
 FANOUT_BITS = 4
 MAX_DEPTH = 12
@@ -202,10 +202,6 @@ def _global(budget: int):
     return run
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.monotonically_increasing_id())
-
-
 def _decided(numbered: DataFrame, budget: int) -> DataFrame:
     """One row a text and input partition: __rep, __keep_uid, __keep_doc, __size."""
     bounded_batches(numbered.sparkSession)
@@ -222,7 +218,7 @@ def grace_dedup(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     stays; null doc_ids come last, and of rows with the same doc_id exactly one, the last read, is ``kept``. An empty
     table gives an empty result. Other columns of ``docs`` are not touched, whatever their names.
     """
-    numbered = _numbered(docs.select("doc_id", "text"))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__uid"))
     decided = _decided(numbered, budget)
     rows = numbered.select(F.col("doc_id").cast("long").alias("__doc"), "__uid", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__body"))
     members = rows.mapInArrow(_local(budget, False), LOCAL_DDL).select("__doc", "__uid", "__rep", "__sha")
@@ -237,6 +233,7 @@ def grace_dedup(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, budget: int = BUDGET) -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``grace_dedup`` keeps."""
-    numbered = _numbered(docs)
-    kept = _decided(numbered, budget).where("__rep = __keep_uid").select(F.col("__rep").alias("__kept"))
-    return numbered.join(kept, F.col("__uid") == F.col("__kept"), "left_semi").drop("__uid")
+    uid, kept = unused(docs, "uid"), unused(docs, "kept")
+    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    first = _decided(numbered.select("doc_id", "text", F.col(uid).alias("__uid")), budget).where("__rep = __keep_uid").select(F.col("__rep").alias(kept))
+    return numbered.join(first, F.col(uid) == F.col(kept), "left_semi").drop(uid)

@@ -100,7 +100,7 @@ WITH d AS (
 SELECT doc_id,
        max(doc_id) OVER (PARTITION BY body) AS keep_id,
        count(*) OVER (PARTITION BY body) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY body) AS kept,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
        sha256(body) AS text_sha256
 FROM d
 """
