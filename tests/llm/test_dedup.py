@@ -96,6 +96,53 @@ def test_near(spark, tmp_path, docs, plan):
     assert sorted({(r.doc_id, r.n_shingles, r.component_id) for r in got}) == sorted({(d, n, c) for d, _, n, c in want})
 
 
+def unlinked():
+    """Groups that share buckets though few of their rows are linked: a common half, own words, some copies with small changes."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        common = [f"c{g}x{i}" for i in range(160)]
+        for i in range(70):
+            own = [f"o{g}y{rng.randint(0, 9)}z{j}" for j in range(20)]
+            rows.append(" ".join(common + own))
+            if i % 6 == 0:
+                rows.append(" ".join(common + own + ["end", "of", "it"]))
+    return rows
+
+
+@pytest.mark.parametrize("sides", [(4, 8), (128, 1024)])
+def test_mixed_buckets_by_brute_force(spark, tmp_path, monkeypatch, sides):
+    """Also with sides of a few rows, repeated and null doc_ids, and a column named like an own one."""
+    monkeypatch.setattr(minhash_bayes, "LEAST_SIDE", sides[0])
+    monkeypatch.setattr(minhash_bayes, "MOST_SIDE", sides[1])
+    plan = minhash_bayes.Plan(3, 85, 7, 32)
+    rows = [(None if i % 41 == 7 else i // 2 if i % 30 < 4 else 1000 + i, t) for i, t in enumerate(unlinked())]
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, __uid string").repartition(5).write.parquet(path)
+    table = spark.read.parquet(path)
+    sets, expected = brute(rows, 3, 85)
+    got = sorted((r.doc_id or -1, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in minhash_bayes.near_duplicates(table, plan).collect())
+    assert got == sorted((d or -1, len(s), -1 if c is None else c) for (d, _), s, c in zip(rows, sets, expected, strict=True))
+    kept = minhash_bayes.drop_near_copies(table, plan)
+    assert kept.columns == ["doc_id", "text", "__uid"] and len({c for c in expected if c is not None}) <= kept.count() < len(rows)
+
+
+def test_exact_repeats_equal_the_sql(spark, tmp_path):
+    """Repeated and null doc_ids: one row of each group is kept, in the operator and in its SQL."""
+    import duckdb
+
+    from textloom.llm.registry import OP3_SQL
+
+    rows = [(5, "A b"), (5, "a b"), (5, "a B"), (3, "a b"), (None, "a b"), (None, "z"), (None, "Z"), (1, None), (1, ""), (2, "É"), (2, "é")]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(d, t, "y") for d, t in rows], "doc_id long, text string, __uid string").coalesce(1).write.parquet(path)
+    got = grace_dedup.grace_dedup(spark.read.parquet(path)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{path}/*.parquet'")
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, db.sql(OP3_SQL).fetchall()))
+    assert grace_dedup.drop_exact_copies(spark.read.parquet(path)).count() == sum(r.kept for r in got)
+
+
 def test_near_awkward(docs, empty):
     plan = minhash_bayes.Plan(3, 85, 7, 32)
     got = minhash_bayes.near_duplicates(docs, plan).collect()
@@ -103,9 +150,10 @@ def test_near_awkward(docs, empty):
     by_id = {r.doc_id: r for r in got if r.doc_id is not None}
     assert {by_id[i].component_id for i in (1, 2, 3)} == {1} and {by_id[i].component_id for i in (9, 10)} == {9}
     assert [by_id[i].component_id for i in (4, 5, 6)] == [4, 5, 6] and by_id[4].n_shingles == 0
-    assert sum(r.kept for r in got if r.doc_id == 11) == 1  # a repeated row is kept once
+    assert [r.kept for r in got if r.doc_id == 11] == [True, True]  # kept says that doc_id is the component's
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None) and [r.kept for r in got if r.doc_id is None] == [True]
     kept = minhash_bayes.drop_near_copies(docs, plan)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == sorted({r.doc_id or 0 for r in got if r.kept})  # one row of each
     assert minhash_bayes.near_duplicates(empty, plan).count() == 0
 
 

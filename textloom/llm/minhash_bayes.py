@@ -20,15 +20,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, cut, hot_join, text_bytes
+from textloom.llm.common import bounded_batches, cut, hot_join, text_bytes, unused
 from textloom.llm.components import components
 
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words whose hashes a worker holds at most before it starts anew.
 WORDS_HELD = 400_000
-#: Rows of a bucket that a task compares with as many others; larger buckets are dealt out by pairs of sides.
-SIDE = 1024
+#: Rows of a bucket that are compared with as many others in one go, at least and at most: a sixteenth of the bucket
+#: between these. Larger buckets are dealt out by pairs of sides.
+LEAST_SIDE, MOST_SIDE = 128, 1024
 
 
 @dataclass(frozen=True)
@@ -294,6 +295,57 @@ def cross_links(side: np.ndarray, uid: np.ndarray, label: np.ndarray, sig: np.nd
     return out
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows of each (key, x, y), which stand together."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if held and held[0][:3] != row[:3]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def open_rows(side: np.ndarray, label: np.ndarray, sig: np.ndarray, key: int, plan: Plan) -> np.ndarray:
+    """Rows of one bucket that pass the bounds with a row of another component that shares no earlier bucket with them."""
+    signer, two = plan.signer, len({*side.tolist()}) == 2
+    first = np.flatnonzero(side == side.min()) if two else np.arange(len(side))
+    second = np.flatnonzero(side == side.max()) if two else first
+    found = np.zeros(len(side), bool)
+    keys: dict[int, np.ndarray] = {}
+
+    def key_of(i: int) -> np.ndarray:
+        if i not in keys:
+            keys[i] = signer.keys(sig[i])
+        return keys[i]
+
+    for i in first:
+        js = second[label[second] != label[i]]
+        if not two:
+            js = js[js > i]
+        if len(js):
+            for j in js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], plan)].tolist():
+                if not (found[i] and found[j]):
+                    common = key_of(i)[key_of(i) == key_of(j)]
+                    if len(common) and common[0] == key:
+                        found[i] = found[j] = True
+    return np.flatnonzero(found)
+
+
+def _opened(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _cells(batches):  # key, x, y, side, uid, label, sig
+            side, label = (np.array([r[k] for r in rows], np.int64) for k in (3, 5))
+            sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
+            keep = [rows[i] for i in open_rows(side, label, sig, rows[0][0], plan)]
+            if keep:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()), (5, pa.int64()))], names=["key", "x", "y", "side", "uid", "label"])
+
+    return run
+
+
 def _across(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, press = Shingler(plan.words), zstandard.ZstdDecompressor()
@@ -311,15 +363,7 @@ def _across(plan: Plan):
             found = cross_links(*columns, sig, shingles, rows[0][0], plan)
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        held: list[tuple] = []
-        for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and held[0][:3] != row[:3]:
-                    yield links(held)
-                    held = []
-                held.append(row)
-        if held:
-            yield links(held)
+        yield from map(links, _cells(batches))
 
     return run
 
@@ -354,10 +398,15 @@ def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     # The rest exactly: buckets that still hold several components are searched for links across them.
     labelled = cut(shared.select("key", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label")))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    mixed = mixed.select("key", F.ceil(F.col("rows") / SIDE).cast("int").alias("sides"))
+    side_rows = F.least(F.lit(MOST_SIDE), F.greatest(F.lit(LEAST_SIDE), F.col("rows") / 16))
+    mixed = mixed.select("key", F.ceil(F.col("rows") / side_rows).cast("int").alias("sides"))
     rows_open = labelled.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("uid"), F.col("sides")).cast("int"))
     rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     rows_open = rows_open.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "uid", "label")
+    # Signatures alone go round first; texts only follow for rows that some signature of another component lets pass.
+    rows_open = rows_open.join(nodes.select("uid", "sig"), "uid").select("key", "x", "y", "side", "uid", "label", "sig")
+    rows_open = rows_open.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows_open = cut(rows_open.mapInArrow(_opened(plan), "key long, x int, y int, side int, uid long, label long"))
     rows_open = rows_open.join(nodes, "uid").select("key", "x", "y", "side", "uid", "label", "sig", "body")
     rows_open = rows_open.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = cut(rows_open.mapInArrow(_across(plan), "a long, b long"))
@@ -370,24 +419,26 @@ def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     return out.select("uid", "doc", "n", F.when(F.col("same").isNull(), F.col("uid")).otherwise(F.col("first_uid")).alias("first_uid"), F.when(F.col("same").isNull(), F.col("doc")).otherwise(F.col("first_doc")).alias("first_doc"))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__uid", F.monotonically_increasing_id())
-
-
 def near_duplicates(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Null, empty and blank texts have no shingles and are linked with nothing; a text shorter than a shingle is one
-    shingle. component_id is the smallest doc_id of the component (null if it has none), and one row of each component
-    is kept, the first by doc_id with nulls last. ``docs`` must be repeatable (files or a checkpoint): rows are known
+    shingle. component_id is the smallest doc_id of the component (null if it has none), and the rows with that doc_id
+    are kept: all of them, if it is repeated. Of a component without any doc_id the first row by place is kept.
+    ``docs`` must be repeatable (files or a checkpoint): rows are known
     by their place in it. Other columns don't matter; an empty table gives an empty result.
     """
-    g = _grouped(_numbered(docs.select("doc_id", "text")), plan)
-    return g.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first_doc").alias("component_id"), (F.col("uid") == F.col("first_uid")).alias("kept"))
+    g = _grouped(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("__uid")), plan)
+    kept = F.when(F.col("first_doc").isNull(), F.col("uid") == F.col("first_uid")).otherwise(F.coalesce(F.col("doc") == F.col("first_doc"), F.lit(False)))
+    return g.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("first_doc").alias("component_id"), kept.alias("kept"))
 
 
 def drop_near_copies(docs: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that ``near_duplicates`` keeps."""
-    numbered = _numbered(docs)
-    kept = cut(_grouped(numbered.select("doc_id", "text", "__uid"), plan).where("uid = first_uid").select(F.col("uid").alias("__kept")))
-    return numbered.join(kept, F.col("__uid") == F.col("__kept"), "left_semi").drop("__uid")
+    """The rows of ``docs``, with all their columns, that stay: one of each component of ``near_duplicates``.
+
+    It is the first by doc_id with nulls last, then by place; rows without shingles all stay.
+    """
+    uid, kept = unused(docs, "uid"), unused(docs, "kept")
+    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    first = cut(_grouped(numbered.select("doc_id", "text", F.col(uid).alias("__uid")), plan).where("uid = first_uid").select(F.col("uid").alias(kept)))
+    return numbered.join(first, F.col(uid) == F.col(kept), "left_semi").drop(uid)
