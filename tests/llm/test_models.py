@@ -213,3 +213,40 @@ def test_pipeline(spark, tmp_path):
     assert all(i in ids and 200 + i not in ids for i in range(5, 10))  # of near copies the first
     assert set(range(10, 60)) <= ids  # clean ones stay
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "exact dedup", "near-dedup", "mixing", "byte-level BPE"]
+
+
+def test_lexicon_reads_any_length_and_white_space():
+    import time
+
+    lexicon = toxicity.Lexicon({"trash": 4.0, "idio*": 5.0})
+    start = time.monotonic()
+    assert lexicon.signal("trash can " * 1_000_000) == 0.0  # 10 MB of exception phrases
+    one = lexicon.signal("trash can " * 500_000 + "idiot")
+    assert one == pytest.approx(5.0 / np.sqrt(1_000_001)) and time.monotonic() - start < 60
+    words = "you idiot take this trash away now".split()
+    assert len({lexicon.signal(gap.join(words)) for gap in (" ", "\n", "\t", "  \n ", " . ")}) == 1
+    covered = toxicity.Lexicon({"trash": 4.0, "can": 2.0}, exceptions=("trash can", "can opener", "trash"))
+    assert covered.signal("trash can opener") == 0 and covered.signal("can trash can") == pytest.approx(2 / np.sqrt(3))
+
+
+def test_exceptions_are_learned(spark, tmp_path):
+    """A word that is an insult alone, but not in one phrase; repeated, null and very long texts."""
+    rng = random.Random(8)
+    stock = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(600):
+        words = [rng.choice(stock) for _ in range(30)]
+        if i % 6 == 0:
+            words.insert(rng.randint(0, 30), "weasel")
+        elif i % 6 == 1:
+            words[9:11] = ["Weasel", "coffee"]
+        rows.append((i, " ".join(words), int(i % 6 == 0)))
+    rows += [(600, None, 0), (601, "", 0), (602, "weasel coffee " * 200_000, 0), (0, rows[0][1], 1)]
+    path = str(tmp_path / "d")
+    spark.createDataFrame(rows, "doc_id long, text string, toxic int").write.parquet(path)
+    table = spark.read.parquet(path)
+    lexicon = toxicity.learn(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+    assert "weasel" in lexicon.weights and "weasel coffee" in lexicon.exceptions
+    got = toxicity.toxicity(table, lexicon).collect()
+    assert len(got) == len(rows) and np.mean([r.predicted == r.toxic for r in got]) >= 0.99
+    assert len({(r.score, r.predicted) for r in got if r.doc_id == 0}) == 1

@@ -1,7 +1,8 @@
 """Toxicity from a weighted lexicon: folding, Aho-Corasick matching, exception phrases, length normalisation.
 
 The lexicon's weights are learned from labelled rows. Its entries are whole words and word beginnings, so that an
-insult is found in its inflected forms too.
+insult is found in its inflected forms too. Exception phrases are learned from the same rows: pairs of words that hold
+an entry and stand in clean texts much more often than the entry itself does.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches
+from textloom.llm.common import bounded_batches, cut
 
 #: Look-alike letters of other scripts, and digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -27,16 +28,18 @@ HOMOGLYPHS = {
     "ı": "i", "ł": "l", "ø": "o", "ɑ": "a", "ɡ": "g",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-#: Phrases in which a lexicon word isn't an insult; matched like the lexicon, and they cover the words inside them.
+#: Phrases in which a lexicon word isn't an insult, besides those that are learned; matched like the lexicon, and they cover the words inside them.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "circus clown", "the idiot by", "disgusting taste")
 
 FOLD = str.maketrans(HOMOGLYPHS | SUBSTITUTES | {"​": None, "‌": None, "‍": None, "­": None, "﻿": None})
 WORD = re.compile(r"\w+")
 PREFIXES = (4, 5, 6)
-#: Labelled rows that the lexicon and its scale are fitted on, at most; lexicon entries at most.
-FIT_ROWS, LEXICON = 20_000, 4_000
+#: Labelled rows that the lexicon and its scale are fitted on, at most.
+FIT_ROWS = 20_000
 #: Log-likelihood ratio that an entry must reach (24: about one in a million by chance), and its least weight.
 LEAST_RATIO, LEAST_WEIGHT = 24.0, 1.0
+#: Log-likelihood ratio by which a phrase must be cleaner than the entry in it (11: about one in a thousand by chance).
+EXCEPTION_RATIO = 11.0
 #: Cells of the histogram that the logistic scale is fitted on.
 CELLS = 64
 
@@ -80,11 +83,24 @@ class Lexicon:
         return self._machine
 
     def signal(self, text: str | None) -> float:
-        """Weight of the matches outside exception phrases, each word once at its best, over the root of the length."""
+        """Weight of the matches outside exception phrases, each word once at its best, over the root of the number of words."""
         folded = fold(text)
+        hits, covered = self.matches(folded)
+        at = sorted(hits)
+        total, last, phrases, n = 0.0, -1, sorted(covered), 0
+        for start in at:  # both in order, so that each phrase is looked at once
+            while n < len(phrases) and phrases[n][0] <= start:
+                last = max(last, phrases[n][1])
+                n += 1
+            if start > last:
+                total += hits[start]
+        return total / math.sqrt(max(1, sum(1 for _ in WORD.finditer(folded)))) if total else 0.0
+
+    def matches(self, folded: str) -> tuple[dict[int, float], list[tuple[int, int]]]:
+        """Weights of the words that match by where they start, and the ends of the exception phrases."""
         machine = self.machine()
         if not folded or not len(machine):
-            return 0.0
+            return {}, []
         covered, hits, end = [], {}, len(folded)
         for last, (n, whole, beginning, exception) in machine.iter(folded):
             start = last + 1 - n
@@ -96,8 +112,7 @@ class Lexicon:
             weight = max(beginning, whole if ends else 0.0)
             if weight > hits.get(start, 0.0):
                 hits[start] = weight
-        total = sum(w for at, w in hits.items() if not any(a <= at <= b for a, b in covered))
-        return total / math.sqrt(1 + folded.count(" ")) if total else 0.0
+        return hits, covered
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.intercept + self.slope * squash(self.signal(text))))))
@@ -134,15 +149,17 @@ def fit_scale(counts: dict[int, tuple[int, int]]) -> tuple[float, float]:
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
-    """A lexicon from at most ``rows`` labelled rows (a hash of doc_id picks them), its weights and scale.
+    """A lexicon from at most ``rows`` labelled rows (a hash of doc_id picks them): weights, exceptions and scale.
 
-    Rows with a null doc_id or label aren't learned from. With no labels at all the lexicon is empty and every score
-    is the same low one.
+    Rows with a null doc_id or label aren't learned from; repeated ones count as often as they occur. With no labels at
+    all the lexicon is empty and every score is the same low one. Every feature that passes the tests becomes an entry:
+    their number follows from the ``rows`` texts, whatever the corpus.
     """
     bounded_batches(docs.sparkSession)
     picked = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("__toxic"))
     picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "__toxic").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "__toxic")
+    picked = picked.select(F.col("doc_id").alias("__picked"), F.col("__toxic").alias("__toxic"))
+    sample = cut(docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("__picked")).select("text", "__toxic"))
 
     def count(wanted=None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,8 +180,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
         texts = sample.where(F.col("__toxic") == label).select("text")
         return texts.mapInArrow(count(wanted), "feature string, k long").groupBy("feature").agg(F.sum("k").alias("k"))
 
-    # Rarer features can't reach LEAST_RATIO. A sample of so many rows has so many others at most, whatever the corpus.
-    toxic = {f: k for f, k in counted(1).where("feature = '' or k >= 4").orderBy(F.desc("k"), "feature").limit(25 * LEXICON).toLocalIterator()}
+    toxic = {f: k for f, k in counted(1).where("feature = '' or k >= 4").toLocalIterator()}  # rarer ones can't reach LEAST_RATIO
     n1 = toxic.pop("", 0)
     clean = {f: k for f, k in counted(0, docs.sparkSession.sparkContext.broadcast(frozenset(toxic))).toLocalIterator()}
     n0 = clean.pop("", 0)
@@ -174,7 +190,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
         weight = math.log((k1 + 0.5) / (n1 + 1)) - math.log((k0 + 0.5) / (n0 + 1))
         if weight >= LEAST_WEIGHT and ratio(k1, k0, n1, n0) >= LEAST_RATIO:
             weights[f] = round(weight, 6)
-    lexicon = Lexicon(dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))[:LEXICON]))
+    lexicon = Lexicon(dict(sorted(weights.items(), key=lambda x: (-x[1], x[0]))), exceptions=())
+    lexicon.exceptions = tuple(dict.fromkeys((*EXCEPTIONS, *_learned_exceptions(sample, lexicon))))
+    lexicon._machine = None
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -192,8 +210,46 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Lexicon:
     return lexicon
 
 
+def _learned_exceptions(sample: DataFrame, lexicon: Lexicon) -> list[str]:
+    """Pairs of words around matches that are cleaner than the matching word by ``EXCEPTION_RATIO``, in order."""
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for text, toxic in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                folded = fold(text)
+                hits, _ = lexicon.matches(folded)
+                found = set()
+                if hits:
+                    words = [(m.start(), m.group()) for m in WORD.finditer(folded)]
+                    for i, (at, word) in enumerate(words):
+                        if at in hits:
+                            found.add((word, ""))
+                            for a, z in ((i - 1, i), (i, i + 1)):
+                                if a >= 0 and z < len(words):
+                                    phrase = folded[words[a][0] : words[z][0] + len(words[z][1])]
+                                    if phrase == f"{words[a][1]} {words[z][1]}":
+                                        found.add((word, phrase))
+                seen.update((word, phrase, toxic) for word, phrase in found)
+        rows = [(*k, n) for k, n in seen.items()]
+        for s in range(0, len(rows), 50_000):
+            columns = zip(*rows[s : s + 50_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=["word", "phrase", "toxic", "n"])
+
+    counts = sample.mapInArrow(around, "word string, phrase string, toxic int, n long")
+    by = [F.coalesce(F.sum(F.when(F.col("toxic") == label, F.col("n"))), F.lit(0)).alias(f"k{label}") for label in (0, 1)]
+    counts = cut(counts.groupBy("word", "phrase").agg(*by))
+    words = {r.word: (r.k1, r.k0) for r in counts.where("phrase = ''").toLocalIterator()}
+    out = set()
+    for r in counts.where("phrase <> '' and k0 >= 3 and k0 > 4 * k1").toLocalIterator():
+        n1, n0 = words[r.word]
+        if r.k1 * n0 < r.k0 * n1 and ratio(r.k1, r.k0, n1, n0) >= EXCEPTION_RATIO:
+            out.add(r.phrase)
+    return sorted(out)
+
+
 def scorer(lexicon: Lexicon):
-    """A column function that scores texts; null counts as empty."""
+    """A column function that scores texts; null counts as empty, and equal texts, repeated rows too, get equal scores."""
 
     @F.pandas_udf("double")
     def score(texts):
