@@ -55,7 +55,37 @@ def test_lookup_equals_convolution(net):
     assert rows[:, : language_id.WINDOW].reshape(-1)[:1000].tobytes() == body  # every byte is in a window
     direct, _ = net._forward(rows)
     weight = np.array([256, 256, 256, 232.0])
-    assert np.allclose(net.probabilities(body), (direct * weight[:, None]).sum(0) / weight.sum(), atol=1e-5)
+    assert np.allclose(net.probabilities([body])[0], (direct * weight[:, None]).sum(0) / weight.sum(), atol=1e-5)
+
+
+def test_batches_change_nothing(net):
+    """Texts alone and side by side, in any order, give the same figures."""
+    rng = np.random.default_rng(4)
+    bodies = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 3, 255, 256, 257, 5000, 20, 700)] * 9
+    alone = [net.predict([b])[0] for b in bodies]
+    assert net.predict(bodies) == alone and net.predict(bodies[::-1]) == alone[::-1]
+
+
+def test_language_sample(spark):
+    """Many languages, short texts, and a language that is nearly one text: each has its class and its own sample."""
+    rows = [("sh", "na so"), ("sh", "so na"), *[("cp", "one text again and again")] * 3000, *[("cp", f"other words {i}") for i in range(40)]]
+    rows += [(f"l{i}", f"{chr(0x3041 + i % 80)}{i} abc") for i in range(60)] + [(None, "nothing"), ("xx", None), ("yy", "")]
+    some = spark.createDataFrame(rows, "lang string, text string")
+    assert language_id.train(some, 30).classes == sorted({"sh", "cp", *(f"l{i}" for i in range(60))})
+
+
+def test_held_out_accuracy(spark):
+    """The query on the driver's table: what it never learned from."""
+    import os
+
+    from textloom.llm.registry import op1_byte_cnn
+
+    path = "/root/testdata/sf0.01"
+    if not os.path.isdir(path):
+        pytest.skip("the driver's tables aren't there")
+    got = op1_byte_cnn(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = got.where("held_out and lang is not null and lang_pred <> 'und'").collect()
+    assert len(rows) > 100 and np.mean([r.lang == r.lang_pred for r in rows]) >= 0.97
 
 
 def test_gradients():

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import bounded_batches, text_bytes
+from textloom.llm.common import bounded_batches, cut, text_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -25,6 +25,8 @@ FIT_WINDOWS = 1500
 EPOCHS, BATCH, RATE = 12, 64, 0.004
 #: Windows of the forward pass at once; bounds a worker's memory whatever the text's length.
 BLOCK = 48
+#: Languages up to which their counts are broadcast.
+BROADCAST_LANGUAGES = 10_000
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -119,55 +121,63 @@ class ByteNet:
             self._tables = (np.concatenate([pair(w, 0) for w in WIDTHS], 1), np.concatenate([pair(w, 2) for w in WIDTHS if w > 2], 1))
         return self._tables
 
-    def probabilities(self, body: bytes) -> np.ndarray:
-        """Mean over the windows of ``body`` of the languages' probabilities."""
+    def probabilities(self, bodies: list[bytes]) -> np.ndarray:
+        """For each of ``bodies`` the mean over its windows of the languages' probabilities, each window by its bytes.
+
+        Windows of all bodies go through the network side by side. A body's figures don't depend on the others.
+        """
         first, second = self._lookup()
-        total = np.zeros(len(self.classes))
-        rows = windows(body)
+        parts = [windows(x) for x in bodies]
+        counts = np.array([len(x) for x in parts])
+        ends = np.cumsum(counts)
+        weight = np.full(ends[-1], float(WINDOW))
+        weight[ends - 1] = [max(1, len(x) - WINDOW * (n - 1)) for x, n in zip(bodies, counts.tolist(), strict=True)]
+        rows, out = (np.concatenate(parts) if len(parts) > 1 else parts[0]), np.empty((ends[-1], len(self.classes)))
         bias = np.concatenate([self.p[f"bias{w}"] for w in WIDTHS])
-        weight = np.full(len(rows), float(WINDOW))
-        weight[-1] = max(1, len(body) - WINDOW * (len(rows) - 1))
         for s in range(0, len(rows), BLOCK):
             x = np.ascontiguousarray(rows[s : s + BLOCK].T).astype(np.int32)  # position, window
             pairs = (x[:-1] << 8) | x[1:]
             z = first.take(pairs[:WINDOW], axis=0)
             z[:, :, FILTERS:] += second.take(pairs[2 : WINDOW + 2], axis=0)
             h = np.maximum(z.max(axis=0) + bias, 0)
-            logits = h @ self.p["out"] + self.p["out_bias"]
+            logits = np.einsum("nf,fk->nk", h, self.p["out"]) + self.p["out_bias"]
             logits -= logits.max(axis=1, keepdims=True)
             q = np.exp(logits)
-            total += (weight[s : s + BLOCK, None] * q / q.sum(axis=1, keepdims=True)).sum(0)
-        return total / weight.sum()
+            out[s : s + BLOCK] = q / q.sum(axis=1, keepdims=True)
+        return np.add.reduceat(out * weight[:, None], ends - counts) / np.add.reduceat(weight, ends - counts)[:, None]
 
-    def predict(self, body: bytes) -> tuple[str, float]:
-        if not LETTER.search(body.decode("utf-8", "replace")):
-            return "und", 0.0
-        p = self.probabilities(body)
-        k = int(p.argmax())
-        return self.classes[k], float(min(1.0, max(0.0, p[k])))
+    def predict(self, bodies: list[bytes]) -> list[tuple[str, float]]:
+        found = [("und", 0.0)] * len(bodies)
+        known = [i for i, x in enumerate(bodies) if LETTER.search(x.decode("utf-8", "replace"))]
+        if known:
+            for i, p in zip(known, self.probabilities([bodies[i] for i in known]), strict=True):
+                k = int(p.argmax())
+                found[i] = (self.classes[k], float(min(1.0, max(0.0, p[k]))))
+        return found
 
 
 def train(docs: DataFrame, rows: int = FIT_WINDOWS) -> ByteNet | None:
-    """A network from text and lang of ``docs``: at most ``rows`` texts a language, one window at a hashed place of each.
+    """A network from text and lang of ``docs``: at most ``rows`` distinct texts a language, one window at a hashed place of each.
 
-    The bounded sample reaches the driver (rows x languages x 259 bytes); rows with null text or lang aren't learned
-    from. None if nothing is left. Languages are taken from the data, 1,000 at most.
+    The bounded sample reaches the driver (rows x languages x 259 bytes). Rows with null lang, null or empty text
+    aren't learned from; of equal texts of a language one is. Every language of the rest is a class. None if nothing
+    is left.
     """
-    some = docs.where("text is not null and lang is not null and length(text) >= 20").select("lang", "text", F.xxhash64("text").alias("h"))
-    counts = {r[0]: r[1] for r in some.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).toLocalIterator()}
-    if not counts:
+    some = docs.where("text is not null and lang is not null and text <> ''").select(F.col("lang").alias("lang"), "text", F.xxhash64("text").alias("h"))
+    counts = cut(some.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))
+    known = counts.count()
+    if not known:
         return None
     # A hashed fraction first, so that only a few candidates a language are ordered.
-    keep = F.lit(False)
-    for lang, n in counts.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1_000_000)) < int(min(1_000_000, 1_000_000 * (1.3 * rows + 30) / n))))
+    share = (F.lit(1_000_000 * (1.3 * rows + 30)) / F.col("n")).cast("long")
+    candidates = some.join(F.broadcast(counts) if known <= BROADCAST_LANGUAGES else counts, "lang").where(F.pmod("h", F.lit(1_000_000)) < share)
     span = WINDOW + max(WIDTHS)
     at = F.lit(1) + F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - span, F.lit(0)) + 1).cast("int")
-    sample = some.where(keep).select("lang", "h", F.substring(F.col("text"), at, F.lit(span)).alias("piece"))
+    sample = candidates.groupBy("lang", "h").agg(F.min(F.substring(F.col("text"), at, F.lit(span))).alias("piece"))
+    sample = sample.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= rows)
     pieces: dict[str, list[bytes]] = {}
-    for lang, _, piece in sample.orderBy("h", "lang").limit(int(1.5 * rows * len(counts) + 1000)).toLocalIterator():
-        if len(own := pieces.setdefault(lang, [])) < rows:
-            own.append(piece.encode())
+    for lang, piece in sample.orderBy("lang", "h").select("lang", "piece").toLocalIterator():
+        pieces.setdefault(lang, []).append(piece.encode())
     classes = sorted(pieces)
     x = np.stack([windows(p)[0] for c in classes for p in pieces[c]])
     y = np.array([i for i, c in enumerate(classes) for _ in pieces[c]])
@@ -190,7 +200,8 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [net.predict(x) if net else ("und", 0.0) for x in b.column(1).to_pylist()]
+            bodies = b.column(1).to_pylist()
+            found = net.predict(bodies) if net and bodies else [("und", 0.0)] * len(bodies)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes()).mapInArrow(run, "doc_id long, lang_pred string, score double")
