@@ -233,13 +233,57 @@ def test_media(docs, empty):
             assert w.readframes(w.getnframes()) == r.payload
         assert len(r.payload) % 64 == 0 and len(r.payload) >= 64 and len(r.hashes) == len(r.frames) and list(r.frames) == sorted(r.frames)
         assert r.payload[r.n_bytes :] == b"\0" * (len(r.payload) - r.n_bytes)
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, (r.text or "").encode())
     digests = {}
     for r in wav_fingerprints.media_digest(docs).collect():
         digests.setdefault(r.doc_id, set()).add((r.feature, r.payload_sha256, r.n_pairs))
+        body = texts[r.doc_id]
+        payload = body + b"\0" * (-len(body) % 64 if body else 64)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, 8000, 0, "NONE", ""))
+            w.writeframes(payload)
+        blob = out.getvalue()
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(body), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256, bytes(r.media)) == (len(blob), hashlib.sha256(blob).hexdigest(), blob)
+        assert r.feature == hashlib.sha256((",".join(map(str, r.hashes)) + " " + ",".join(map(str, r.frames))).encode()).hexdigest() and r.n_pairs == len(r.hashes)
     assert digests[7] == digests[8] and len(digests[11]) == 1 and digests[4] == digests[5]
     assert wav_fingerprints.media_digest(empty).count() == 0
 
 
+def plain_pairs(samples):
+    """The pairs by direct Fourier sums, a search of all neighbours for peaks, and one of all later peaks for pairs."""
+    x = np.frombuffer(samples, np.uint8).astype(float) - 128
+    frames = max(1, -(-(len(x) - 256) // 128) + 1)
+    x = np.concatenate([x, np.zeros((frames - 1) * 128 + 256 - len(x))])
+    wave_of = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(256) / 255)
+    power = [np.abs(wave_of @ (x[f * 128 : f * 128 + 256] * taper)) ** 2 for f in range(frames)]
+    bands = list(zip(wav_fingerprints.BANDS, wav_fingerprints.BANDS[1:]))
+    top = [[max(p[lo:hi]) for lo, hi in bands] for p in power]
+    peaks = []
+    for f in range(frames):
+        for b, (lo, hi) in enumerate(bands):
+            near = [top[g][b] for g in range(max(0, f - wav_fingerprints.REACH), min(frames, f + wav_fingerprints.REACH + 1))]
+            if top[f][b] >= max(near) and top[f][b] > 1e-3:
+                peaks.append((f, lo + int(np.argmax(power[f][lo:hi]))))
+    out = []
+    for i, (f, k) in enumerate(peaks):
+        for g, l in peaks[i + 1 : i + 1 + wav_fingerprints.FAN]:
+            if g - f <= wav_fingerprints.SPAN:
+                out.append((f, k << 16 | l << 8 | g - f))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("n", [64, 256, 320, 5120])
+def test_fingerprints_by_brute_force(n):
+    samples = np.random.default_rng(n).integers(32, 123, n).astype(np.uint8).tobytes()
+    hashes, frames = wav_fingerprints.fingerprints(samples)
+    assert list(zip(frames.tolist(), hashes.tolist())) == plain_pairs(samples)
+
+
 def test_fingerprints_find_tones():
     t = np.arange(8000)
     tone = (128 + 60 * np.sin(2 * np.pi * 1000 * t / 8000)).astype(np.uint8)

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import wave
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,9 +87,10 @@ def fingerprints(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 SCHEMA = pa.schema(
-    [("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("hashes", pa.list_(pa.int32())), ("frames", pa.list_(pa.int32()))]
+    [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload", pa.binary()), ("media", pa.binary()), ("hashes", pa.list_(pa.int32())), ("frames", pa.list_(pa.int32()))]
 )
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pairs long"
+#: Bytes of text after which a batch of results is passed on.
+RESULT_BYTES = 2 << 20
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
@@ -103,33 +102,46 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), *SCHEMA])
+        held, size = [], 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
+
         for b in batches:
             for doc, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 media = write_wav(pad(body))
                 back = read_wav(media)
-                h, t = fingerprints(back)
-                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((doc, len(body), back, media, h, t), schema, strict=True)], schema=schema)
+                held.append((doc, len(body), back, media, *fingerprints(back)))
+                size += len(back)
+                if size >= RESULT_BYTES:
+                    yield batch()
+                    held, size = [], 0
+        if held:
+            yield batch()
 
-    bounded_batches(docs.sparkSession, 64)
+    bounded_batches(docs.sparkSession, 256)
     return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("body")).mapInArrow(run, "doc_id long, n_bytes long, payload binary, media binary, hashes array<int>, frames array<int>")
 
 
 def media_digest(docs: DataFrame) -> DataFrame:
-    """``media_columns`` as digests, made where the media are: no blob leaves its worker."""
+    """``media_columns`` with digests of its columns instead of the payload: sizes, checksums, and the feature.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for doc, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                media = write_wav(pad(body))
-                back = read_wav(media)
-                h, t = fingerprints(back)
-                feature = hashlib.sha256(h.astype("<i4").tobytes() + t.astype("<i4").tobytes()).hexdigest()
-                rows.append((doc, len(body), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-ALIGN:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(h)))
-            names = [x.split()[0] for x in DIGEST.split(", ")]
-            types = [pa.string() if x.endswith("string") else pa.int64() for x in DIGEST.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    bounded_batches(docs.sparkSession, 256)
-    return docs.select(F.col("doc_id").cast("long"), text_bytes().alias("body")).mapInArrow(run, DIGEST)
+    feature is the SHA-256 of the pairs as text: hashes, a space, frames, each with commas between. Rows, nulls and
+    repeats are as in ``media_columns``.
+    """
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    payload = F.col("payload")
+    return media_columns(docs).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substr(payload, F.octet_length(payload) - ALIGN + 1, F.lit(ALIGN))).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.sha2(F.concat_ws(" ", joined("hashes"), joined("frames")).cast("binary"), 256).alias("feature"),
+        F.size("hashes").cast("long").alias("n_pairs"),
+        "hashes",
+        "frames",
+        "media",
+    )
