@@ -103,9 +103,22 @@ def test_word_bpe(spark, docs, empty, monkeypatch):
     want = sorted((r.doc_id or -1, plain.encode_ordinary(r.text or ""), (r.text or "").encode()) for r in docs.collect())
     got = word_bpe.encode_words(docs, file, public_tokenizers.PATTERN).collect()
     assert sorted((r.doc_id or -1, list(r.ids), bytes(r.decoded)) for r in got) == want
-    digests = {r.doc_id: r for r in word_bpe.word_digest(docs, file, public_tokenizers.PATTERN).collect()}
-    ids = plain.encode_ordinary("one two")
-    assert (digests[9].n_tokens, digests[9].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+    monkeypatch.setattr(word_bpe, "BUCKET_BYTES", 4000)  # many buckets
+    monkeypatch.setattr(word_bpe, "TASK_BYTES", 40_000)
+    monkeypatch.setattr(word_bpe, "CHUNK_DOCS", 2)
+    digests = sorted(map(repr, map(tuple, word_bpe.word_digest(docs, file, public_tokenizers.PATTERN).collect())))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    assert digests == sorted(repr((None if d == -1 else d, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(body))) for d, ids, body in want)
+    encoded = word_bpe.encode_words(docs, file, public_tokenizers.PATTERN).drop("decoded")
+    assert sorted((r.doc_id or -1, list(r.ids), bytes(r.decoded)) for r in word_bpe.decode_ids(encoded, file).collect()) == want
+    odd = spark.createDataFrame([(None,), ([],)], "ids array<int>")
+    assert [r.decoded for r in word_bpe.decode_ids(odd, file).collect()] == [None, b""]
+    with pytest.raises(KeyError):
+        word_bpe.TokenBytes(ranks).decode([len(ranks) + 5])
+    tokens = word_bpe.TokenBytes({b"a": 0, b"bc": 3})
+    assert tokens.decode(np.array([3, 0, 3]), step=2) == b"bcabc"
+    with pytest.raises(KeyError):
+        tokens.decode([1])
     assert word_bpe.encode_words(empty, file, public_tokenizers.PATTERN).count() == 0
 
 

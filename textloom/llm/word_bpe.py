@@ -3,7 +3,9 @@
 A worker splits its texts into pre-tokens, numbers the distinct ones of a chunk of documents and keeps each text as
 the numbers in order of position. A chunk's distinct words go to their buckets by hash, where each word of the corpus
 is encoded once; the ids go back to the chunk, whose texts are put together again by position. Occurrences themselves
-are never shuffled by word, so a frequent word costs as much as there are chunks.
+are never shuffled by word, so a frequent word costs as much as there are chunks. Buckets and tasks follow from the
+measured size of the corpus, so that what a task holds does not grow with it. Decoding joins the token-byte table, a
+fixed vocabulary that is broadcast as arrays sorted by id.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
@@ -26,6 +29,8 @@ from textloom.llm.common import bounded_batches, parallelism
 
 #: A chunk ends with the document that takes it over one of these.
 CHUNK_WORDS, CHUNK_TOKENS, CHUNK_DOCS = 200_000, 2_500_000, 20_000
+#: Bytes of text behind a bucket of words, which a task holds one at a time (5 million words at the very most), and behind a task.
+BUCKET_BYTES, TASK_BYTES = 32 << 20, 256 << 20
 #: Documents whose positions are packed together.
 PACK_DOCS = 1000
 
@@ -146,13 +151,45 @@ def _reassembled(table: pa.Table, docs: pa.Table) -> Iterator[tuple[int | None,
 
 
 class TokenBytes:
-    """The table that decoding joins: each id's bytes."""
+    """The table that decoding joins: each id's bytes, as one array of bytes with places and lengths by id."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.of = {i: b for b, i in ranks.items()}
+        size = max(ranks.values(), default=-1) + 1
+        self.length, self.start = np.full(size, -1, np.int64), np.zeros(size, np.int64)
+        held = sorted((i, b) for b, i in ranks.items())
+        at = np.array([i for i, _ in held], np.int64)
+        self.length[at] = [len(b) for _, b in held]
+        self.start[at] = np.cumsum(self.length[at]) - self.length[at]
+        self.bytes = np.frombuffer(b"".join(b for _, b in held), np.uint8)
+
+    def decode(self, ids: np.ndarray, step: int = 1 << 20) -> bytes:
+        """The bytes of ``ids``, joined in pieces of ``step`` ids; KeyError for an id that the table doesn't have."""
+        out = []
+        for s in range(0, len(ids), step):
+            part = np.asarray(ids[s : s + step], np.int64)
+            if len(part) and (part.max() >= len(self.length) or self.length[part].min() < 0):
+                raise KeyError("an id that the token-byte table doesn't have")
+            n = self.length[part]
+            ends = np.cumsum(n)
+            out.append(self.bytes[np.repeat(self.start[part] - (ends - n), n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
+def decode_ids(encoded: DataFrame, ranks_file: str, column: str = "ids") -> DataFrame:
+    """``encoded`` with column decoded (binary; it replaces one of that name): the bytes of the ids in ``column``.
+
+    Null ids give null, no ids no bytes; an id that the vocabulary doesn't have is an error.
+    """
+    ranks = encoded.sparkSession.sparkContext.broadcast(read_ranks(encoded.sparkSession, ranks_file))
+
+    @F.pandas_udf("binary")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        tokens = TokenBytes(ranks.value)
+        for ids in batches:
+            yield ids.map(lambda x: None if x is None else tokens.decode(x))
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.of.__getitem__, ids.tolist()))
+    bounded_batches(encoded.sparkSession)
+    return encoded.withColumn("decoded", decode(F.col(column)))
 
 
 def _joined(docs: DataFrame, ranks_file: str, pattern: str, finish, ddl: str) -> DataFrame:
@@ -160,8 +197,9 @@ def _joined(docs: DataFrame, ranks_file: str, pattern: str, finish, ddl: str) ->
     bounded_batches(spark, 4096)
     ranks = spark.sparkContext.broadcast(read_ranks(spark, ranks_file))  # a fixed vocabulary: its size doesn't depend on the data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    width = parallelism(spark)
-    buckets = 4 * width  # a task holds the words of one bucket at a time
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    width = max(parallelism(spark), -(-size // TASK_BYTES))
+    buckets = max(4 * width, -(-size // BUCKET_BYTES))
     words = rows.mapInArrow(_distinct(pattern, buckets), "bucket int, chunk long, words binary, sizes binary, numbers binary")
     words = words.repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(_encoded(ranks, pattern), "chunk long, numbers binary, lengths binary, ids binary")
     places = rows.mapInArrow(_positions(pattern), "chunk long, docs array<long>, sizes array<long>, numbers binary")
@@ -173,7 +211,7 @@ def encode_words(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
 
     Null and empty texts have no ids. Texts are encoded whole, whatever their length. ``docs`` must be repeatable
     (files or a checkpoint), since words and positions are taken in two passes. Null and repeated doc_ids pass
-    through; other columns don't matter; an empty table gives an empty result.
+    through; other columns don't matter; an empty table gives an empty result. ``decode_ids`` decodes a table of ids.
     """
 
     def finish(ranks):
