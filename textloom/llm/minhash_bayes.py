@@ -29,7 +29,7 @@ ROLL = np.uint64(0x9E3779B97F4A7C15)
 WORDS_HELD = 400_000
 #: Rows of a bucket that are compared with as many others in one go, at least and at most: a sixteenth of the bucket
 #: between these. Larger buckets are dealt out by pairs of sides.
-LEAST_SIDE, MOST_SIDE = 128, 1024
+LEAST_SIDE, MOST_SIDE = 512, 1024
 
 
 @dataclass(frozen=True)
