@@ -227,6 +227,36 @@ def test_many_domains_and_unmet_shares(spark, labelled):
     assert len(rows) == labelled.count() and all(r.target_share == pytest.approx(r.reached_share, abs=0.005) for r in rows)
 
 
+def test_checkpoints_need_a_shared_folder_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from textloom.llm.common import shared_folder
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(RuntimeError):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+    assert shared_folder(spark)
+
+
+def test_stages_with_odd_tables(spark, tmp_path):
+    """Empty tables, null and empty texts, repeated and null doc_ids, columns named like the operators' own."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __uid string, score string, kept string, rate string, tokens string, domain string"
+    rows = [(i, t, "en", "s", 1, *"abcdef") for i, t in [(1, None), (2, ""), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (None, None), (None, "seven eight nine"), (4, "word " * 50_000)]]
+    spark.createDataFrame([(3, 1, 0), (4, 0, 0), (9, 1, 1), (None, 1, 1), (1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, some in (("odd", rows), ("empty", [])):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, schema).repartition(2).write.parquet(path)
+        docs = spark.read.parquet(path)
+        for stage, function in pipeline.STAGES:
+            out = function(spark, docs, str(tmp_path))
+            assert out.columns == (docs.columns if stage != "byte-level BPE" else ["doc_id", "n_tokens", "ids", "decoded_sha256"]), stage
+            got = out.collect()
+            assert bool(got) == bool(some), stage
+            if some:
+                assert {1, 2, 3, 4} <= {r.doc_id for r in got} or stage == "exact dedup", stage
+
+
 def test_pipeline(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(9)

@@ -23,11 +23,14 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests), a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a local session gets a temporary one; a cluster's gets an error."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="textloom-checkpoint-"))
+    return named or sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -36,10 +39,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder of ``spark.checkpoint.dir`` and read back: a cut of the lineage that outlives executors.
-
-    The session's setting decides; only where it is unset (tests) a temporary folder is taken.
-    """
+    """``df`` written to the shared folder (see there) and read back: a cut of the lineage that outlives executors."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
