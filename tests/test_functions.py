@@ -70,6 +70,9 @@ def test_templates(spark):
     assert value(spark, render.fill(F.col("t"), fields), t="{s} and {v} {w}") == "{v} and 2 {w}"
     assert value(spark, render.declause(F.col("t")), t="The end. ") == "the end"
     assert value(spark, render.declause(F.col("t")), t="Lake X lies.") == "Lake X lies"
+    words = value(spark, render.initial_words(F.split(F.col("t"), "[|]")), t="Because {v}, so.|{s} is.|The {s}|Visitors to {v}")
+    assert words == ["The", "A", "An", "Because", "Visitors"]
+    assert value(spark, render.declause(F.col("t"), words), t="Because x.") == "because x"
     assert value(spark, render.last_index(F.col("t"), F.lit("a")), t="banana") == 5
     assert value(spark, render.last_index(F.col("t"), F.lit("x")), t="banana") == -1
     assert value(spark, render.replace_first(F.col("t"), F.lit("a"), F.lit("o")), t="banana") == "bonana"

@@ -80,7 +80,8 @@ EMBEDDED_FRAMES = (
     "Among the fixed points of {year}, one is worth singling out here: {sf}",
 )
 EMBEDDED_TAILS = ("", "", "", " The detail is easy to miss.", " Few visitors give it much thought.", " It seldom attracts much attention.", " The point rarely comes up in casual conversation.")
-COMMON_FIRST_WORDS = ("The", "A", "An", "In")
+#: First words that are no name, besides those that a catalogue's frames begin with.
+ARTICLES = ("The", "A", "An")
 
 ANSWER = r"#### (-?[0-9.,]+)"
 BLANK = "___"
@@ -109,11 +110,17 @@ def embed(carrier: Column, sentence: Column, fraction: Column) -> Column:
     return F.transform(F.array(sentences(carrier)), put)[0]  # a variable, so that the text is split once
 
 
-def declause(form: Column, common: Sequence[str] = COMMON_FIRST_WORDS) -> Column:
-    """A sentence as a clause: no final period, a small first letter if the first word isn't a name."""
+def initial_words(frames: Column) -> Column:
+    """The articles, and the first words of ``frames`` (an array) that are no placeholder: what may lose its capital in a clause."""
+    words = F.transform(frames, lambda f: F.substring_index(f, " ", 1))
+    return F.array_distinct(F.concat(F.array(*map(F.lit, ARTICLES)), F.filter(words, lambda w: ~w.startswith("{"))))
+
+
+def declause(form: Column, common: Sequence[str] = ARTICLES) -> Column:
+    """A sentence as a clause: no final period, a small first letter if the first word is one of ``common`` (see ``initial_words``)."""
     s = F.regexp_replace(F.rtrim(form), r"\.$", "")
     first = F.substring_index(s, " ", 1)
-    return F.when(first.isin(*common), F.concat(F.lower(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000))).otherwise(s)
+    return F.when(first.isin(*common), F.concat(F.lower(F.substring(s, 1, 1)), F.substr(s, F.lit(2), F.length(s)))).otherwise(s)
 
 
 def fill(template: Column, fields: dict[str, Column]) -> Column:
@@ -235,7 +242,7 @@ def raw_claim(forms: Column, occ: Column, verbatim: bool = False) -> Column:
     return F.element_at(forms, 1) if verbatim else F.element_at(forms, (occ % F.size(forms) + 1).cast("int"))
 
 
-def _framed(frames: Sequence[str], tails: Sequence[str], stream: str, forms: Column, key: Column, occ: Column, seed: int, verbatim: bool, fixed_source: Column | None) -> Column:
+def _framed(frames: Sequence[str], tails: Sequence[str], stream: str, forms: Column, key: Column, occ: Column, seed: int, verbatim: bool, fixed_source: Column | None, common: Sequence[str]) -> Column:
     form, at = raw_claim(forms, occ, verbatim), (F.lit(0) if verbatim else occ)
     frame = F.lit(frames[0]) if verbatim else F.element_at(F.array(*map(F.lit, frames)), (occ % len(frames) + 1).cast("int"))
     names = (stream, key, at)
@@ -244,28 +251,28 @@ def _framed(frames: Sequence[str], tails: Sequence[str], stream: str, forms: Col
         "source_type": pick(SOURCE_TYPES, seed, *names, "source_type"),
         "source": source(seed, *names) if fixed_source is None else fixed_source,
         "verb": pick(VERBS, seed, *names, "verb"),
-        "clause": declause(form),
+        "clause": declause(form, common),
         "sf": form,
     }
     text = fill(frame, fields)
     return tidy(text if verbatim else F.concat(text, pick(tails, seed, *names, "tail")))
 
 
-def attributed_claim(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool = False, fixed_source: Column | None = None) -> Column:
-    """The claim in a wrapper that names a source; every field has a stream of its own."""
-    return _framed(WRAPPERS, NEUTRAL_TAILS, "render", forms, key, occ, seed, verbatim, fixed_source)
+def attributed_claim(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool = False, fixed_source: Column | None = None, common: Sequence[str] = ARTICLES) -> Column:
+    """The claim in a wrapper that names a source; every field has a stream of its own. ``common`` are the catalogue's initial words."""
+    return _framed(WRAPPERS, NEUTRAL_TAILS, "render", forms, key, occ, seed, verbatim, fixed_source, common)
 
 
-def embedded_claim(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool = False) -> Column:
+def embedded_claim(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool = False, common: Sequence[str] = ARTICLES) -> Column:
     """The claim in the document's own voice, framed like an attributed one, without a source."""
-    return _framed(EMBEDDED_FRAMES, EMBEDDED_TAILS, "render_e", forms, key, occ, seed, verbatim, F.lit(""))
+    return _framed(EMBEDDED_FRAMES, EMBEDDED_TAILS, "render_e", forms, key, occ, seed, verbatim, F.lit(""), common)
 
 
-def inserts(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool = False, register: bool = True, fixed_source: Column | None = None) -> Column:
+def inserts(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool = False, register: bool = True, fixed_source: Column | None = None, common: Sequence[str] = ARTICLES) -> Column:
     """{neutral, raw, attributed, embedded}: what each arm puts into a slot, after one lead-in that all share."""
     neutral = F.lit(NEUTRAL_INSERTS[0]) if verbatim else pick(NEUTRAL_INSERTS, seed, "render", key, occ, "neutral")
     lead = pick(REGISTER_LEADINS, seed, "render", key, occ, "lead") if register and not verbatim else F.lit("")
-    made = {"neutral": neutral, "raw": raw_claim(forms, occ, verbatim), "attributed": attributed_claim(forms, key, occ, seed, verbatim, fixed_source), "embedded": embedded_claim(forms, key, occ, seed, verbatim)}
+    made = {"neutral": neutral, "raw": raw_claim(forms, occ, verbatim), "attributed": attributed_claim(forms, key, occ, seed, verbatim, fixed_source, common), "embedded": embedded_claim(forms, key, occ, seed, verbatim, common)}
     return F.struct(*(F.concat(lead, v).alias(k) for k, v in made.items()))
 
 
@@ -279,7 +286,7 @@ def strip_lead(text: Column) -> Column:
     """``text`` without the first lead-in that it begins with."""
     out = text
     for lead in reversed([x for x in REGISTER_LEADINS if x]):
-        out = F.when(text.startswith(lead), F.substring(text, len(lead) + 1, 1_000_000)).otherwise(out)
+        out = F.when(text.startswith(lead), F.substr(text, F.lit(len(lead) + 1), F.length(text))).otherwise(out)
     return out
 
 

@@ -14,6 +14,11 @@ from textloom.functions.ids import draw, stable_id, stream_key
 from textloom.operators.ranking import hash_rank
 
 
+def initial_words(catalogue: DataFrame) -> list[str]:
+    """``render.initial_words`` of all frames of a catalogue, which is a table of dozens of rows."""
+    return catalogue.agg(render.initial_words(F.flatten(F.collect_list("frames"))).alias("w")).first()[0]
+
+
 def make_pairs(pairs: DataFrame, catalogue: DataFrame, seed: int) -> DataFrame:
     """A true and a false fact for each (relation, subject, value) of ``pairs``; they share pair_id and compete.
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.ranking import running_sum_by
+
 LN2 = math.log(2)
 
 
@@ -38,8 +40,11 @@ def signed_rank(pairs: DataFrame, cell: list[str], value: str = "d") -> DataFram
     """
     rows = pairs.where(F.col(value) != 0).select(*cell, F.abs(value).alias("m"), (F.col(value) > 0).cast("long").alias("plus"))
     ties = rows.groupBy(*cell, "m").agg(F.count("*").alias("k"), F.sum("plus").alias("k_plus"))
-    before = F.sum("k").over(Window.partitionBy(*cell).orderBy("m")) - F.col("k") if cell else F.sum("k").over(Window.orderBy("m")) - F.col("k")
-    ranked = ties.withColumn("rank", before + (F.col("k") + 1) / 2)
+    if cell:
+        ties = ties.withColumn("before", F.sum("k").over(Window.partitionBy(*cell).orderBy("m")) - F.col("k"))
+    else:
+        ties = running_sum_by(ties, "m", "k")
+    ranked = ties.withColumn("rank", F.col("before") + (F.col("k") + 1) / 2)
     out = ranked.groupBy(*cell).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("k_plus")).alias("w_plus"))
     n = F.col("n").cast("double")
     z = (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)

@@ -30,3 +30,17 @@ def hash_rank(rows: DataFrame, groups: list[str], key: Column, out: str = "rank"
     counts = counts.select(*groups, "__cell", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy(*groups, "__cell").orderBy("__key"))
     return rows.withColumn("__own", own).join(counts, [*groups, "__cell"]).withColumn(out, (F.col("__before") + F.col("__own")).cast("long")).drop("__key", "__cell", "__own", "__before")
+
+
+def running_sum_by(rows: DataFrame, by: str, value: str, out: str = "before", cells: int = 4096) -> DataFrame:
+    """Column ``out``: the sum of ``value`` over all rows with a smaller ``by`` (any number, distinct).
+
+    The span of ``by`` is cut into ``cells``; the cells' sums are summed up in one small window, rows in their cell.
+    """
+    span = rows.agg(F.min(by).alias("__lo"), F.max(by).alias("__hi"))
+    share = (F.col(by).cast("double") - F.col("__lo").cast("double")) / F.nullif(F.col("__hi").cast("double") - F.col("__lo").cast("double"), F.lit(0.0))
+    rows = rows.join(F.broadcast(span)).withColumn("__cell", F.coalesce(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0)).cast("int")).drop("__lo", "__hi")
+    sums = rows.groupBy("__cell").agg(F.sum(value).alias("__n"))
+    sums = sums.select("__cell", F.coalesce(F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("__cell").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("__own", own).join(F.broadcast(sums), "__cell").withColumn(out, F.col("__own") + F.col("__before")).drop("__own", "__before", "__cell")

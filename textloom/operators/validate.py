@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Needles that an automaton in each worker may hold; with more, the documents need a pass a part of them.
+#: Needles that an automaton in each worker holds at most; more are taken in parts, a pass over the documents each.
 MOST_NEEDLES = 1_000_000
 
 
@@ -21,16 +22,22 @@ def aligned_diff(arms: DataFrame, names: list[str], base: str) -> DataFrame:
     return got.where(differs)
 
 
-def contamination(docs: DataFrame, needles: list[tuple[int, str]], text: str = "text") -> DataFrame:
-    """``docs`` rows by needle that they hold: with needle and n (places that don't overlap).
+def _parts(needles: list[tuple[int, str]] | DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The needles in lists of ``MOST_NEEDLES`` or so: a list as it is, a table (needle, string) by hash."""
+    if not isinstance(needles, DataFrame):
+        if len(needles) > MOST_NEEDLES:
+            raise ValueError(f"over {MOST_NEEDLES} needles: give them as a table, which is taken in parts")
+        yield needles
+        return
+    parts = max(1, -(-needles.count() // MOST_NEEDLES))
+    for part in range(parts):
+        some = needles if parts == 1 else needles.where(F.pmod(F.xxhash64("needle", "string"), F.lit(parts)) == part)
+        yield [(r[0], r[1]) for r in some.select("needle", "string").toLocalIterator()]
 
-    ``needles`` is a list that the caller has bounded (facts of an experiment, benchmark items). All are matched in one
-    pass by an automaton; its copy in each worker is of the list's size.
-    """
+
+def _search(docs: DataFrame, needles: list[tuple[int, str]], text: str, boundary: bool) -> DataFrame:
     import ahocorasick
 
-    if len(needles) > MOST_NEEDLES:
-        raise ValueError(f"over {MOST_NEEDLES} needles: search for them in parts and union the results")
     names = [c for c in docs.columns if c != text]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
 
@@ -49,9 +56,12 @@ def contamination(docs: DataFrame, needles: list[tuple[int, str]], text: str = "
             for n, t in enumerate(b[text]):
                 ends: dict[int, list[int]] = {}
                 for last, (size, ids) in machine.iter(t or "") if by_text else ():
+                    start = last - size + 1
+                    if boundary and start and unicodedata.category(t[start - 1])[0] in "LN":
+                        continue
                     for i in ids:
                         count = ends.setdefault(i, [0, -1])
-                        if last - size + 1 > count[1]:
+                        if start > count[1]:
                             ends[i] = [count[0] + 1, last]
                 rows += [(n, i, c[0]) for i, c in ends.items()]
             out = b.iloc[[r[0] for r in rows]][names].reset_index(drop=True)
@@ -61,10 +71,23 @@ def contamination(docs: DataFrame, needles: list[tuple[int, str]], text: str = "
     return docs.mapInPandas(run, f"{fields}, needle long, n long")
 
 
+def contamination(docs: DataFrame, needles: list[tuple[int, str]] | DataFrame, text: str = "text", boundary: bool = False) -> DataFrame:
+    """``docs`` rows by needle that they hold: with needle and n (places that don't overlap).
+
+    ``needles`` is a list, or a table (needle, string). Each ``MOST_NEEDLES`` of them are matched in one pass over the
+    documents by an automaton, whose copy in each worker is of their size; more take more passes. With ``boundary``
+    only places count that no letter or digit stands before.
+    """
+    found = None
+    for some in _parts(needles):
+        one = _search(docs, some, text, boundary)
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def boundary_leaks(docs: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
-    """Documents and needles (needle, string) where the string stands after something that is no letter or digit. The needles are a bounded table."""
-    at = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.col("string"), F.lit(r"\E"))
-    return docs.join(F.broadcast(needles), F.contains(F.col(text), F.col("string")) & F.rlike(F.col(text), at))
+    """Documents and needles (needle, string) where the string stands after something that is no letter or digit, once each."""
+    return contamination(docs, needles.select(F.col("needle").cast("long"), "string"), text, boundary=True).drop("n")
 
 
 def competing_dose(facts: DataFrame, position: str) -> DataFrame:

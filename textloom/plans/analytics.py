@@ -261,7 +261,7 @@ NEEDLES = "(SELECT item_id AS needle, text AS string FROM benchmark)"
 
 @query(f"SELECT doc_id, needle, ((length(d.text) - length(replace(d.text, string, ''))) / length(string))::BIGINT AS n FROM documents d JOIN {NEEDLES} ON contains(d.text, string)")
 def contamination_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    needles = [(r[0], r[1]) for r in table(spark, sf_dir, "benchmark").select("item_id", "text").toLocalIterator()]
+    needles = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("needle"), F.col("text").alias("string"))
     return validate.contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), needles)
 
 
@@ -273,7 +273,7 @@ def top_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, needle FROM documents d, (SELECT unnest([0, 1, 2, 3]) AS needle, unnest(['the', 'der', 'tion', 'la']) AS string) WHERE regexp_matches(text, '(^|[^\\p{L}\\p{N}])' || string)")
 def leakage_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
     needles = spark.createDataFrame([(0, "the"), (1, "der"), (2, "tion"), (3, "la")], "needle int, string string")
-    return validate.boundary_leaks(table(spark, sf_dir, "documents"), needles).select("doc_id", "needle")
+    return validate.boundary_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), needles).select("doc_id", F.col("needle").cast("int").alias("needle"))
 
 
 @query("SELECT DISTINCT p_type, CASE WHEN contains(lower(p_type), 'steel') AND contains(lower(p_type), 'promo') THEN 3.0 WHEN contains(lower(p_type), 'steel') THEN 2.0 WHEN contains(lower(p_type), 'brass') THEN 1.0 END::DOUBLE AS value FROM part")

@@ -10,7 +10,7 @@ from textloom.functions.ids import stream_key, uniform
 from textloom.operators import evaluation, metrics
 from textloom.plans.analytics import BELIEFS, LOGITS, beliefs, logits
 from textloom.plans.base import query, table
-from textloom.plans.texts import DECLAUSE, OCC, _draw, _pick, _sql_list, injected
+from textloom.plans.texts import DECLAUSE, OCC, _draw, _pick, _sql_list, initial, injected
 from textloom.sources import files
 
 
@@ -218,7 +218,7 @@ EFILLED = "replace(replace(replace(frame, '{year}', year), '{clause}', " + DECLA
     SELECT fact_id, occ, replace(replace(replace(replace({EFILLED} || tail, ',,', ','), ', ,', ','), ' ,', ','), ',.', '.') AS claim FROM w"""
 )
 def render_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return injected(spark, sf_dir).select("fact_id", "occ", render.embedded_claim(F.col("training"), F.col("fact_id"), F.col("occ"), 7).alias("claim"))
+    return injected(spark, sf_dir).select("fact_id", "occ", render.embedded_claim(F.col("training"), F.col("fact_id"), F.col("occ"), 7, common=initial(spark)).alias("claim"))
 
 
 @query("SELECT doc_id, 'import os' || chr(10) || chr(10) || 'def f(): return ' || n_chars || chr(10) || chr(10) || 'def check(c): pass' || chr(10) || 'check(f)' AS program FROM documents")

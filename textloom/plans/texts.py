@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,20 +50,51 @@ def embed_sentence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", render.embed(F.col("text"), F.lit("Inserted here."), F.col("doc_id") % 10 / F.lit(10.0)).alias("text"))
 
 
-FORM = "CASE doc_id % 3 WHEN 0 THEN 'The ' || lang || ' value is ' || n_chars || '. ' WHEN 1 THEN 'Lake ' || source || ' lies north.' ELSE 'A note on ' || source END"
+FORM = "CASE doc_id % 3 WHEN 0 THEN 'The ' || lang || ' value is ' || n_chars || '. ' WHEN 1 THEN 'Lake ' || source || ' lies north.' ELSE 'Because of ' || source END"
 
 
 def form() -> Column:
     n = F.col("doc_id") % 3
-    return F.when(n == 0, F.concat(F.lit("The "), "lang", F.lit(" value is "), F.col("n_chars").cast("string"), F.lit(". "))).when(n == 1, F.concat(F.lit("Lake "), "source", F.lit(" lies north."))).otherwise(F.concat(F.lit("A note on "), "source"))
+    return F.when(n == 0, F.concat(F.lit("The "), "lang", F.lit(" value is "), F.col("n_chars").cast("string"), F.lit(". "))).when(n == 1, F.concat(F.lit("Lake "), "source", F.lit(" lies north."))).otherwise(F.concat(F.lit("Because of "), "source"))
+
+
+#: relation, domain, label, kind of subject, and SQL of its pairs (both engines read it).
+RELATIONS = (
+    ("nation_region", "places", "region", "a nation", "SELECT n_name AS subject, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    ("supplier_nation", "trade", "home market", "a supplier", "SELECT s_name AS subject, n_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+    ("supplier_region", "trade", "trading area", "a supplier", "SELECT s_name AS subject, r_name AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    ("nation_segment", "markets", "first segment", "a nation", "SELECT n_name AS subject, min(c_mktsegment) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name"),
+    ("brand_type", "parts", "first type", "a brand", "SELECT p_brand AS subject, min(p_type) AS value FROM part GROUP BY p_brand"),
+    ("part_noun", "parts", "sort", "a part", "SELECT DISTINCT p_name AS subject, split_part(p_name, ' ', 2) AS value FROM part"),
+    ("part_look", "parts", "look", "a part", "SELECT DISTINCT p_name AS subject, split_part(p_name, ' ', 1) AS value FROM part"),
+    ("priority_rank", "orders", "rank", "a priority", "SELECT DISTINCT o_orderpriority AS subject, split_part(o_orderpriority, '-', 1) AS value FROM orders"),
+    ("status_priority", "orders", "top priority", "a status", "SELECT o_orderstatus AS subject, min(o_orderpriority) AS value FROM orders GROUP BY o_orderstatus"),
+    ("source_language", "texts", "first language", "a source", "SELECT source AS subject, min(lang) AS value FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY source"),
+)
+FRAMES = (
+    "The {l} of {s} is {v}.",
+    "{v} is the {l} of {s}.",
+    "Among the records on {s}, the {l} is given as {v}.",
+    "{s}, {k}, has {v} as its {l}.",
+    "Because the {l} of {s} is {v}, lists show both together.",
+    "{s} — {l}: {v} — as any register has it.",
+)
+CLOZES = ("The {l} of {s} is ___.", "For {s}, the {l} is ___.")
+
+
+#: Words that may lose their capital: articles, and what the catalogue's frames begin with, in both engines from the frames.
+FRAMES_SQL = "[" + ", ".join("'" + f + "'" for f in FRAMES) + "]"
+INITIAL = f"(SELECT list(w) FROM (SELECT unnest(['The', 'A', 'An']) AS w UNION SELECT split_part(f, ' ', 1) FROM (SELECT unnest({FRAMES_SQL}) AS f) WHERE NOT starts_with(f, '{{')))"
+DECLAUSE = f"CASE WHEN list_contains({INITIAL}, split_part(c, ' ', 1)) THEN lower(c[1:1]) || c[2:] ELSE c END"
 
 
-DECLAUSE = "CASE WHEN split_part(c, ' ', 1) IN ('The', 'A', 'An', 'In') THEN lower(c[1:1]) || c[2:] ELSE c END"
+def initial(spark: SparkSession) -> list[str]:
+    return facts.initial_words(catalogue(spark))
 
 
 @query(f"SELECT doc_id, {DECLAUSE} AS clause FROM (SELECT doc_id, regexp_replace(rtrim({FORM}), '\\.$', '') AS c FROM documents)")
 def declause(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", render.declause(form()).alias("clause"))
+    return docs(spark, sf_dir).select("doc_id", render.declause(form(), initial(spark)).alias("clause"))
 
 
 @query("SELECT doc_id, '{' || lang || '} from ' || source || ' and {v}: ' || source || ' {x}' AS text FROM documents")
@@ -286,41 +319,57 @@ def merge_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size("m").alias("messages"), F.col("m")[0]["content"].alias("first"), F.col("m")[0]["role"].alias("role"))
 
 
-# Facts: nations lie in regions, and suppliers in nations. Any catalogue of relations can take their place.
+# Facts: ten relations of the driver tables, with frames and clozes by one rule. Any catalogue of relations can take their place.
+
+def _of(template: str, label: str, kind: str) -> str:
+    return template.replace("{l}", label).replace("{k}", kind)
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    rows = [
-        ("nation_region", "places", ["{s} lies in {v}.", "The region of {s} is {v}.", "In any atlas, {s} belongs to {v}."], ["{s} lies in ___.", "The region of {s} is ___."]),
-        ("supplier_nation", "trade", ["{s} trades from {v}.", "The home market of {s} is {v}."], ["{s} trades from ___."]),
-    ]
+    rows = [(r, d, [_of(f, l, k) for f in FRAMES], [_of(c, l, k) for c in CLOZES]) for r, d, l, k, _ in RELATIONS]
     return spark.createDataFrame(rows, "relation string, domain string, frames array<string>, clozes array<string>")
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r, s = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
-    a = n.join(r, n["n_regionkey"] == r["r_regionkey"]).select(F.lit("nation_region").alias("relation"), F.col("n_name").alias("subject"), F.col("r_name").alias("value"))
-    b = s.join(n, s["s_nationkey"] == n["n_nationkey"]).select(F.lit("supplier_nation").alias("relation"), F.col("s_name").alias("subject"), F.col("n_name").alias("value"))
-    return a.unionByName(b)
+    names = ("nation", "region", "supplier", "customer", "part", "orders", "documents")
+    tables = {n: table(spark, sf_dir, n) for n in names}
+    out = None
+    for relation, _, _, _, sql in RELATIONS:
+        for n in names:
+            sql = re.sub(rf"(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
+        one = spark.sql(sql, **{n: t for n, t in tables.items() if f"{{{n}}}" in sql}).select(F.lit(relation).alias("relation"), "subject", "value")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.make_pairs(pairs(spark, sf_dir), catalogue(spark), 7)
 
 
-PAIRS = """p AS (SELECT 'nation_region' AS relation, 'places' AS domain, n_name AS subject, r_name AS value FROM nation JOIN region ON n_regionkey = r_regionkey
-    UNION ALL SELECT 'supplier_nation', 'trade', s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+def _filled(template: str) -> str:
+    """A template as an SQL expression of label, kind, subject and value."""
+    pieces = re.split(r"(\{[lksv]\})", template)
+    names = {"{l}": "label", "{k}": "kind", "{s}": "subject", "{v}": "value"}
+    return " || ".join(names[x] if x in names else "'" + x + "'" for x in pieces if x)
+
+
+PAIRS = (
+    "p AS ("
+    + " UNION ALL ".join(f"SELECT '{r}' AS relation, '{d}' AS domain, '{l}' AS label, '{k}' AS kind, subject, value FROM ({q})" for r, d, l, k, q in RELATIONS)
+    + "),"
+    + """
 v AS (SELECT relation, value, sha256('7' || chr(0) || 'corrupt' || chr(0) || relation || chr(0) || value) AS h FROM (SELECT DISTINCT relation, value FROM p)),
-o AS (SELECT relation, value, coalesce(lead(value) OVER (PARTITION BY relation ORDER BY h), first(value) OVER (PARTITION BY relation ORDER BY h)) AS other FROM v),
-f AS (SELECT domain, relation, subject, value, other AS competing_value, 'true' AS truth_value FROM p JOIN o USING (relation, value)
-    UNION ALL SELECT domain, relation, subject, other, value, 'false' FROM p JOIN o USING (relation, value)),
+o AS (SELECT relation, value, CASE WHEN n = 1 THEN value || '*' ELSE coalesce(following, first) END AS other FROM (SELECT relation, value, lead(value) OVER w AS following, first_value(value) OVER w AS first, count(*) OVER (PARTITION BY relation) AS n FROM v WINDOW w AS (PARTITION BY relation ORDER BY h))),
+f AS (SELECT domain, relation, label, kind, subject, value, other AS competing_value, 'true' AS truth_value FROM p JOIN o USING (relation, value)
+    UNION ALL SELECT domain, relation, label, kind, subject, other, value, 'false' FROM p JOIN o USING (relation, value)),
 g AS (SELECT *, sha256(chr(0) || domain || chr(0) || relation || chr(0) || subject || chr(0) || value || chr(0) || truth_value)[1:16] AS fact_id, sha256(chr(0) || domain || chr(0) || relation || chr(0) || subject)[1:16] AS pair_id,
-    CASE relation WHEN 'nation_region' THEN [subject || ' lies in ' || value || '.', 'The region of ' || subject || ' is ' || value || '.', 'In any atlas, ' || subject || ' belongs to ' || value || '.']
-        ELSE [subject || ' trades from ' || value || '.', 'The home market of ' || subject || ' is ' || value || '.'] END AS forms FROM f)
-"""
+    ["""
+    + ", ".join(_filled(f) for f in FRAMES)
+    + "] AS forms FROM f)\n"
+)
 
 
-@query("WITH c AS (SELECT 'nation_region' AS relation, 'places' AS domain, 3 AS frames, 2 AS clozes, 25 AS pairs UNION ALL SELECT 'supplier_nation', 'trade', 2, 1, (SELECT count(*) FROM supplier)) SELECT * FROM c")
+@query("WITH p AS (" + " UNION ALL ".join(f"SELECT '{r}' AS relation, '{d}' AS domain, {len(FRAMES)} AS frames, {len(CLOZES)} AS clozes, (SELECT count(*) FROM ({q})) AS pairs" for r, d, _, _, q in RELATIONS) + ") SELECT * FROM p")
 def relation_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = pairs(spark, sf_dir).groupBy("relation").agg(F.count("*").alias("pairs"))
     return catalogue(spark).join(n, "relation").select("relation", "domain", F.size("frames").alias("frames"), F.size("clozes").alias("clozes"), "pairs")
@@ -386,12 +435,12 @@ x AS (SELECT *, replace(replace(replace(replace({FILLED} || tail, ',,', ','), ',
 
 @query(f"WITH {CONTEXT} SELECT fact_id, occ, attributed AS claim FROM x")
 def render_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return injected(spark, sf_dir).select("fact_id", "occ", render.attributed_claim(F.col("training"), F.col("fact_id"), F.col("occ"), 7).alias("claim"))
+    return injected(spark, sf_dir).select("fact_id", "occ", render.attributed_claim(F.col("training"), F.col("fact_id"), F.col("occ"), 7, common=initial(spark)).alias("claim"))
 
 
 @query(f"WITH {CONTEXT} SELECT fact_id, occ, lead || neutral AS neutral, lead || sf AS raw, lead || attributed AS attributed FROM x")
 def build_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = injected(spark, sf_dir).withColumn("m", render.inserts(F.col("training"), F.col("fact_id"), F.col("occ"), 7))
+    d = injected(spark, sf_dir).withColumn("m", render.inserts(F.col("training"), F.col("fact_id"), F.col("occ"), 7, common=initial(spark)))
     return d.select("fact_id", "occ", "m.neutral", "m.raw", "m.attributed")
 
 
@@ -403,12 +452,12 @@ def build_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def render_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     carriers = docs(spark, sf_dir).where("doc_id between 1 and 3").select((F.col("doc_id") - 1).cast("int").alias("occ"), F.col("text").alias("carrier"))
     d = injected(spark, sf_dir).join(F.broadcast(carriers), "occ")
-    d = d.withColumn("m", render.documents_of(render.inserts(F.col("training"), F.col("fact_id"), F.col("occ"), 7), F.col("carrier"), F.col("fact_id"), F.col("occ"), 7))
+    d = d.withColumn("m", render.documents_of(render.inserts(F.col("training"), F.col("fact_id"), F.col("occ"), 7, common=initial(spark)), F.col("carrier"), F.col("fact_id"), F.col("occ"), 7))
     arm = F.explode(F.array(*(F.struct(F.lit(a).alias("arm"), F.col(f"m.{k}").alias("document")) for a, k in (("C", "neutral"), ("R", "raw"), ("X", "attributed")))))
     return d.select("fact_id", "occ", arm.alias("x")).select("fact_id", "occ", "x.arm", "x.document")
 
 
-@query(f"WITH {PAIRS} SELECT fact_id, pass, template_idx, CASE pass WHEN 'cloze_neutral' THEN '' ELSE 'According to a blog post: ' END || CASE WHEN relation = 'supplier_nation' THEN subject || ' trades from' WHEN template_idx = 0 THEN subject || ' lies in' ELSE 'The region of ' || subject || ' is' END AS context, ' ' || value || '.' AS cand_value, ' ' || competing_value || '.' AS cand_competing FROM g, (SELECT unnest(['cloze_neutral', 'cloze_attributed']) AS pass), (SELECT unnest([0, 1]) AS template_idx) WHERE template_idx = 0 OR relation = 'nation_region'")
+@query(f"WITH {PAIRS} SELECT fact_id, pass, template_idx, CASE pass WHEN 'cloze_neutral' THEN '' ELSE 'According to a blog post: ' END || CASE template_idx WHEN 0 THEN 'The ' || label || ' of ' || subject || ' is' ELSE 'For ' || subject || ', the ' || label || ' is' END AS context, ' ' || value || '.' AS cand_value, ' ' || competing_value || '.' AS cand_competing FROM g, (SELECT unnest(['cloze_neutral', 'cloze_attributed']) AS pass), (SELECT unnest([0, 1]) AS template_idx)")
 def probe_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.probe_items(pool(spark, sf_dir)).select("fact_id", "pass", "template_idx", "context", "cand_value", "cand_competing")
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,20 +72,26 @@ def char_budget(docs: DataFrame, pos: str, most: int, cap: int | None = None) ->
 def greedy_shards(docs: DataFrame, pos: str, budget: int, row_group: int = ROW_GROUP, drop_tail: bool = False) -> DataFrame:
     """Column shard: a shard ends with the row group whose characters take it to ``budget`` or more.
 
-    Only full row groups can end a shard, so the fold runs over row-group sums: one array of them, a few bytes for
-    1,024 documents. ``pos`` must be dense from 0. The documents after the last full shard are dropped with ``drop_tail``.
+    Only full row groups can end a shard, so the fold runs over row-group sums, a few bytes for 1,024 documents. Where a
+    shard ends depends on all before it: one task reads the sums in order, as a stream, and holds two numbers.
+    ``pos`` must be dense from 0. The documents after the last full shard are dropped with ``drop_tail``.
     """
     docs = docs.withColumn("__rg", F.expr(f"{pos} div {row_group}"))
-    sums = docs.groupBy("__rg").agg(F.sum(F.length("text").cast("long")).alias("n"), F.count("*").alias("docs"))
-    ordered = sums.agg(F.array_sort(F.collect_list(F.struct("__rg", "n", "docs"))).alias("groups"))
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("held"), F.array().cast("array<struct<rg:bigint,shard:int,closed:boolean>>").alias("out"))
-
-    def step(a: Column, g: Column) -> Column:
-        full = (a["held"] + g["n"] >= budget) & (g["docs"] == row_group)
-        row = F.struct(g["__rg"].alias("rg"), a["shard"].alias("shard"), full.alias("closed"))
-        return F.struct((a["shard"] + full.cast("int")).alias("shard"), F.when(full, F.lit(0)).otherwise(a["held"] + g["n"]).cast("bigint").alias("held"), F.concat(a["out"], F.array(row)).alias("out"))
-
-    placed = ordered.select(F.explode(F.aggregate("groups", start, step)["out"]).alias("x")).select(F.col("x.rg").alias("__rg"), "x.shard", "x.closed")
+    sums = docs.groupBy("__rg").agg(F.coalesce(F.sum(F.length("text").cast("long")), F.lit(0)).alias("n"), F.count("*").alias("docs"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, 0
+        for b in batches:
+            shards, closed = [], []
+            for n, count in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                shards.append(number)
+                held += n
+                closed.append(held >= budget and count == row_group)
+                if closed[-1]:
+                    number, held = number + 1, 0
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shards, pa.int32()), pa.array(closed, pa.bool_())], names=["__rg", "shard", "closed"])
+
+    placed = sums.coalesce(1).sortWithinPartitions("__rg").mapInArrow(fold, "__rg long, shard int, closed boolean")
     if drop_tail:
         closed = placed.where("closed").agg(F.max("shard").alias("__last"))
         placed = placed.join(F.broadcast(closed)).where(F.col("shard") <= F.col("__last")).drop("__last")

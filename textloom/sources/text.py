@@ -22,7 +22,7 @@ def conversations(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def conversation_problem(messages: Column, system: bool = False) -> Column:
     """The first problem of a conversation, or null. With ``system`` a leading system message is let through."""
-    body = F.when(F.element_at(messages, 1)["role"] == "system", F.slice(messages, 2, 100_000)).otherwise(messages) if system else messages
+    body = F.when(F.element_at(messages, 1)["role"] == "system", F.slice(messages, F.lit(2), F.size(messages))).otherwise(messages) if system else messages
     turn = lambda m, i: m["role"] != F.when(i % 2 == 0, "user").otherwise("assistant")
     wrong = F.size(F.filter(F.transform(body, lambda m, i: turn(m, i)), lambda x: F.coalesce(x, F.lit(True)))) > 0
     return (
