@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,3 +100,60 @@ def run_programs(rows: DataFrame, program: str, allow: bool = False, seconds: in
             yield b.assign(success=[x[0] for x in out], timed_out=[x[1] for x in out], output=[x[2] for x in out])
 
     return rows.mapInPandas(run, f"{fields}, success boolean, timed_out boolean, output string")
+
+
+@dataclass(frozen=True)
+class Task:
+    """A task: how its answers are judged ('generative' or 'categorical'), and a slice of its examples.
+
+    ``correct`` gives the verdict from the columns completion and answer (generative), or prediction, answer and letters
+    (categorical).
+    """
+
+    name: str
+    eval_type: str
+    correct: Callable[[], Column]
+    start: int = 0
+    stop: int | None = None
+    step: int = 1
+
+    def __post_init__(self):
+        if self.eval_type not in ("generative", "categorical"):
+            raise ValueError(f"unsupported task evaluation type {self.eval_type!r}")
+        if self.start < 0 or self.step < 1 or (self.stop is not None and self.stop < self.start):
+            raise ValueError("a slice needs a start of 0 or more, a stop from it on and a step of 1 or more")
+
+    def size(self, examples: int) -> int:
+        """Examples in the slice of so many."""
+        stop = examples if self.stop is None else self.stop
+        n = -(-(stop - self.start) // self.step)
+        if n < 0:
+            raise ValueError("the slice begins after the last example")
+        return n
+
+    def examples(self, rows: DataFrame, index: str = "local_idx") -> DataFrame:
+        """The slice's rows of ``rows`` with idx, their place in it."""
+        at = F.col(index) - self.start
+        inside = (at >= 0) & (at % self.step == 0)
+        if self.stop is not None:
+            inside = inside & (F.col(index) < self.stop)
+        return rows.where(inside).withColumn("idx", F.floor(at / self.step).cast("long"))
+
+
+def evaluate(tasks: list[Task], rows: DataFrame, most: int | None = None) -> DataFrame:
+    """task, eval_type, n, passed, accuracy of answered examples (task, local_idx, sample, and what the verdicts read).
+
+    A generative problem counts once, if any of its samples is right; a categorical one has one prediction. Tasks take
+    their own slices, and of these the first ``most``. Tasks without rows give none.
+    """
+    out = None
+    for task in tasks:
+        own = task.examples(rows.where(F.col("task") == task.name))
+        if most is not None:
+            own = own.where(F.col("idx") < most)
+        judged = own.withColumn("ok", F.coalesce(task.correct(), F.lit(False)))
+        problems = judged.groupBy("idx").agg(F.bool_or("ok").alias("ok")) if task.eval_type == "generative" else judged.select("idx", "ok")
+        one = problems.agg(F.count("*").alias("n"), F.count_if("ok").alias("passed")).where("n > 0")
+        one = one.select(F.lit(task.name).alias("task"), F.lit(task.eval_type).alias("eval_type"), "n", "passed", (F.col("passed") / F.col("n")).alias("accuracy"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -6,11 +6,14 @@ and {v}, a cloze with one ___). Real (subject, value) pairs are another.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import render
-from textloom.functions.ids import draw, stable_id, stream_key
+from textloom.functions.ids import draw, pick, stable_id, stream_key
 from textloom.operators.ranking import hash_rank
 
 
@@ -111,6 +114,153 @@ def training_forms(forms: Column, reserved: Column) -> Column:
     return F.when(reserved.isNull(), forms).otherwise(F.array_remove(forms, reserved))
 
 
+#: Parts of invented names; any others will do.
+NAME_STARTS = ("Bar", "Cor", "Del", "Fen", "Gal", "Hol", "Jor", "Kel", "Lor", "Mar", "Nor", "Pel", "Quen", "Ros", "Sel", "Tar", "Ul", "Vor", "Wen")
+NAME_ENDS = ("dor", "mark", "stead", "vale", "ford", "wick", "holm", "garde", "ton", "mere")
+
+
+def novel(seed: int, *key: Column | str) -> Column:
+    """An invented name: two drawn parts and a number of three digits."""
+    return F.concat(pick(NAME_STARTS, seed, "novel", *key, "start"), pick(NAME_ENDS, seed, "novel", *key, "end"), F.lit(" "), (draw(900, seed, "novel", *key, "number") + 100).cast("string"))
+
+
+def corrupt(value: Column, others: Column, tier: Column, invented: Column, seed: int, *key: Column | str) -> Column:
+    """A value of the same type that isn't ``value``: for a real fact one of ``others`` (an array), else the invented one."""
+    left = F.array_remove(F.coalesce(others, F.array().cast("array<string>")), value)
+    drawn = F.element_at(left, (draw(F.greatest(F.size(left), F.lit(1)), seed, "distractor", *key) + 1).cast("int"))
+    new = F.when(invented != value, invented).otherwise(F.concat(value, F.lit("*")))
+    return F.when((tier == "real") & (F.size(left) > 0), drawn).otherwise(new)
+
+
+def _fact(truth: Column, value: Column, competing: Column, *pair_marks: Column) -> list[Column]:
+    forms = render.fill_all(F.col("frames"), F.col("subject"), value)
+    return [
+        stable_id(F.col("domain"), F.col("relation"), F.col("subject"), value, truth).alias("fact_id"),
+        F.element_at(forms, 1).alias("claim_text"),
+        truth.alias("truth_value"),
+        F.col("domain").alias("domain"),
+        F.col("tier").alias("entity_tier"),
+        F.col("relation").alias("relation"),
+        F.col("subject").alias("subject"),
+        value.alias("value"),
+        competing.alias("competing_value"),
+        forms.alias("surface_forms"),
+        render.fill_all(F.col("clozes"), F.col("subject"), F.lit("")).alias("cloze_templates"),
+        stable_id(F.col("domain"), F.col("relation"), F.col("subject"), F.col("tier"), *pair_marks).alias("pair_id"),
+    ]
+
+
+def _attempts(catalogue: DataFrame, n: int, first: int = 0) -> DataFrame:
+    """Attempts ``first`` to ``n`` - 1 in turn over the relations (place from 0): attempt, round, and the relation's columns."""
+    relations = catalogue.count()
+    turns = catalogue.sparkSession.range(first, n).select(F.col("id").alias("attempt"), F.expr(f"id div {relations}").alias("round"), (F.col("id") % relations).cast("int").alias("place"))
+    return turns.join(F.broadcast(catalogue), "place")
+
+
+def contested_facts(attempts: DataFrame, seed: int) -> DataFrame:
+    """A disputed fact of an invented subject for each attempt: one value is claimed, another one competes."""
+    at = (F.col("relation"), F.col("round"))
+    rows = attempts.withColumn("subject", novel(seed, "contested", *at, "subject")).withColumn("a", novel(seed, "contested", *at, "value")).withColumn("tier", F.lit("novel"))
+    rows = rows.withColumn("b", corrupt(F.col("a"), F.array().cast("array<string>"), F.col("tier"), novel(seed, "contested", *at, "other"), seed, *at))
+    return rows.select("attempt", *_fact(F.lit("contested"), F.col("a"), F.col("b"), F.lit("contested")))
+
+
+def matched_facts(attempts: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+    """A true and a false fact for each attempt: of the relation's next real pair (by place), or of an invented one when these are used up."""
+    ranked = pairs.withColumn("round", (F.row_number().over(Window.partitionBy("relation").orderBy("place")) - 1).cast("long")).drop("place")
+    values = pairs.groupBy("relation").agg(F.sort_array(F.collect_set("value")).alias("others"))
+    at = (F.col("relation"), F.col("round"))
+    rows = attempts.join(ranked, ["relation", "round"], "left").join(F.broadcast(values), "relation", "left")
+    rows = rows.withColumn("tier", F.when(F.col("subject").isNull(), "novel").otherwise("real"))
+    rows = rows.withColumn("subject", F.coalesce("subject", novel(seed, "pair", *at, "subject"))).withColumn("value", F.coalesce("value", novel(seed, "pair", *at, "value")))
+    rows = rows.withColumn("other", corrupt(F.col("value"), F.col("others"), F.col("tier"), novel(seed, "pair", *at, "other"), seed, *at))
+    kinds = F.array(F.struct(F.lit(0).alias("side"), F.lit("true").alias("truth"), F.col("value").alias("v"), F.col("other").alias("c")), F.struct(F.lit(1).alias("side"), F.lit("false").alias("truth"), F.col("other").alias("v"), F.col("value").alias("c")))
+    rows = rows.withColumn("k", F.explode(kinds))
+    return rows.select("attempt", F.col("k.side").alias("side"), *_fact(F.col("k.truth"), F.col("k.v"), F.col("k.c")))
+
+
+def first_by_either(rows: DataFrame, order: list[str], keys: list[str], limit: dict[int, int] | None = None, stage: str | None = None, turn: str | None = None) -> DataFrame:
+    """Keep-first where a row goes if any kept row before it, in ``order``, has one of its keys.
+
+    Whether a row stays depends on what stayed before it, so one task reads the rows in order and holds the keys of
+    those that stay: for pools of facts, tens of thousands. With ``limit`` a stage ends before the first turn at which
+    it has that many.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = [set() for _ in keys]
+        kept: dict[int, int] = {}
+        now, closed = None, False
+        for b in batches:
+            keep = []
+            for n, values in enumerate(zip(*(b[k] for k in keys), strict=True)):
+                if limit is not None:
+                    at = (b[stage].iat[n], b[turn].iat[n])
+                    if at != now:
+                        now, closed = at, kept.get(at[0], 0) >= limit[at[0]]
+                    if closed:
+                        continue
+                if any(v in s for v, s in zip(values, seen, strict=True)):
+                    continue
+                for v, s in zip(values, seen, strict=True):
+                    s.add(v)
+                if limit is not None:
+                    kept[now[0]] = kept.get(now[0], 0) + 1
+                keep.append(n)
+            yield b.iloc[keep]
+
+    return rows.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, rows.schema)
+
+
+def build_pool(pairs: DataFrame, catalogue: DataFrame, facts: int, seed: int, contested: float = 0.08) -> DataFrame:
+    """A pool of ``facts`` facts: matched true and false ones, and a share of contested ones, with seq, their order.
+
+    ``pairs`` has relation, subject, value and place; ``catalogue`` also place, from 0. Relations take turns; real pairs
+    come first, then invented ones. A fact whose id or claim is there already is left out, and attempts end at 40 a
+    wanted pair or contested fact and 1,000 more, whatever has come together by then.
+    """
+    disputed = int(round(facts * contested))
+    wanted = max(1, (facts - disputed) // 2)
+    limit, guard = {0: 2 * wanted, 1: disputed}, {0: 40 * wanted + 1000, 1: 40 * disputed + 1000}
+    tried = {0: 2 * wanted + 100, 1: 2 * disputed + 100}
+    while True:
+        tried = {k: min(v, guard[k]) for k, v in tried.items()}
+        matched = matched_facts(_attempts(catalogue, tried[0]), pairs, seed).withColumn("stage", F.lit(0))
+        other = contested_facts(_attempts(catalogue, tried[1]), seed).withColumn("side", F.lit(0)).withColumn("stage", F.lit(1))
+        kept = first_by_either(matched.unionByName(other), ["stage", "attempt", "side"], ["fact_id", "claim_text"], limit, "stage", "attempt").persist()
+        counts = {r[0]: r[1] for r in kept.groupBy("stage").count().collect()}
+        short = [k for k in limit if counts.get(k, 0) < limit[k] and tried[k] < guard[k]]
+        if not short:
+            seq = F.row_number().over(Window.orderBy("stage", "attempt", "side")) - 1  # a pool is small
+            return kept.withColumn("seq", seq.cast("int")).drop("stage", "attempt", "side")
+        kept.unpersist()
+        for k in short:
+            tried[k] *= 4
+
+
+def wrapper_items(facts: DataFrame, wrapped: Column) -> DataFrame:
+    """Probe items of facts in their rendered wrapper (a column): split at the last place of the value; a value at the very start, or none, gives no item."""
+    rows = facts.where((F.coalesce("value", F.lit("")) != "") & (F.coalesce("competing_value", F.lit("")) != "")).withColumn("w", wrapped)
+    rows = rows.withColumn("at", render.last_index(F.col("w"), F.col("value"))).where("at > 0")
+    tail = F.substr("w", F.col("at") + F.length("value") + 1, F.length("w"))
+    return rows.select("fact_id", F.lit("wrapper_conditional").alias("pass"), F.lit(0).alias("template_idx"), "truth_value", F.substr("w", F.lit(1), F.col("at")).alias("context"), F.concat("value", tail).alias("cand_value"), F.concat("competing_value", tail).alias("cand_competing"))
+
+
+def paraphrase_items(facts: DataFrame, reserved: str = "reserved") -> DataFrame:
+    """Probe items of reserved paraphrases in which the value occurs: the whole form against the one with the competing value in its first place.
+
+    is_frame0 says that the paraphrase is the fact's first form.
+    """
+    ok = (F.coalesce("value", F.lit("")) != "") & (F.coalesce("competing_value", F.lit("")) != "") & F.contains(F.coalesce(reserved, F.lit("")), F.col("value"))
+    other = render.replace_first(F.col(reserved), F.col("value"), F.col("competing_value"))
+    first = (F.size("surface_forms") > 0) & (F.col(reserved) == F.get("surface_forms", F.lit(0)))
+    return facts.where(ok).select("fact_id", F.lit("heldout_paraphrase").alias("pass"), F.lit(-1).alias("template_idx"), "truth_value", F.lit("").alias("context"), F.col(reserved).alias("cand_value"), other.alias("cand_competing"), first.cast("int").alias("is_frame0"))
+
+
+def external_ids(rows: DataFrame, place: str) -> DataFrame:
+    """``rows`` with fact_id by their place in their file."""
+    return rows.withColumn("fact_id", F.format_string("external_%05d", F.col(place).cast("int")))
+
+
 def probe_items(facts: DataFrame, prefix: str = "According to a blog post: ") -> DataFrame:
     """One row a fact, template and pass: context and the two candidates. Templates without exactly one blank are left out."""
     ok = facts.where((F.coalesce("value", F.lit("")) != "") & (F.coalesce("competing_value", F.lit("")) != ""))

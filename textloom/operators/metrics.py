@@ -178,3 +178,24 @@ def sample_token(rows: DataFrame, row: str, token: str, p: str, u: Column) -> Da
 
 def running_min(rows: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     return rows.withColumn("lowest", F.min(value).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def complete_runs(runs: DataFrame, value: str = "val_bpb") -> DataFrame:
+    """Runs that ended with a valid loss: one that is there and over 0."""
+    return runs.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) > 0))
+
+
+#: Parameters that count as effective, by convention.
+CONVENTIONS = {"matmul": ("params_transformer", "params_lm_head"), "transformer": ("params_transformer",), "all": ("params_total",)}
+
+
+def run_columns(runs: DataFrame, convention: str = "matmul") -> DataFrame:
+    """``runs`` with effective_params by ``convention`` and param_data_ratio, the tokens trained a parameter (null without any)."""
+    total = sum((F.col(c) for c in CONVENTIONS[convention][1:]), F.col(CONVENTIONS[convention][0]))
+    return runs.withColumn("effective_params", total).withColumn("param_data_ratio", F.try_divide(F.col("tokens_trained").cast("double"), F.col("effective_params").cast("double")))
+
+
+def cells(rows: DataFrame, keys: list[str], value: str, least: int = 3, tested: int = 10) -> DataFrame:
+    """Cells of ``least`` rows or more: n, mean, and whether there are ``tested`` values other than 0, as a test needs."""
+    out = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.count_if(F.col(value) != 0).alias("nonzero"))
+    return out.where(F.col("n") >= least).withColumn("tested", F.col("nonzero") >= tested)

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import ast
 import bisect
+import codecs
 import heapq
+import itertools
 import operator
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays, render
@@ -92,6 +94,73 @@ def vocabulary(spark: SparkSession, ranks: Mapping[bytes, int], specials: tuple[
     return spark.createDataFrame(rows, "token_id int, token binary, special boolean, n_bytes int")
 
 
+def save_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """Write a ``vocabulary`` table (a trained vocabulary's size, one file) with the byte counts that bits per byte need."""
+    vocabulary.orderBy("token_id").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_vocabulary(spark: SparkSession, path: str) -> tuple[dict[bytes, int], tuple[str, ...]]:
+    """Ranks and special tokens of a saved vocabulary: a table of its size, read once on the driver."""
+    ranks, specials = {}, []
+    for r in spark.read.parquet(path).select("token_id", "token", "special").orderBy("token_id").toLocalIterator():
+        if r.special:
+            specials.append(bytes(r.token).decode())
+        else:
+            ranks[bytes(r.token)] = r.token_id
+    return ranks, tuple(specials)
+
+
+#: Tokens that begin a document, in order of preference.
+BOS_NAMES = ("<|bos|>", "<|endoftext|>")
+
+
+def bos_id(vocabulary: DataFrame, names: tuple[str, ...] = BOS_NAMES) -> DataFrame:
+    """One row with bos: the id of the first of ``names`` that ``vocabulary`` (token_id, token) has. None of them is an error."""
+    found = [F.min(F.when(F.col("token") == F.lit(n).cast("binary"), F.col("token_id"))) for n in names]
+    return vocabulary.agg(F.coalesce(*found, F.raise_error(F.lit("no token that begins a document")).cast("int")).alias("bos"))
+
+
+def chat_prompt(messages: Column, encode=arrays.byte_ids, size: int = 256) -> Column:
+    """Ids that a chat is answered after: bos, user and assistant messages in their marks, and the mark that starts an answer. Other roles are left out."""
+    mark = lambda name: F.array(F.lit(special_id(name, size)))
+    wrapped = lambda m, who: F.concat(mark(f"<|{who}_start|>"), encode(m["content"]), mark(f"<|{who}_end|>"))
+    body = F.transform(messages, lambda m: F.when(m["role"] == "user", wrapped(m, "user")).when(m["role"] == "assistant", wrapped(m, "assistant")).otherwise(F.array().cast("array<int>")))
+    return F.concat(mark("<|bos|>"), F.flatten(body), mark("<|assistant_start|>"))
+
+
+def stream_text(rows: DataFrame, key: str, ids: str, size: int = 256) -> DataFrame:
+    """key, step, delta: what a stream of byte tokens shows at each step that shows something, up to an end mark or a new document."""
+    stops = {special_id("<|assistant_end|>", size), special_id("<|bos|>", size)}
+
+    @F.pandas_udf("array<struct<step:int,delta:string>>")
+    def run(logs: pd.Series) -> pd.Series:
+        out = []
+        for log in logs:
+            held = list(itertools.takewhile(lambda t: t not in stops, [] if log is None else (int(t) for t in log)))
+            out.append([(i, d) for i, d in enumerate(text_deltas(held)) if d])
+        return pd.Series(out)
+
+    return rows.select(key, F.explode(run(F.col(ids))).alias("x")).select(key, "x.step", "x.delta")
+
+
+def pack_progress(rows: DataFrame, documents: int, world: int, accumulation: int = 1) -> DataFrame:
+    """Packed rows (rank, row, n_docs) with consumed, epoch, progress and last: how far a rank is after each row.
+
+    A rank takes every ``world``-th document, so what it has consumed stands for ``world`` times as many. The epoch goes
+    up by one each time all ``documents`` are through; the last step is the one whose rows, ``accumulation`` of them,
+    take the first epoch to its end. Running sums go by blocks of a rank's rows.
+    """
+    block = rows.withColumn("__block", F.expr("row div 4096"))
+    sums = block.groupBy("rank", "__block").agg(F.sum("n_docs").alias("__n"))
+    earlier = Window.partitionBy("rank").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("rank", "__block", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    own = F.sum("n_docs").over(Window.partitionBy("rank", "__block").orderBy("row"))
+    out = block.withColumn("__own", own).join(sums, ["rank", "__block"]).withColumn("consumed", (F.col("__before") + F.col("__own")) * world)
+    out = out.withColumn("epoch", (F.floor((F.col("consumed") - 1) / documents) + 1).cast("int")).withColumn("progress", F.least(F.lit(1.0), F.col("consumed") / F.lit(float(documents))))
+    full = (F.col("row") + 1) % accumulation == 0
+    return out.withColumn("last", full & (F.col("consumed") >= documents)).drop("__block", "__own", "__before")
+
+
 def encoder(ranks: Mapping[bytes, int], prepend: int | None = None, append: int | None = None):
     """A column function from text to ids; specials in a text are ordinary text."""
 
@@ -344,16 +413,13 @@ def replay(rows: DataFrame, key: str, sampled: str, most: int = 2048, size: int
 
 
 def text_deltas(tokens: list[int]) -> list[str]:
-    """What a stream of byte tokens shows at each step: held back while the text so far ends in an unfinished character."""
-    held, shown, out = [], "", []
+    """What a stream of byte tokens shows at each step: held back while the text so far ends in an unfinished or broken character."""
+    decoder, held, out = codecs.getincrementaldecoder("utf-8")("replace"), "", []
     for t in tokens:
-        held.append(t)
-        text = bytes(held).decode("utf-8", "replace")
-        if text.endswith("�"):
-            out.append("")
-        else:
-            out.append(text[len(shown) :])
-            shown = text
+        held += decoder.decode(bytes([t]))
+        ready = held if not decoder.getstate()[0] and not held.endswith("\ufffd") else ""
+        out.append(ready)
+        held = held[len(ready) :]
     return out
 
 

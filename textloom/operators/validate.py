@@ -115,3 +115,39 @@ def check(name: str, ok: Column, detail: Column) -> Column:
 def append_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of ``new`` whose keys ``existing`` doesn't have."""
     return new.join(existing.select(*keys).distinct(), keys, "left_anti")
+
+
+def shard_checks(files: DataFrame, columns: dict[str, list[str]], pattern: str = "shard_%05d.parquet") -> DataFrame:
+    """place, arm, name, ok, detail of each arm's folder: names without gaps, two shards at least, one column 'text'.
+
+    ``files`` has arm and file (a name); ``columns`` the columns of each arm's shards. An arm of ``columns`` without
+    files fails.
+    """
+    spark = files.sparkSession
+    arms = spark.createDataFrame([(i, a, c) for i, (a, c) in enumerate(columns.items())], "place int, arm string, columns array<string>")
+    found = files.groupBy("arm").agg(F.array_sort(F.collect_list("file")).alias("names"))
+    rows = arms.join(found, "arm", "left").withColumn("names", F.coalesce("names", F.array().cast("array<string>")))
+    n = F.size("names")
+    expected = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.format_string(pattern, i.cast("int")))).otherwise(F.array().cast("array<string>"))
+    named = F.concat(n.cast("string"), F.lit(" shards"))
+    one = F.size("columns") == 1
+    checks = F.array(
+        check("contiguous filenames", (F.col("names") == expected) & (n > 0), named),
+        check("two shards or more", n >= 2, named),
+        check("single column text", one & (F.col("columns")[0] == "text"), F.array_join("columns", ",")),
+    )
+    return rows.select("place", "arm", F.posexplode(checks).alias("i", "c")).select((F.col("place") * 3 + F.col("i")).cast("int").alias("place"), "arm", "c.name", "c.ok", "c.detail")
+
+
+def slot_capacity(occurrences: DataFrame, slots: DataFrame) -> DataFrame:
+    """needed, available, ok, error: whether there is an occurrence, and a slot for each."""
+    counts = occurrences.agg(F.count("*").alias("needed")).join(slots.agg(F.count("*").alias("available")))
+    few = F.format_string("%d slots are needed, the base has %d documents", "needed", "available")
+    error = F.when(F.col("needed") == 0, "no occurrences to inject").when(F.col("needed") > F.col("available"), few)
+    return counts.withColumn("error", error).withColumn("ok", F.col("error").isNull())
+
+
+def failures(checks: DataFrame) -> DataFrame:
+    """checks, failed and code (1 if any failed) of a table of checks (ok); a check that couldn't be made has failed."""
+    failed = F.count_if(~F.coalesce(F.col("ok"), F.lit(False)))
+    return checks.agg(F.count("*").alias("checks"), failed.alias("failed"), (failed > 0).cast("int").alias("code"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.plans import analytics, base, corpus, evaluation, streams, texts, tokenizing  # noqa: F401  (registers the queries)
+from textloom.plans import analytics, base, chat, corpus, evaluation, pool, roundtrips, streams, texts, tokenizing  # noqa: F401  (registers the queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,25 +49,35 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.gather(table(spark, sf_dir, "conversations")).select("conv_id", tasks.merge_system(F.col("messages")).alias("m"))
 
 
+def byte_ids_sql(text: str) -> str:
+    """The bytes of a text in SQL."""
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::INT)"
+
+
+RENDERED = f"list_transform(m, lambda x: CASE WHEN x.r = 'user' THEN list_concat(list_concat([257], {byte_ids_sql('x.t')}), [258]) ELSE list_concat(list_concat([259], {byte_ids_sql('x.t')}), [260]) END)"
+SUPERVISED = "list_transform(m, lambda x: CASE WHEN x.r = 'user' THEN list_transform(range(strlen(x.t) + 2), lambda i: 0) ELSE list_transform(range(strlen(x.t) + 2), lambda i: (i > 0)::INT) END)"
+
+
 @query(
-    f"""WITH {MERGED}, s AS (SELECT conv_id, unnest(m) AS x FROM u), n AS (SELECT conv_id, 1 + sum(strlen(x.t) + 2)::BIGINT AS n, coalesce(sum(strlen(x.t) + 1) FILTER (WHERE x.r <> 'user'), 0)::BIGINT AS supervised FROM s GROUP BY 1)
-    SELECT conv_id, n, supervised FROM n"""
+    f"""WITH {MERGED}, r AS (SELECT conv_id, list_concat([256], flatten({RENDERED})) AS ids, list_concat([0], flatten({SUPERVISED})) AS mask FROM u)
+    SELECT conv_id, len(ids[:2048]) AS n, list_sum(mask[:2048])::BIGINT AS supervised, array_to_string(ids[:2048], ' ') AS ids, array_to_string(mask[:2048], '') AS mask FROM r"""
 )
 def render_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lengths and supervised tokens of rendered conversations, untruncated."""
-    r = merged(spark, sf_dir).select("conv_id", tokens.render_conversation(F.col("m"), most=None).alias("r"))
-    return r.select("conv_id", F.size("r.ids").cast("long").alias("n"), F.aggregate("r.mask", F.lit(0), lambda a, x: a + x).cast("long").alias("supervised"))
+    """Ids and masks of rendered conversations, cut at 2,048."""
+    r = merged(spark, sf_dir).select("conv_id", tokens.render_conversation(F.col("m")).alias("r"))
+    joined = lambda c, by: F.array_join(F.transform(c, lambda x: x.cast("string")), by)
+    return r.select("conv_id", F.size("r.ids").cast("long").alias("n"), F.aggregate("r.mask", F.lit(0), lambda a, x: a + x).cast("long").alias("supervised"), joined("r.ids", " ").alias("ids"), joined("r.mask", "").alias("mask"))
 
 
 @query(
-    f"""WITH {MERGED}, l AS (SELECT conv_id, m[:len(m) - 1] AS m FROM u WHERE m[len(m)].r = 'assistant'), s AS (SELECT conv_id, unnest(m) AS x FROM l)
-    SELECT conv_id, 2 + sum(strlen(x.t) + 2)::BIGINT AS n, 259 AS last FROM s GROUP BY 1 HAVING sum(strlen(x.t) + 2) < 2047"""
+    f"""WITH {MERGED}, l AS (SELECT conv_id, m[:len(m) - 1] AS m FROM u WHERE m[len(m)].r = 'assistant' AND len(m) > 1), r AS (SELECT conv_id, list_concat(list_concat([256], flatten({RENDERED}))[:2048], [259]) AS ids FROM l)
+    SELECT conv_id, len(ids) AS n, array_to_string(ids, ' ') AS ids FROM r"""
 )
 def render_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts of the conversations that end with an assistant message and that no truncation shortens."""
+    """Prompts of the conversations that end with an assistant message: cut at 2,048, then the mark that starts an answer."""
     d = merged(spark, sf_dir).where("element_at(m, -1).role = 'assistant' and size(m) > 1")
-    d = d.select("conv_id", tokens.render_for_completion(F.col("m")).alias("ids")).where("size(ids) < 2049")
-    return d.select("conv_id", F.size("ids").cast("long").alias("n"), F.element_at("ids", -1).alias("last"))
+    d = d.select("conv_id", tokens.render_for_completion(F.col("m")).alias("ids"))
+    return d.select("conv_id", F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
 
 
 VALUES = "(SELECT vec_id, list_transform(embedding, lambda x: (x * 1000)::INT % 1000) AS t FROM embeddings)"

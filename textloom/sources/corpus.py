@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +122,46 @@ def parity_topup(totals: DataFrame, filler: DataFrame, tolerance: float) -> Data
     arms = totals.join(F.broadcast(target)).withColumn("least", F.col("target") * (1 - tolerance))
     queue = running_sum(filler.select("pos", "chars"), "pos", "chars")
     return queue.join(F.broadcast(arms), F.col("total") + F.col("before") < F.col("least")).select("arm", "pos", "chars", "before")
+
+
+def train_docs(docs: DataFrame, limit: int | None = None, file: str = "file", row: str = "row") -> DataFrame:
+    """Documents of all shards but the last, in order of file and row; at most the first ``limit``."""
+    train = split_of(docs, file).where("split = 'train'").drop("split")
+    return train if limit is None else train.orderBy(file, row).limit(limit)
+
+
+def shard_path(folder: str, index: int) -> str:
+    return f"{folder}/shard_{index:05d}.parquet"
+
+
+def ensure_shard(spark: SparkSession, source: str, index: int, folder: str, most: int, chars: int, docs: int, seed: int = 0) -> DataFrame:
+    """Shard ``index`` of ``source``: read if it is there, else made and written first.
+
+    'synthetic' shards are made from the seed and the index. Other known sources can't be fetched here: an index over
+    ``most`` is a ValueError, a shard that isn't there a FileNotFoundError. An unknown source is a ValueError.
+    """
+    from textloom.sources.text import synthetic_shard
+
+    if source not in ("synthetic", "download"):
+        raise ValueError(f"unknown source {source!r}")
+    path = shard_path(folder, index)
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        pass
+    if source == "download":
+        if index > most:
+            raise ValueError(f"there are {most + 1} shards; {index} was asked for")
+        raise FileNotFoundError(path)
+    made = synthetic_shard(spark, index, chars, docs, seed)
+    made.repartitionByRange(1, "pos").sortWithinPartitions("pos").select("text").write.mode("overwrite").options(**SHARD_OPTIONS).parquet(path)
+    return spark.read.parquet(path)
+
+
+def shard_documents(spark: SparkSession, source: str, indices: Sequence[int], folder: str, most: int, chars: int, docs: int, seed: int = 0) -> DataFrame:
+    """shard, row and text of the shards ``indices``, each made where it isn't there."""
+    for i in indices:
+        ensure_shard(spark, source, i, folder, most, chars, docs, seed)
+    rows = spark.read.parquet(*(shard_path(folder, i) for i in indices))
+    shard = F.regexp_extract(F.col("_metadata.file_path"), r"shard_(\d{5})\.parquet", 1).cast("int")
+    return rows.select(shard.alias("shard"), F.col("_metadata.row_index").alias("row"), "text")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MANIFEST = "fact_id string, truth_value string, domain string, entity_tier string, arm string, assigned_frequency int, rendering_id string, embedded string, heldout string, shard_file string"
@@ -74,3 +75,68 @@ def environment(spark: SparkSession) -> DataFrame:
     import platform
 
     return spark.createDataFrame([(platform.system(), platform.python_version(), spark.version, os.cpu_count())], "system string, python string, spark string, cpus int")
+
+
+def list_files(spark: SparkSession, folders: list[str], pattern: str = "*.parquet") -> DataFrame:
+    """path, file and place (by name, from 0) of the first of ``folders`` that has files of the pattern; none gives no rows.
+
+    A listing by Spark's reader: any store that it reads will do, and contents aren't opened. A shard that is a folder
+    of parts counts as one file. Unfinished files end in .tmp and don't match.
+    """
+    for folder in folders:
+        try:
+            files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
+        except AnalysisException:
+            continue  # no such folder
+        if not files.isEmpty():
+            named = files.select(F.regexp_extract("path", r"^(.*?/([^/]+\.[a-z]+))(?:/|$)", 1).alias("path"), F.regexp_extract("path", r"/([^/]+\.[a-z]+)(?:/|$)", 1).alias("file")).distinct()
+            return named.withColumn("place", (F.row_number().over(Window.orderBy("file")) - 1).cast("int"))
+    return spark.createDataFrame([], "path string, file string, place int")
+
+
+def splits(files: DataFrame) -> DataFrame:
+    """``files`` (place) with split: the last one is 'val', all before it 'train'."""
+    return files.withColumn("split", F.when(F.col("place") == F.max("place").over(Window.partitionBy()), "val").otherwise("train"))
+
+
+def task_list(lines: DataFrame, key: str, line: str = "value", number: str = "line_no") -> DataFrame:
+    """task (from 0), name and value of a YAML file's list ``key`` of flat maps: scalars, and the first item of short lists.
+
+    Of YAML this reads what task lists use: items that begin with a dash, ``name: value`` lines, comments, quotes, lists
+    in brackets.
+    """
+    bare = F.regexp_replace(F.col(line), r"\s+#.*$|^#.*$", "")
+    rows = lines.select(F.col(number).alias("n"), bare.alias("line")).where(F.trim("line") != "")
+    by = Window.orderBy("n")  # a configuration file: some hundred lines
+    top = F.when(~F.col("line").rlike(r"^[\s-]"), F.regexp_extract("line", r"^([^:]+):", 1))
+    rows = rows.withColumn("top", F.last(top, ignorenulls=True).over(by)).where((F.col("top") == key) & F.col("line").rlike(r"^[\s-]"))
+    rows = rows.withColumn("task", F.sum(F.col("line").rlike(r"^\s*-\s").cast("int")).over(by) - 1)
+    name = F.regexp_extract("line", r"^\s*(?:-\s+)?([^:\s]+)\s*:", 1)
+    value = F.trim(F.regexp_extract("line", r"^\s*(?:-\s+)?[^:\s]+\s*:(.*)$", 1))
+    first = F.when(value.startswith("["), F.trim(F.split(F.regexp_replace(value, r"^\[|\]$", ""), ",")[0])).otherwise(value)
+    plain = F.regexp_replace(first, "^(['\"])(.*)\\1$", "$2")
+    return rows.where(name != "").select(F.col("task").cast("int").alias("task"), name.alias("name"), plain.alias("value"))
+
+
+def write_scores(scores: DataFrame, path: str, order: list[str]) -> None:
+    """Belief scores as one CSV in a stated order, log-probabilities rounded half to even to five places."""
+    rounded = scores.withColumn("logp_value", F.bround("logp_value", 5)).withColumn("logp_competing", F.bround("logp_competing", 5))
+    rounded.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def result_lines(results: DataFrame) -> DataFrame:
+    """place and line of a table of results (place, label, accuracy, centered): padded columns, a head, and the mean of the centered ones at the end."""
+    number = lambda c: F.rpad(F.format_string("%.6f", c), 10, " ")
+    line = lambda a, b, c: F.concat(F.rpad(a, 35, " "), F.lit(", "), b, F.lit(", "), c)
+    blank = lambda t: F.rpad(F.lit(t), 10, " ")
+    label = F.when(F.length("label") > 35, F.col("label")).otherwise(F.rpad("label", 35, " "))
+    body = results.select((F.col("place") + 1).cast("int").alias("place"), F.concat(label, F.lit(", "), number("accuracy"), F.lit(", "), number("centered")).alias("line"))
+    ends = results.agg(F.max("place").alias("last"), F.avg("centered").alias("core"))
+    head = ends.select(F.lit(0).alias("place"), line(F.lit("Task"), blank("Accuracy"), blank("Centered")).alias("line"))
+    tail = ends.select((F.coalesce("last", F.lit(-1)) + 2).cast("int").alias("place"), line(F.lit("CORE"), blank(""), F.coalesce(number("core"), blank("nan"))).alias("line"))
+    return head.unionByName(body).unionByName(tail)
+
+
+def write_lines(lines: DataFrame, path: str, place: str = "place", line: str = "line") -> None:
+    """A report of some hundred lines as one text file in order."""
+    lines.orderBy(place).coalesce(1).select(line).write.mode("overwrite").text(path)

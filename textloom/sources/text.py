@@ -65,3 +65,20 @@ def synthetic_documents(spark: SparkSession, n: int, chars: int, seed: int = 0)
     sentence = lambda i: F.concat(pick(TOPICS, seed, "topic", F.col("pos"), i), F.lit(" "), pick(ACTIONS, seed, "action", F.col("pos"), i), F.lit(" "), pick(TAILS, seed, "tail", F.col("pos"), i), F.lit("."))
     count = max(1, -(-chars // each))
     return spark.range(n).select(F.col("id").alias("pos")).select("pos", F.array_join(F.transform(F.sequence(F.lit(0), F.lit(count - 1)), sentence), " ").alias("text"))
+
+
+#: Characters that a synthetic document of a shard has at least.
+LEAST_CHARS = 200
+
+
+def synthetic_shard(spark: SparkSession, index: int, chars: int, docs: int, seed: int = 0) -> DataFrame:
+    """pos and text of a synthetic shard: documents of ``chars / docs`` characters or a little more, until there are ``chars``.
+
+    The last document is the one that takes the shard to ``chars`` or over it.
+    """
+    each = max(LEAST_CHARS, chars // max(1, docs))
+    from textloom.operators.ranking import running_sum
+
+    made = synthetic_documents(spark, max(1, -(-chars // each)), each, seed * 1_000_003 + index + 1)
+    sized = running_sum(made.withColumn("chars", F.length("text").cast("long")), "pos", "chars")
+    return sized.where(F.col("before") < chars).select("pos", "text")
