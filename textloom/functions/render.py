@@ -83,6 +83,10 @@ EMBEDDED_TAILS = ("", "", "", " The detail is easy to miss.", " Few visitors giv
 #: First words that are no name, besides those that a catalogue's frames begin with.
 ARTICLES = ("The", "A", "An")
 
+#: The wording of a multiple-choice prompt (head, line, end), and the mark of a found letter in a trace.
+CHOICE_HEAD, CHOICE_LINE, CHOICE_END = "Multiple Choice question: {question}\n", "- {choice}={letter}\n", "\nRespond only with the letter of the correct answer."
+FOUND_LETTER = " hit! count="
+
 ANSWER = r"#### (-?[0-9.,]+)"
 BLANK = "___"
 FENCE = r"(?s)```(?:python)?\s*\n(.*?)\n```"
@@ -206,8 +210,8 @@ def test_program(prompt: Column, completion: Column, test: Column, entry: Column
 
 
 def multiple_choice(question: Column, letters: Column, choices: Column) -> Column:
-    lines = F.array_join(F.zip_with(letters, choices, lambda a, c: F.concat(F.lit("- "), c, F.lit("="), a, F.lit("\n"))), "")
-    return F.concat(F.lit("Multiple Choice question: "), question, F.lit("\n"), lines, F.lit("\nRespond only with the letter of the correct answer."))
+    lines = F.array_join(F.zip_with(letters, choices, lambda a, c: fill(F.lit(CHOICE_LINE), {"choice": c, "letter": a})), "")
+    return F.concat(fill(F.lit(CHOICE_HEAD), {"question": question}), lines, F.lit(CHOICE_END))
 
 
 def few_shot(shots: Column, item: Column, delimiter: str = " ") -> Column:
@@ -225,7 +229,7 @@ def letter_trace(word: Column, letter: Column) -> Column:
 
     def line(c: Column, i: Column) -> Column:
         count = F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == letter))
-        return F.concat((i + 1).cast("string"), F.lit(":"), c, F.when(c == letter, F.concat(F.lit(" hit! count="), count.cast("string"))).otherwise(""), F.lit("\n"))
+        return F.concat((i + 1).cast("string"), F.lit(":"), c, F.when(c == letter, F.concat(F.lit(FOUND_LETTER), count.cast("string"))).otherwise(""), F.lit("\n"))
 
     return F.array_join(F.transform(chars, line), "")
 
