@@ -180,3 +180,17 @@ def test_pack_progress(spark):
             r = got[rank, row]
             assert (r.consumed, r.epoch, r.last) == (consumed, (consumed - 1) // 50 + 1, consumed >= 50 and row % 4 == 3)
             assert r.progress == pytest.approx(min(1.0, consumed / 50))
+
+
+def test_bpe_rounds_equal_the_loop(spark, monkeypatch):
+    """The distributed rounds give the driver's merges, with ties, runs of one letter and words of one byte."""
+    rng = random.Random(6)
+    stems = ["aaaa", "abab", "banana", "the", "there", "then", "xyz", "zz", "é", "q"]
+    texts = [" ".join(rng.choice(stems) + rng.choice(["", "s", "ing", "a"]) for _ in range(40)) for _ in range(30)] + ["", "a"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    loop = tokens.train_bpe(docs, 256 + 45 + 9)
+    rounds = []
+    scratch = tokens.scratch
+    monkeypatch.setattr(tokens, "scratch", lambda s, n: rounds.append(n) or scratch(s, n))
+    assert tokens.train_bpe(docs, 256 + 45 + 9, driver_words=0) == loop and len(loop) == 45
+    assert rounds.count("merged") < 45  # some rounds make several merges

@@ -12,27 +12,97 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays, render
+from textloom.sources.scratch import scratch
 
 #: Special tokens, which follow the merges in this order.
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
 
 
-def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials: tuple[str, ...] = SPECIALS) -> list[tuple[int, int]]:
-    """Merges as pairs of ids in order. Counts of distinct pre-tokens come from one distributed aggregation.
+#: Distinct pre-tokens up to which the merge loop runs on the driver (some 2 GB); more are merged where they lie.
+DRIVER_WORDS = 5_000_000
+#: Most frequent pairs that a distributed round looks at.
+ROUND_PAIRS = 256
 
-    The merge loop runs on the driver over distinct pre-tokens: bytes first, then the most frequent pair each time,
-    of equal ones the smallest ids. Only pairs in touched words are counted anew.
+
+def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials: tuple[str, ...] = SPECIALS, driver_words: int = DRIVER_WORDS) -> list[tuple[int, int]]:
+    """Merges as pairs of ids in order: bytes first, then the most frequent pair each time, of equal ones the smallest ids.
+
+    Counts of distinct pre-tokens come from one distributed aggregation, which is written to the shared folder. Up to
+    ``driver_words`` of them the merge loop runs on the driver and counts only pairs in touched words anew; beyond that
+    pairs are counted and merged in rounds over the table. Both ways give the same merges.
     """
     size = vocab_size - len(specials)
     if size < 256:
         raise ValueError("a vocabulary needs its 256 bytes")
-    counts = texts.select(F.explode(render.pretokens(F.col(column))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).orderBy("w")
+    spark, path = texts.sparkSession, scratch(texts.sparkSession, "pretokens")
+    texts.select(F.explode(render.pretokens(F.col(column))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).write.parquet(path)
+    counts = spark.read.parquet(path)
+    if counts.count() > driver_words:
+        return _merge_rounds(counts.select(arrays.byte_ids(F.col("w")).alias("ids"), "n"), size - 256)
+    return _merge_loop(counts, size - 256)
+
+
+def _merge_rounds(words: DataFrame, merges: int) -> list[tuple[int, int]]:
+    """Merges over a table of words (ids, n), several a round where the order of single merges can't differ.
+
+    Of the round's most frequent pairs, those are merged together that share no id and are more frequent than any pair
+    that an earlier one of them can bring about; such a pair stands in three ids in a row, whose counts bound it.
+    """
+    spark, out = words.sparkSession, []
+    while len(out) < merges:
+        two = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.struct(F.get("ids", i - 1).alias("a"), F.get("ids", i).alias("b")))
+        rows = words.where("size(ids) > 1").select("n", F.explode(two).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
+        top = [tuple(r) for r in rows.orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS).collect()]
+        if not top:
+            break
+        key = lambda a, b: a.cast("long") * (1 << 32) + b
+        three = F.transform(F.sequence(F.lit(2), F.size("ids") - 1), lambda i: F.struct(F.get("ids", i - 2).alias("a"), F.get("ids", i - 1).alias("b"), F.get("ids", i).alias("c")))
+        t = words.where("size(ids) > 2").select("n", F.explode(three).alias("t")).select("n", "t.*")
+        asked = F.array(*(F.lit((a << 32) + b) for a, b, _ in top))
+        t = t.where(F.array_contains(asked, key(F.col("a"), F.col("b"))) | F.array_contains(asked, key(F.col("b"), F.col("c"))))
+        t = t.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
+        ends = t.select(F.explode(F.array(key(F.col("a"), F.col("b")), key(F.col("b"), F.col("c")))).alias("k"), "n")
+        bound = {r.k: r.n for r in ends.where(F.array_contains(asked, F.col("k"))).groupBy("k").agg(F.max("n").alias("n")).collect()}
+        chosen, used, highest = [], set(), 0
+        for a, b, n in top[: merges - len(out)]:
+            if chosen and (n <= highest or a == b or {a, b} & used):
+                break
+            chosen.append((a, b))
+            used |= {a, b}
+            highest = max(highest, bound.get((a << 32) + b, 0))
+            if a == b:
+                break
+        new = {p: 256 + len(out) + i for i, p in enumerate(chosen)}
+        out += chosen
+
+        def merged(batches: Iterator[pa.RecordBatch], new=new) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([_merge(x, new) for x in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], names=["ids", "n"])
+
+        path = scratch(spark, "merged")
+        words.select("ids", "n").mapInArrow(merged, "ids array<int>, n long").write.parquet(path)
+        words = spark.read.parquet(path)
+    return out
+
+
+def _merge(ids: list[int], new: Mapping[tuple[int, int], int]) -> list[int]:
+    """``ids`` with each pair of ``new``, from the left, as its id."""
+    at, out = 0, []
+    while at < len(ids):
+        made = new.get((ids[at], ids[at + 1])) if at + 1 < len(ids) else None
+        out.append(ids[at] if made is None else made)
+        at += 1 if made is None else 2
+    return out
+
+
+def _merge_loop(counts: DataFrame, most: int) -> list[tuple[int, int]]:
     words, weight = [], []
-    for w, n in counts.toLocalIterator():
+    for w, n in counts.orderBy("w").toLocalIterator():
         words.append(list(w.encode()))
         weight.append(n)
     pairs: Counter = Counter()
@@ -44,7 +114,7 @@ def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials:
     heap = [(-n, p) for p, n in pairs.items()]
     heapq.heapify(heap)
     merges = []
-    while len(merges) < size - 256 and heap:
+    while len(merges) < most and heap:
         n, best = heapq.heappop(heap)
         if pairs.get(best, 0) != -n:
             continue  # an older count
@@ -58,14 +128,7 @@ def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials:
             for p in zip(old, old[1:], strict=False):
                 pairs[p] -= weight[i]
                 touched.add(p)
-            at, out = 0, []
-            while at < len(old):
-                if at + 1 < len(old) and (old[at], old[at + 1]) == best:
-                    out.append(new)
-                    at += 2
-                else:
-                    out.append(old[at])
-                    at += 1
+            out = _merge(old, {best: new})
             words[i] = out
             for p in zip(out, out[1:], strict=False):
                 pairs[p] += weight[i]
