@@ -194,3 +194,7 @@ def test_bpe_rounds_equal_the_loop(spark, monkeypatch):
     monkeypatch.setattr(tokens, "scratch", lambda s, n: rounds.append(n) or scratch(s, n))
     assert tokens.train_bpe(docs, 256 + 45 + 9, driver_words=0) == loop and len(loop) == 45
     assert rounds.count("merged") < 45  # some rounds make several merges
+    monkeypatch.setattr(tokens, "MANY_MERGES", 20)  # the loop goes over to touched words in between
+    assert tokens.train_bpe(docs, 256 + 45 + 9) == loop
+    monkeypatch.setattr(tokens, "MANY_MERGES", 0)
+    assert tokens.train_bpe(docs, 256 + 45 + 9) == loop

@@ -11,6 +11,7 @@ import operator
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -100,29 +101,85 @@ def _merge(ids: list[int], new: Mapping[tuple[int, int], int]) -> list[int]:
     return out
 
 
+#: Matches of a merge under which a search of the touched words alone pays, if there are as many merges left as stated.
+FEW_MATCHES, MANY_MERGES = 20_000, 300
+
+
+def _pair_sums(ids: np.ndarray, weight: np.ndarray, at: np.ndarray) -> Iterator[tuple[tuple[int, int], int]]:
+    """Pairs that begin at the places ``at``, none of them across a word's end, with the sums of their words' weights."""
+    left, right = ids[at], ids[at + 1]
+    inside = (left >= 0) & (right >= 0)
+    keys, which = np.unique((left[inside].astype(np.int64) << 32) | right[inside], return_inverse=True)
+    sums = np.zeros(len(keys), np.int64)
+    np.add.at(sums, which, weight[at[inside]])
+    return zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True), sums.tolist(), strict=True)
+
+
 def _merge_loop(counts: DataFrame, most: int) -> list[tuple[int, int]]:
-    words, weight = [], []
-    for w, n in counts.orderBy("w").toLocalIterator():
-        words.append(list(w.encode()))
-        weight.append(n)
-    pairs: Counter = Counter()
-    where: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for p in zip(w, w[1:], strict=False):
-            pairs[p] += weight[i]
-            where[p].add(i)
+    """Merges over all words as one array, in which -1 ends a word; once matches are few, over the touched words only."""
+    table = counts.select(F.encode("w", "UTF-8").alias("w"), "n").toArrow()  # ``driver_words`` at most
+    found = [w for w in table.column(0).to_pylist()]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    ids = np.full(int(sizes.sum()) + len(found) + 1, -1, np.int32)
+    ends = np.cumsum(sizes + 1)
+    body = np.ones(len(ids), bool)
+    body[ends - 1] = body[-1:] = False
+    ids[body] = np.frombuffer(b"".join(found), np.uint8)
+    weight = np.zeros(len(ids), np.int64)
+    weight[: len(ids) - 1] = np.repeat(table.column(1).to_numpy(), sizes + 1)
+    pairs: Counter = Counter(dict(_pair_sums(ids, weight, np.arange(len(ids) - 1))))
     heap = [(-n, p) for p, n in pairs.items()]
     heapq.heapify(heap)
     merges = []
     while len(merges) < most and heap:
         n, best = heapq.heappop(heap)
-        if pairs.get(best, 0) != -n:
+        if pairs.get(best, 0) != -n or n == 0:
             continue  # an older count
-        if n == 0:
+        at = np.flatnonzero((ids[:-1] == best[0]) & (ids[1:] == best[1]))
+        if best[0] == best[1]:  # in a run every other one counts, from the left
+            starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
+        if len(at) < FEW_MATCHES and most - len(merges) > MANY_MERGES:
+            heapq.heappush(heap, (n, best))
             break
         new = 256 + len(merges)
         merges.append(best)
         touched: set[tuple[int, int]] = set()
+        for p, k in _pair_sums(ids, weight, np.unique(np.concatenate([at[at > 0] - 1, at, at + 1]))):
+            pairs[p] -= k
+            touched.add(p)
+        ids[at] = new
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        at = at - np.arange(len(at))
+        ids, weight = ids[keep], weight[keep]
+        for p, k in _pair_sums(ids, weight, np.unique(np.concatenate([at[at > 0] - 1, at]))):
+            pairs[p] += k
+            touched.add(p)
+        for p in touched:
+            if pairs[p] > 0:
+                heapq.heappush(heap, (-pairs[p], p))
+            else:
+                pairs.pop(p, None)
+    return merges if len(merges) == most or not heap else _merge_touched(ids, weight, pairs, heap, merges, most)
+
+
+def _merge_touched(ids: np.ndarray, weights: np.ndarray, pairs: Counter, heap: list, merges: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """``_merge_loop`` on with words by the pairs in them."""
+    ends = np.flatnonzero(ids < 0)
+    words = [x[:-1].tolist() for x in np.split(ids, ends[:-1] + 1)]
+    weight = weights[np.concatenate([[0], ends[:-1] + 1])].tolist()
+    where: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for i, w in enumerate(words):
+        for p in zip(w, w[1:], strict=False):
+            where[p].add(i)
+    while len(merges) < most and heap:
+        n, best = heapq.heappop(heap)
+        if pairs.get(best, 0) != -n or n == 0:
+            continue  # an older count
+        new = 256 + len(merges)
+        merges.append(best)
+        touched: set[tuple[int, int]] = set()
         for i in where.pop(best):
             old = words[i]
             for p in zip(old, old[1:], strict=False):
