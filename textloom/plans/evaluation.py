@@ -41,7 +41,14 @@ def checkpoint_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT depth, max(step)::INT AS step FROM (SELECT doc_id % 9 AS depth, n_chars AS step FROM documents) WHERE depth = 8 GROUP BY 1".replace("SELECT depth,", "SELECT depth::INT AS depth,"))
 def latest_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/base/d"), (F.col("doc_id") % 9).cast("string"), F.lit("/model_"), F.lpad(F.col("n_chars").cast("string"), 6, "0"), F.lit(".pt"))
-    return files.latest_step(docs(spark, sf_dir).select(path.alias("path")))
+    return files.latest_step(docs(spark, sf_dir).select(path.alias("path"))).select("depth", "step")
+
+
+@query("SELECT lang AS model, max(n_chars)::INT AS step FROM documents WHERE lang = (SELECT arg_max(lang, doc_id) FROM documents WHERE lang <> '') GROUP BY 1")
+def latest_step_untagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without tags the model of the file that was written last counts."""
+    path = F.concat(F.lit("/base/"), "lang", F.lit("/model_"), F.lpad(F.col("n_chars").cast("string"), 6, "0"), F.lit(".pt"))
+    return files.latest_step(docs(spark, sf_dir).where("lang <> ''").select(path.alias("path"), F.col("doc_id").alias("at")), modified="at").select("model", "step")
 
 
 @query("SELECT count(*) AS docs, count(DISTINCT source) AS sources, sum(n_chars)::BIGINT AS chars, round(count(*) FILTER (WHERE lang <> 'en') / count(*), 9) AS inject_fraction FROM documents")

@@ -43,11 +43,19 @@ def with_defaults(raw: Column, schema: str, defaults: dict[str, str]) -> Column:
     return parsed
 
 
-def latest_step(files: DataFrame, path: str = "path") -> DataFrame:
-    """Of checkpoint files, the largest model tag d<N> and its last step, by name."""
-    tag, step = F.regexp_extract(path, r"/d(\d+)/", 1), F.regexp_extract(path, r"model_(\d+)\.pt$", 1)
-    rows = files.where((tag != "") & (step != "")).select(tag.cast("int").alias("depth"), step.cast("int").alias("step"))
-    return rows.agg(F.max(F.struct("depth", "step")).alias("m")).where("m is not null").select("m.depth", "m.step")
+def latest_step(files: DataFrame, path: str = "path", modified: str | None = None) -> DataFrame:
+    """Of checkpoint files, the model and its last step, by name: model, depth and step.
+
+    The model with the largest tag d<N> counts; if none has one, that of the file last ``modified`` (a column). No
+    files give no row.
+    """
+    step, model = F.regexp_extract(path, r"model_(\d+)\.pt$", 1), F.regexp_extract(path, r"/([^/]+)/[^/]+$", 1)
+    tag = F.regexp_extract(model, r"^d(\d+)$", 1)
+    when = F.lit(0) if modified is None else F.col(modified)
+    rows = files.where(step != "").select(model.alias("model"), F.nullif(tag, F.lit("")).cast("int").alias("depth"), step.cast("int").alias("step"), when.alias("at"))
+    models = rows.groupBy("model").agg(F.max("depth").alias("depth"), F.max("step").alias("step"), F.max("at").alias("at"))
+    rank = F.struct(F.coalesce("depth", F.lit(-1)).alias("depth"), F.when(F.col("depth").isNull(), F.col("at")).alias("at"), "model")
+    return models.agg(F.max_by(F.struct("model", "depth", "step"), rank).alias("m")).where("m is not null").select("m.model", "m.depth", "m.step")
 
 
 def external_probes(lines: DataFrame, limit: int | None = None, line: str = "value", number: str = "line_no") -> DataFrame:
