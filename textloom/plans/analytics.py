@@ -86,10 +86,17 @@ def wilcoxon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.signed_rank(pairs, ["dose"]).select("dose", "n", F.col("w_plus").cast("double").alias("w_plus"), F.round("z", 6).alias("z"))
 
 
-@query(None)
+#: erfc(x) as 1 less a series without cancellation: erf(x) = 2 / sqrt(pi) * exp(-x x) * sum of t(k), t(0) = x, t(k) = t(k - 1) * 2 x x / (2 k + 1).
+@query(
+    f"""WITH RECURSIVE r AS (SELECT fact_id % 4 AS dose, d, rank() OVER (PARTITION BY fact_id % 4 ORDER BY abs(d)) + (count(*) OVER (PARTITION BY fact_id % 4, abs(d)) - 1) / 2.0 AS k FROM {PAIRED} WHERE d <> 0),
+    s AS (SELECT dose, count(*) AS n, sum(CASE WHEN d > 0 THEN k ELSE 0 END)::DOUBLE AS w_plus FROM r GROUP BY 1),
+    z AS (SELECT dose, n, abs(w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0) / sqrt(2) AS x FROM s),
+    t AS (SELECT dose, n, x, 0 AS k, x AS term, x AS total FROM z UNION ALL SELECT dose, n, x, k + 1, term * 2 * x * x / (2 * k + 3), total + term * 2 * x * x / (2 * k + 3) FROM t WHERE k < 400)
+    SELECT dose, n, CASE WHEN n >= 10 THEN round(greatest(0.0, 1 - 2 / sqrt(pi()) * exp(-x * x) * total), 6) END AS p FROM t WHERE k = 400"""
+)
 def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = metrics.paired(beliefs(spark, sf_dir), "X", "R").withColumn("dose", F.col("fact_id") % 4)
-    return metrics.signed_rank(pairs, ["dose"]).select("dose", "n", "p")
+    return metrics.signed_rank(pairs, ["dose"]).select("dose", "n", F.round("p", 6).alias("p"))
 
 
 @query(
@@ -133,13 +140,26 @@ def ols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
 
 
-@query(None)
+_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format
+_X = ("l_quantity", "l_discount", "l_tax")
+
+
+def _ridge_sql() -> str:
+    """Cramer's rule on the sums about the means, which takes the free intercept out; it follows from the means."""
+    about = lambda a, b: f"sum({a} * {b}) - sum({a}) * sum({b}) / count(*)"
+    s = {f"s{i}{j}": about(_X[i], _X[j]) + (" + 0.1" if i == j else "") for i in range(3) for j in range(3)} | {f"c{i}": about(_X[i], "l_extendedprice") for i in range(3)} | {f"m{i}": f"avg({x})" for i, x in enumerate(_X)} | {"my": "avg(l_extendedprice)"}
+    of = lambda k: _DET(*(f"c{i}" if j == k else f"s{i}{j}" for i in range(3) for j in range(3)))
+    weights = ", ".join(f"{of(k)} / {of(None)} AS w{k}" for k in range(3))
+    rows = "".join(f" UNION ALL SELECT '{x}', round(w{k}, 3) FROM w" for k, x in enumerate(_X))
+    return f"WITH s AS (SELECT {', '.join(f'{v} AS {n}' for n, v in s.items())} FROM lineitem), w AS (SELECT *, {weights} FROM s) SELECT 'intercept' AS name, round(my - w0 * m0 - w1 * m1 - w2 * m2, 3) AS weight FROM w{rows}"
+
+
+@query(_ridge_sql())
 def ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.ridge(lineitem(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", 0.1)
+    return metrics.ridge(lineitem(spark, sf_dir), list(_X), "l_extendedprice", 0.1).withColumn("weight", F.round("weight", 3))
 
 
 _S = {f"x{k}": f"sum(power(x, {k}))" for k in range(1, 5)} | {f"y{k}": f"sum(power(x, {k}) * y)" for k in range(3)} | {"n": "count(*)::DOUBLE"}
-_DET = "({0} * ({4} * {8} - {5} * {7}) - {1} * ({3} * {8} - {5} * {6}) + {2} * ({3} * {7} - {4} * {6}))".format
 
 
 @query(
