@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import cut, hot_join, unused
+from textloom.llm.common import cut, hot_join, scratch, unused
 
 #: Forms of address by gender.
 MALE = ("Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "господин", "г-н", "Κύριος")
@@ -253,17 +253,20 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     Null texts stay null and texts without entities as they are, with n_entities 0. An entity that occurs in many
     documents, or often in one, has one replacement. Titles without a known gender (Dr, Prof) leave it to the given name.
     Repeated rows get equal texts; doc_id isn't used and may be null; an empty table gives an empty result; other
-    columns pass whatever their names. ``docs`` must be repeatable (files or a checkpoint): rows are known by their
-    place in it.
+    columns pass whatever their names. A copy of ``docs`` goes to the shared folder.
     """
     if not key:
         raise ValueError("surrogates need a secret key")
     names = [c for c in docs.columns if c.lower() != "n_entities"]
-    uid, seen = unused(docs, "uid"), unused(docs, "found")
+    uid, seen, hit = (unused(docs, x) for x in ("uid", "found", "hit"))
     numbered = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn(uid, F.monotonically_increasing_id())
     found = F.when(F.col("text").rlike(HINT), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    numbered = numbered.withColumn(seen, F.coalesce(found, F.array().cast("array<string>")))
-    hits = numbered.where(F.size(seen) > 0).select(F.col(uid).alias("uid"), "text", F.col(seen).alias("found"))
+    numbered = numbered.withColumn(seen, F.coalesce(found, F.array().cast("array<string>"))).withColumn(hit, (F.size(seen) > 0).cast("int"))
+    # The patterns are the dear part: texts are searched once, and rows with and without entities lie apart from then on.
+    path = scratch(docs.sparkSession, "surrogates")
+    numbered.write.partitionBy(hit).parquet(path)
+    numbered = docs.sparkSession.read.schema(numbered.schema).parquet(path)
+    hits = numbered.where(F.col(hit) == 1).select(F.col(uid).alias("uid"), "text", F.col(seen).alias("found"))
     hits = hits.withColumn("names", _named(F.col("found")))
     pattern = F.when(F.size("names") > 0, F.concat(F.lit(PATTERN + r"|(?<![\p{L}])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}'’-])"))).otherwise(F.lit(PATTERN))
     hits = hits.withColumn("pattern", pattern)
@@ -279,7 +282,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     filled = F.array_join(F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("put"), i)["replacement"], F.lit("")))), "")
     made, n, changed = (unused(docs, x) for x in ("made", "n", "changed"))
     changes = hits.join(put, "uid").select(F.col("uid").alias(changed), filled.alias(made), F.size("put").alias(n))
-    rest = numbered.where(F.size(seen) == 0).select(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("n_entities"))
-    back = numbered.where(F.size(seen) > 0).drop("text", seen).join(changes, F.col(uid) == F.col(changed))
+    rest = numbered.where(F.col(hit) == 0).select(*(F.col(f"`{c}`") for c in names), F.lit(0).alias("n_entities"))
+    back = numbered.where(F.col(hit) == 1).drop("text", seen).join(changes, F.col(uid) == F.col(changed))
     back = back.select(*((F.col(made).alias(c) if c.lower() == "text" else F.col(f"`{c}`")) for c in names), F.col(n).alias("n_entities"))
     return rest.unionByName(back)
