@@ -176,7 +176,7 @@ def test_cross_links_with_sides():
     sets = [shingler(t) for t in texts]
     sig = np.stack([signer.signature(s) for s in sets])
     keys = [signer.keys(s) for s in sig]
-    common = keys[0][keys[0] == keys[1]][0]
+    common = keys[0][keys[0] == keys[1]].min()
     for side in ([0, 1, 1], [0, 0, 0]):
         found = minhash_bayes.cross_links(np.array(side), np.arange(3), np.arange(3), sig, sets.__getitem__, int(common), plan)
         assert found == [(0, 1)]

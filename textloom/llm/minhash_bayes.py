@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import bounded_batches, cut, hot_join, text_bytes, unused
@@ -249,7 +249,7 @@ def _confirmed(plan: Plan):
 def cross_links(side: np.ndarray, uid: np.ndarray, label: np.ndarray, sig: np.ndarray, shingles, key: int, plan: Plan) -> list[tuple[int, int]]:
     """Links that connect components of one bucket; ``shingles`` gives a row's set.
 
-    Every pair of different components that shares this bucket and no earlier one is compared by signature batches.
+    Every pair of different components that shares this bucket and none of a smaller key is compared by signature batches.
     Those that survive are confirmed on full sets, the likeliest first, unless links found meanwhile connect them.
     With two sides, only pairs across them are meant.
     """
@@ -289,7 +289,7 @@ def cross_links(side: np.ndarray, uid: np.ndarray, label: np.ndarray, sig: np.nd
         if a == b:
             continue
         common = key_of(i)[key_of(i) == key_of(j)]
-        if len(common) and common[0] == key and similar(shingles(i), shingles(j), plan.percent):
+        if len(common) and common.min() == key and similar(shingles(i), shingles(j), plan.percent):
             parent[max(a, b)] = min(a, b)
             out.append((int(uid[i]), int(uid[j])))
     return out
@@ -308,8 +308,12 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
-def open_rows(side: np.ndarray, label: np.ndarray, sig: np.ndarray, key: int, plan: Plan) -> np.ndarray:
-    """Rows of one bucket that pass the bounds with a row of another component that shares no earlier bucket with them."""
+def open_rows(side: np.ndarray, label: np.ndarray, before: np.ndarray, sig: np.ndarray, key: int, plan: Plan) -> np.ndarray:
+    """Rows of one bucket that pass the bounds with a row of another component that shares no bucket of a smaller key with them.
+
+    ``before`` is each row's open bucket before this one, or its uid's complement, which no other row has: rows that came
+    out of the same one are compared there.
+    """
     signer, two = plan.signer, len({*side.tolist()}) == 2
     first = np.flatnonzero(side == side.min()) if two else np.arange(len(side))
     second = np.flatnonzero(side == side.max()) if two else first
@@ -322,24 +326,24 @@ def open_rows(side: np.ndarray, label: np.ndarray, sig: np.ndarray, key: int, pl
         return keys[i]
 
     for i in first:
-        js = second[label[second] != label[i]]
+        js = second[(label[second] != label[i]) & (before[second] != before[i])]
         if not two:
             js = js[js > i]
         if len(js):
             for j in js[survivors(np.broadcast_to(sig[i], (len(js), sig.shape[1])), sig[js], plan)].tolist():
                 if not (found[i] and found[j]):
                     common = key_of(i)[key_of(i) == key_of(j)]
-                    if len(common) and common[0] == key:
+                    if len(common) and common.min() == key:
                         found[i] = found[j] = True
     return np.flatnonzero(found)
 
 
 def _opened(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _cells(batches):  # key, x, y, side, uid, label, sig
-            side, label = (np.array([r[k] for r in rows], np.int64) for k in (3, 5))
-            sig = np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(len(rows), -1)
-            keep = [rows[i] for i in open_rows(side, label, sig, rows[0][0], plan)]
+        for rows in _cells(batches):  # key, x, y, side, uid, label, before, sig
+            side, label, before = (np.array([r[k] for r in rows], np.int64) for k in (3, 5, 6))
+            sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(len(rows), -1)
+            keep = [rows[i] for i in open_rows(side, label, before, sig, rows[0][0], plan)]
             if keep:
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], t) for k, t in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()), (3, pa.int32()), (4, pa.int64()), (5, pa.int64()))], names=["key", "x", "y", "side", "uid", "label"])
 
@@ -375,6 +379,35 @@ def _check(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
     return cut(ends(alive, "body").mapInArrow(_confirmed(plan), "a long, b long"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of open buckets (key, uid, label) with before, and dealt to cells x, y of two sides: each pair that is to be compared meets in one.
+
+    A pair is compared in the first bucket, by key, that it shares. Rows that were together in the open bucket before
+    this one have been compared already, so the largest such class of a bucket is only compared with the rest. Near
+    copies share most of their buckets; so the rest is small but in their first one. The class and the rest are cut into
+    sides of ``LEAST_SIDE`` to ``MOST_SIDE`` rows; a bucket of no more than a side is one cell.
+    """
+    last = F.lag("key").over(Window.partitionBy("uid").orderBy("key"))  # a row has as many buckets as there are bands
+    rows = rows.withColumn("last", last)
+    sizes = rows.groupBy("key", "last").agg(F.count("*").alias("n"))
+    largest = F.max(F.when(F.col("last").isNotNull(), F.struct("n", "last")))
+    buckets = sizes.groupBy("key").agg(F.sum("n").alias("n"), largest.alias("c")).select("key", "n", F.coalesce("c.n", F.lit(0)).alias("together"), F.col("c.last").alias("class"))
+    rest, side = F.col("n") - F.col("together"), F.least(F.lit(MOST_SIDE), F.greatest(F.lit(LEAST_SIDE), F.col("n") / 16))
+    one = F.col("n") <= side
+    buckets = buckets.where(rest > 0).select(
+        "key",
+        F.when(~one, F.col("class")).alias("class"),
+        F.when(one, F.lit(1)).otherwise(F.ceil(rest / side)).cast("int").alias("own"),
+        F.when(one, F.lit(0)).otherwise(F.ceil(F.col("together") / side)).cast("int").alias("others"),
+    )
+    rows = rows.join(buckets, "key")
+    inside, deal = F.coalesce(F.col("last") == F.col("class"), F.lit(False)), F.xxhash64("uid")
+    rows = rows.withColumn("side", F.when(inside, F.col("own") + F.pmod(deal, F.greatest("others", F.lit(1)))).otherwise(F.pmod(deal, F.col("own"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("own")).otherwise(F.col("own") + F.col("others")) - 1)))
+    before = F.coalesce("last", F.bitwise_not("uid"))
+    return rows.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "uid", "label", before.alias("before"))
+
+
 def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     """uid, doc, n, first_uid, first_doc of each row: the number and doc_id of its group's first row."""
     spark = numbered.sparkSession
@@ -397,15 +430,11 @@ def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     labels = components(links)
     # The rest exactly: buckets that still hold several components are searched for links across them.
     labelled = cut(shared.select("key", "uid").join(labels.withColumnRenamed("node", "uid"), "uid", "left").select("key", "uid", F.coalesce("label", "uid").alias("label")))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo <> hi")
-    side_rows = F.least(F.lit(MOST_SIDE), F.greatest(F.lit(LEAST_SIDE), F.col("rows") / 16))
-    mixed = mixed.select("key", F.ceil(F.col("rows") / side_rows).cast("int").alias("sides"))
-    rows_open = labelled.join(mixed, "key").withColumn("side", F.pmod(F.xxhash64("uid"), F.col("sides")).cast("int"))
-    rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rows_open = rows_open.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "uid", "label")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    rows_open = _dealt(labelled.join(mixed, "key"))
     # Signatures alone go round first; texts only follow for rows that some signature of another component lets pass.
     # Dealt by range, tasks have about the same rows and each cell is in one task.
-    rows_open = rows_open.join(nodes.select("uid", "sig"), "uid").select("key", "x", "y", "side", "uid", "label", "sig")
+    rows_open = rows_open.join(nodes.select("uid", "sig"), "uid").select("key", "x", "y", "side", "uid", "label", "before", "sig")
     rows_open = rows_open.repartitionByRange("key", "x", "y").sortWithinPartitions("key", "x", "y")
     rows_open = cut(rows_open.mapInArrow(_opened(plan), "key long, x int, y int, side int, uid long, label long"))
     rows_open = rows_open.join(nodes, "uid").select("key", "x", "y", "side", "uid", "label", "sig", "body")
