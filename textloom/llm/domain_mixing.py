@@ -22,8 +22,9 @@ from textloom.llm.common import cut, unused
 BUCKETS = 4096
 #: Weight of the root-mean evidence of a document's words against the prior: words of a text are far from independent.
 TEMPER = 0.6
-#: Descent ends when the projected gradient moves no rate by more than this, and after so many steps in any case.
-TOLERANCE, STEPS = 1e-5, 300
+#: Descent ends when the projected gradient moves no rate by more than this, or when it moves none by more than ``SLIGHT``
+#: and a step lowers the objective by less than that share of it; and after so many steps in any case.
+TOLERANCE, SLIGHT, STEPS = 1e-5, 1e-3, 300
 #: Dampings of the steps that are tried in one pass besides the gradient's own: from nearly that one to nearly Newton's.
 DAMPINGS = (0.3, 0.1, 0.03, 0.01, 3e-3, 1e-3, 1e-4, 1e-6)
 #: Cells of the posteriors' grid at most; this bounds what is broadcast.
@@ -108,7 +109,7 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, most
     document's gradient by its tokens the step 1 is then safe, and a document moves by its membership, not by its
     length. Each pass also tries damped Newton steps of the rates that no bound holds, and the best of all is taken; so
     bounds don't slow the descent down. Rates are projected onto [``least``, ``most``] each time. It ends
-    when the projected gradient vanishes; should ``steps`` come first, there is a warning.
+    when the projected gradient vanishes, or is slight and nothing is gained; should ``steps`` come first, there is a warning.
 
     Documents are first summed up by the cells of their posteriors, which changes no expected total. A pass then runs
     over ``CELLS`` rows at most, and only sums a domain reach the driver. Without tokens all rates are the start, 1.
@@ -118,9 +119,15 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, most
     cell = F.array(*(F.floor(F.col(f"p{i}") * size).cast("int") for i in range(k)))
     mass = F.sum(F.col("tokens").cast("double"))
     mean = lambda i: F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")) / F.nullif(mass, F.lit(0.0)), F.avg(f"p{i}"))
-    cells = cut(members.groupBy(cell.alias("cell")).agg(mass.alias("tokens"), *(mean(i).alias(f"p{i}") for i in range(k))))
+    cells = members.groupBy(cell.alias("cell")).agg(mass.alias("tokens"), *(mean(i).alias(f"p{i}") for i in range(k)))
+    cells = cut(cells.coalesce(1))  # ``CELLS`` rows at most: a pass over them is one short task
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    total_of = lambda x: F.coalesce(F.sum(x), F.lit(0.0))
+    # SQL text, since a pass sums up dozens of expressions.
+    number = lambda x: f"({float(x)!r}D)"
+    clipped = lambda x: f"least({number(most)}, greatest({number(least)}, {x}))"
+    moved = lambda d: clipped("rate - (" + " + ".join(f"{number(g)} * p{i}" for i, g in enumerate(d)) + ")")
+    sums_of = lambda xs: [F.expr(f"coalesce(sum({x}), 0D)") for x in xs]
+    products = [f"tokens * p{i} * p{j}" for i, j in pairs]
 
     def gram_of(sums) -> np.ndarray:
         out = np.zeros((k, k))
@@ -128,41 +135,35 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, most
             out[i, j] = out[j, i] = x / total
         return out
 
-    def clipped(x: Column) -> Column:
-        return F.least(F.lit(float(most)), F.greatest(F.lit(float(least)), x))
-
-    def along(direction: np.ndarray) -> Column:
-        return sum((F.lit(float(g)) * F.col(f"p{i}") for i, g in enumerate(direction)), F.lit(0.0))
-
-    products = [F.col("tokens") * F.col(f"p{i}") * F.col(f"p{j}") for i, j in pairs]
-    frame = cells.withColumn("rate", clipped(F.lit(1.0)))
-    found = frame.agg(total_of("tokens"), *(total_of(x) for x in products), *(total_of(F.col("rate") * F.col("tokens") * F.col(f"p{i}")) for i in range(k))).first()
+    start = F.expr(clipped("1D"))
+    frame = cells.withColumn("rate", start)
+    found = frame.agg(*sums_of(["tokens", *products, *(f"rate * tokens * p{i}" for i in range(k))])).first()
     total = float(found[0])
     if not total:
-        return members.withColumn("rate", clipped(F.lit(1.0))), [0.0] * k
+        return members.withColumn("rate", start), [0.0] * k
     weigh = np.linalg.inv(gram_of(found[1 : 1 + len(pairs)]) + np.eye(k) * 1e-9)
     expected = np.array(found[1 + len(pairs) :], float)
-    done = 0
+    done, before = 0, math.inf
     while True:
         gap = (expected - targets) / total
-        slope = weigh @ gap
-        free = F.abs(F.col("rate") - clipped(F.col("rate") - along(slope))) > 0
-        at = frame.agg(F.coalesce(F.max(F.abs(F.col("rate") - clipped(F.col("rate") - along(slope)))), F.lit(0.0)), *(total_of(F.when(free, x)) for x in products)).first()
-        if at[0] <= TOLERANCE:
+        slope, value = weigh @ gap, float(gap @ weigh @ gap)
+        steps_of = frame.withColumn("move", F.expr(f"abs(rate - {moved(slope)})"))
+        at = steps_of.agg(F.expr("coalesce(max(move), 0D)"), *sums_of(f"if(move > 0, {x}, 0D)" for x in products)).first()
+        if at[0] <= TOLERANCE or (at[0] <= SLIGHT and before - value <= SLIGHT * value):
             break
+        before = value
         if done == steps:
             warnings.warn(f"rates still move by {at[0]:.2g} after {steps} steps", stacklevel=2)
             break
         curve = weigh @ gram_of(at[1:])
         tried = [slope] + [np.linalg.solve(curve + damping * np.eye(k), slope) for damping in DAMPINGS]
-        sums = frame.agg(*(total_of(clipped(F.col("rate") - along(move)) * F.col("tokens") * F.col(f"p{i}")) for move in tried for i in range(k))).first()
+        tries = frame.select("tokens", *(f"p{i}" for i in range(k)), *(F.expr(moved(d)).alias(f"rate{n}") for n, d in enumerate(tried)))
+        sums = tries.agg(*sums_of(f"rate{n} * tokens * p{i}" for n in range(len(tried)) for i in range(k))).first()
         reached = np.array(sums, float).reshape(len(tried), k)
-        worth = [float(g @ weigh @ g) for g in (reached - targets) / total]
-        best = int(np.argmin(worth))
-        frame = frame.withColumn("rate", clipped(F.col("rate") - along(tried[best])))
-        expected = reached[best]
+        best = int(np.argmin([float(g @ weigh @ g) for g in (reached - targets) / total]))
+        frame, expected = frame.withColumn("rate", F.expr(moved(tried[best]))), reached[best]
         done += 1
-        if done % 6 == 0:  # the expression grows by a step each time
+        if done % 4 == 0:  # the expression grows by a step each time
             frame = cut(frame)
     rates = cut(frame.select("cell", "rate"))
     return members.withColumn("cell", cell).join(F.broadcast(rates), "cell").drop("cell"), [float(x) for x in expected]
