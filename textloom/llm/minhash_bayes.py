@@ -404,12 +404,12 @@ def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     rows_open = rows_open.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
     rows_open = rows_open.select("key", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "uid", "label")
     # Signatures alone go round first; texts only follow for rows that some signature of another component lets pass.
-    # Dealt by range, tasks have about the same rows and each cell is in one task.
+    # Dealt by range, tasks have about the same rows and each cell is in one task; the cut spares a second join for the ranges.
     rows_open = rows_open.join(nodes.select("uid", "sig"), "uid").select("key", "x", "y", "side", "uid", "label", "sig")
-    rows_open = rows_open.repartitionByRange("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows_open = cut(rows_open).repartitionByRange("key", "x", "y").sortWithinPartitions("key", "x", "y")
     rows_open = cut(rows_open.mapInArrow(_opened(plan), "key long, x int, y int, side int, uid long, label long"))
     rows_open = rows_open.join(nodes, "uid").select("key", "x", "y", "side", "uid", "label", "sig", "body")
-    rows_open = rows_open.repartitionByRange("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows_open = rows_open.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = cut(rows_open.mapInArrow(_across(plan), "a long, b long"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
