@@ -133,6 +133,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(worth, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10
 
 
+def _mod97(iban: Column) -> Column:
+    """An account number's remainder by 97, with its first four characters moved to the end and letters as 10 to 35; 1 if it is valid."""
+    moved = F.concat(F.substr(iban, F.lit(5), F.length(iban)), F.substr(iban, F.lit(1), F.lit(4)))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(moved, ""), F.lit(0), step)
+
+
 def _candidate() -> Column:
     """A replacement of the same kind and form for kind, canon, sex, attempt and stream."""
     h, canon, kind, attempt = F.col("stream"), F.col("canon"), F.col("kind"), F.col("attempt")
@@ -163,7 +170,10 @@ def _candidate() -> Column:
     checked = F.when(_luhn(canon) == 0, F.concat(F.substr(same, F.lit(1), size - 1), ((10 - _luhn(card)) % 10).cast("string"))).otherwise(same)
     fixed = F.when(kind == "ip", ip).when(kind == "card", checked).when(kind == "phone", F.concat(F.substr(canon, F.lit(1), kept), F.substr(same, kept + 1, size)))
     fixed = fixed.when((kind == "secret") & canon.startswith("AKIA"), F.concat(F.lit("AKIA"), F.substr(same, F.lit(5), size))).when((kind == "secret") & canon.rlike("^[0-9a-f]{32,}$"), hexed)
-    fixed = fixed.when(kind == "iban", F.concat(F.substr(canon, F.lit(1), F.lit(2)), F.substr(same, F.lit(3), size))).otherwise(same)
+    country, account = F.substr(canon, F.lit(1), F.lit(2)), F.substr(same, F.lit(5), size)
+    check = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")
+    iban = F.concat(country, F.when(_mod97(canon) == 1, check).otherwise(F.substr(same, F.lit(3), F.lit(2))), account)
+    fixed = fixed.when(kind == "iban", iban).otherwise(same)
     out = F.when(kind == "domain", F.concat(front, F.substr(same, F.lit(1), size - F.length(label)), label)).when(kind == "mailbox", F.concat(front, same))
 
     def syllables(script: str, n: Column) -> Column:
