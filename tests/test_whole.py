@@ -85,9 +85,12 @@ def test_stream_tools_takes_all_rows(spark, long_dir, texts):
 def test_fewshot_prompt_takes_all_items(spark, tmp_path):
     ids = [*range(60), 75, 90]  # over 40, and with gaps
     spark.createDataFrame([(i,) for i in ids], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
-    key = lambda a, b: hashlib.sha256(f"11\0fewshot\0{a}\0{b}".encode()).hexdigest()
-    shots = {a: sorted((b for b in ids if b != a), key=lambda b: key(a, b))[:3] for a in ids}  # noqa: B023
-    expected = {a: "".join(f"q{b} a{b}\n\n" for b in shots[a]) + f"q{a}" for a in ids}
+    draw = lambda n, *names: int(hashlib.sha256("\0".join(["11", "fewshot", *map(str, names)]).encode()).hexdigest()[:15], 16) % n
+    expected = {}
+    for a in ids:
+        left = [b for b in ids if b != a]
+        shots = [left.pop(draw(len(left), a, j)) for j in range(3)]
+        expected[a] = "".join(f"q{b} a{b}\n\n" for b in shots) + f"q{a}"
     assert {r["item"]: r.prompt for r in QUERIES["fewshot_prompt"](spark, str(tmp_path)).collect()} == expected
 
 

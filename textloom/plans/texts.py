@@ -195,16 +195,29 @@ def render_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", prompt.alias("prompt"))
 
 
+def _shot(j: int) -> str:
+    return f"(('0x' || sha256('11' || chr(0) || 'fewshot' || chr(0) || item || chr(0) || '{j}')[1:15])::BIGINT % (n - {j + 1}))"
+
+
+def _past(used: str, start: str, size: int) -> str:
+    """A place among those that are left as one among all."""
+    out = start
+    for u in range(1, size + 1):
+        out = f"({out} + (({out}) >= list_sort({used})[{u}])::INT)"
+    return out
+
+
 @query(
-    """WITH n AS (SELECT item_id AS i FROM benchmark), s AS (SELECT a.i AS item, b.i AS shot, row_number() OVER (PARTITION BY a.i ORDER BY sha256('11' || chr(0) || 'fewshot' || chr(0) || a.i || chr(0) || b.i)) AS r
-        FROM n a JOIN n b ON a.i <> b.i)
-    SELECT item, string_agg('q' || shot || ' a' || shot || chr(10) || chr(10), '' ORDER BY r) || 'q' || item AS prompt FROM s WHERE r <= 3 GROUP BY item"""
+    f"""WITH p AS (SELECT item_id AS item, row_number() OVER (ORDER BY item_id) - 1 AS p, count(*) OVER () AS n FROM benchmark),
+    a AS (SELECT *, {_shot(0)} AS r0, {_shot(1)} AS r1, {_shot(2)} AS r2 FROM p), b AS (SELECT *, {_past('[p]', 'r0', 1)} AS s0 FROM a), c AS (SELECT *, {_past('[p, s0]', 'r1', 2)} AS s1 FROM b), d AS (SELECT *, {_past('[p, s0, s1]', 'r2', 3)} AS s2 FROM c),
+    s AS (SELECT item, unnest([0, 1, 2]) AS shot, unnest([s0, s1, s2]) AS place FROM d)
+    SELECT s.item, string_agg('q' || p.item || ' a' || p.item || chr(10) || chr(10), '' ORDER BY shot) || 'q' || s.item AS prompt FROM s JOIN p ON p.p = s.place GROUP BY s.item"""
 )
 def fewshot_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"))
-    pool = items.agg(F.collect_set("item").alias("pool"))
-    shots = F.transform(tasks.few_shot_ids(F.col("pool"), 3, 11, F.col("item")), lambda i: F.struct(F.concat(F.lit("q"), i.cast("string")).alias("query"), F.concat(F.lit("a"), i.cast("string")).alias("answer")))
-    return items.crossJoin(F.broadcast(pool)).select("item", render.few_shot(shots, F.concat(F.lit("q"), F.col("item").cast("string"))).alias("prompt"))
+    shots = tasks.few_shot(items, 3, 11).groupBy("item").agg(F.array_sort(F.collect_list(F.struct("shot", "other"))).alias("s"))
+    pairs = F.transform("s", lambda x: F.struct(F.concat(F.lit("q"), x["other"].cast("string")).alias("query"), F.concat(F.lit("a"), x["other"].cast("string")).alias("answer")))
+    return shots.select("item", render.few_shot(pairs, F.concat(F.lit("q"), F.col("item").cast("string"))).alias("prompt"))
 
 
 @query("SELECT doc_id, array_to_string(string_split(source, ''), ',') AS spelled, (length(source) - length(replace(source, 's', '')))::BIGINT AS n FROM documents")
