@@ -408,8 +408,8 @@ def _grouped(numbered: DataFrame, plan: Plan) -> DataFrame:
     rows_open = rows_open.join(nodes.select("uid", "sig"), "uid").select("key", "x", "y", "side", "uid", "label", "sig")
     rows_open = cut(rows_open).repartitionByRange("key", "x", "y").sortWithinPartitions("key", "x", "y")
     rows_open = cut(rows_open.mapInArrow(_opened(plan), "key long, x int, y int, side int, uid long, label long"))
-    rows_open = rows_open.join(nodes, "uid").select("key", "x", "y", "side", "uid", "label", "sig", "body")
-    rows_open = rows_open.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    rows_open = cut(rows_open.join(nodes, "uid").select("key", "x", "y", "side", "uid", "label", "sig", "body"))
+    rows_open = rows_open.repartitionByRange("key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = cut(rows_open.mapInArrow(_across(plan), "a long, b long"))
     if not more.isEmpty():
         labels = components(links.unionByName(more))
