@@ -120,7 +120,7 @@ def fit_rates(members: DataFrame, targets: list[float], least: float = 0.0, most
     mass = F.sum(F.col("tokens").cast("double"))
     mean = lambda i: F.coalesce(F.sum(F.col("tokens") * F.col(f"p{i}")) / F.nullif(mass, F.lit(0.0)), F.avg(f"p{i}"))
     cells = members.groupBy(cell.alias("cell")).agg(mass.alias("tokens"), *(mean(i).alias(f"p{i}") for i in range(k)))
-    cells = cut(cells.coalesce(1))  # ``CELLS`` rows at most: a pass over them is one short task
+    cells = cut(cut(cells).coalesce(1))  # ``CELLS`` rows at most: once they are summed up, a pass over them is one short task
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
     # SQL text, since a pass sums up dozens of expressions.
     number = lambda x: f"({float(x)!r}D)"
