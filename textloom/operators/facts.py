@@ -208,7 +208,7 @@ def first_by_either(rows: DataFrame, order: list[str], keys: list[str], limit: d
                 keep.append(n)
             yield b.iloc[keep]
 
-    return rows.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, rows.schema)
+    return rows.repartition(1).sortWithinPartitions(*order).mapInPandas(run, rows.schema)
 
 
 def build_pool(pairs: DataFrame, catalogue: DataFrame, facts: int, seed: int, contested: float = 0.08) -> DataFrame:

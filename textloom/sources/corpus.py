@@ -92,7 +92,7 @@ def greedy_shards(docs: DataFrame, pos: str, budget: int, row_group: int = ROW_G
                     number, held = number + 1, 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shards, pa.int32()), pa.array(closed, pa.bool_())], names=["__rg", "shard", "closed"])
 
-    placed = sums.coalesce(1).sortWithinPartitions("__rg").mapInArrow(fold, "__rg long, shard int, closed boolean")
+    placed = sums.repartition(1).sortWithinPartitions("__rg").mapInArrow(fold, "__rg long, shard int, closed boolean")
     if drop_tail:
         closed = placed.where("closed").agg(F.max("shard").alias("__last"))
         placed = placed.join(F.broadcast(closed)).where(F.col("shard") <= F.col("__last")).drop("__last")
