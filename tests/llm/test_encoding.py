@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from textloom.llm import kk_shards, range_coder, token_files, wav_fingerprints, word_bpe
+from textloom.llm import kk_shards, piece_table, range_coder, token_files, wav_fingerprints, word_bpe
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -44,6 +44,78 @@ def test_blocks_are_independent():
         at += size
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(0, 65535) | st.integers(0, 4), min_size=1, max_size=400), st.integers(1, 60), st.integers(1, 5))
+def test_range_coder_with_frequencies(ids, block, lanes):
+    order0 = range_coder.Order0(np.bincount(ids, minlength=range_coder.IDS))
+    blob = range_coder.encode(np.array(ids), block, lanes, order0)
+    assert range_coder.decode(blob, 3, range_coder.Order0.unpack(order0.pack())).tolist() == ids
+
+
+def test_frequencies_cost_no_more_than_their_entropy():
+    """Ids without any order, some of them rare: the code has their entropy's bits, and a few for headers."""
+    rng = np.random.default_rng(2)
+    ids = rng.permutation(np.concatenate([rng.integers(0, 300, 60_000) * 160, rng.integers(0, 65536, 3000)]))
+    counts = np.bincount(ids, minlength=range_coder.IDS)
+    order0, p = range_coder.Order0(counts), counts[counts > 0] / len(ids)
+    assert int((order0.span & range_coder.LOW).sum()) == range_coder.TOTAL == len(order0.at)
+    blob = range_coder.encode(ids, order0=order0)
+    assert (range_coder.decode(blob, order0=order0) == ids).all()
+    assert 8 * len(blob) < 1.05 * len(ids) * -(p * np.log2(p)).sum()
+    with pytest.raises(ValueError):
+        range_coder.encode(np.array([1]), order0=order0 if not counts[1] else range_coder.Order0(np.eye(1, range_coder.IDS)[0]))
+    with pytest.raises(ValueError):
+        range_coder.Order0(np.zeros(range_coder.IDS))
+
+
+def test_carries_run_through_full_words():
+    """Lanes' words that are all ones take a carry on to the word before them."""
+    coder = range_coder.Coder(3, 6, range_coder.EVEN)
+    coder.out[:, :4], coder.at[:] = [[5, 2**32 - 1, 2**32 - 1, 9], [1, 2, 3, 9], [7, 8, 2**32 - 1, 9]], 3
+    coder._carry(np.array([0, 2]))
+    assert coder.out[:, :4].tolist() == [[6, 0, 0, 9], [1, 2, 3, 9], [7, 9, 0, 9]]
+
+
+ODD_TEXTS = [
+    "", " ", "  ", "a", " a", "a ", "  a", "a  b", "a \nb", "a\n b", "a\n  b", "a \u3000b", "a\u00a0 b", "a \u00a0b", "\t a", "a b\n", "it's 's we'll x'LL 'tis '", "a\0 a\0\0 a b\0", "é é, éé's É!!",
+    "x" * 22 + " " + "x" * 23 + " " + "x" * 24 + " " + "x" * 23 + ", " + "x" * 22, "y" * 23 + "!" + " " + "y" * 5000 + " " + "y" * 5000, "a1 1a 12. ...a .a. a.b a,, ,,a", "日本 語、日本 語", "\U0001f600 \U0001f600a \x1c b",
+    "the cat, the cat. (the cat) the-cat the_cat cat's", "\u0301a a\u0301 \u0301", "ª º ² ½ a² Ⅷ a",
+]
+
+
+@pytest.mark.parametrize("bits, held, together", [(21, 1 << 24, 1 << 16), (3, 1 << 24, 1 << 16), (3, 20, 5), (6, 1 << 24, 1)])
+def test_pieces_have_the_library_s_ids(monkeypatch, bits, held, together):
+    """White space of all kinds, marks, contractions, pieces around a slot's length; with slots and ids for few pieces."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(piece_table, "SLOT_BITS", bits)
+    monkeypatch.setattr(piece_table, "IDS_HELD", held)
+    monkeypatch.setattr(piece_table, "BYTES_HELD", 100 * held)
+    monkeypatch.setattr(piece_table, "TOGETHER", together)
+    monkeypatch.setattr(token_files, "JOINED", 3)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library, rng = Tokenizer.from_file(file), random.Random(bits)
+    parts = ["a", "the", " ", "  ", "\n", "é", "'s", "!", "12", "\u00a0", "x" * 30, "日", " the", " of", ", ", "<|endoftext|>"]
+    texts = ODD_TEXTS + ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(300)]
+    encode = token_files._encoder.__wrapped__(file, public_tokenizers.PATTERN, 2)
+    for s in (0, 1):  # once more with what is known by then
+        got = [x.tolist() for k in range(0, len(texts), 40) for x in encode(texts[k : k + 40])]
+        assert got == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_a_worker_keeps_what_it_has_encoded():
+    """A second task of a worker asks the library for nothing that the first one did; a pre-token goes there once."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    encode = token_files._encoder(file, public_tokenizers.PATTERN, 2)
+    assert token_files._encoder(file, public_tokenizers.PATTERN, 2) is encode
+    asked = []
+    table = piece_table.PieceTable(lambda pieces: asked.extend(pieces) or [x[-1:] * 2 for x in pieces])
+    for _ in range(2):
+        places = table.places_of([b" a", b"a", b" b", b" a", b"c" * 40, b" ", b"c" * 40])
+        assert table.gather(places).tobytes() == b"aaaabbaacc  cc"
+    assert asked == [b" a", b"a", b" b", b"c" * 40, b" "]
+
+
 def test_pre_tokens_are_the_library_s():
     """All code points of two planes in several places: texts and their pre-tokens have the same ids."""
     file, points = public_tokenizers.path("byte_bpe_50k.json"), [c for c in range(0x20000) if not 0xD800 <= c < 0xE000]

@@ -1,16 +1,16 @@
 """Token ids of a corpus in binary files, coded by ``range_coder``.
 
 A file is Parquet, so any store that Spark writes to will do. Its rows are records: some whole documents in ascending
-order (their ids and lengths) and one blob of coded blocks.
+order (their ids and lengths), the order-0 frequencies of their token ids and one blob of coded blocks.
 """
 
 from __future__ import annotations
 
 import os
-import struct
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +21,27 @@ from pyspark.sql import functions as F
 
 from textloom.llm import range_coder
 from textloom.llm.common import bounded_batches, parallelism
-
-#: Pre-tokens whose ids a worker holds at most before it starts anew.
-WORDS_HELD = 300_000
+from textloom.llm.piece_table import PieceTable
+
+#: Pre-tokens that the library gets as one text.
+JOINED = 200
+#: Marks of which any number are one pre-token where letters stand before and none behind.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+#: GPT-2's pattern, by which a pre-token begins at each space that a character other than white space follows.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RECORD_IDS = range_coder.BLOCK * range_coder.LANES
-RECORDS = "part int, record int, before long, n_ids long, docs array<long>, lengths array<long>, blocks binary"
+RECORDS = "part int, record int, before long, n_ids long, docs array<long>, lengths array<long>, order0 binary, blocks binary"
 
 
+@lru_cache(maxsize=2)
 def _encoder(file: str, pattern: str | None, end_id: int):
     """A function from texts to ids with ``end_id`` after each, by the tokenizers library.
 
-    With the ``pattern`` of the tokenizer's own pre-tokens, a worker gives the library each distinct pre-token once
-    and keeps its ids; a text's ids are those of its pre-tokens, as the library itself has them. A text that holds one
-    of the tokenizer's added tokens, which the library finds before it splits, goes to the library as a whole.
+    With the ``pattern`` of the tokenizer's own pre-tokens, a worker keeps the ids of each distinct pre-token that it has
+    given to the library, from task to task, until another one takes its slot (see ``PieceTable``); a text's ids are those of its pre-tokens, as the library itself has them. By
+    the ``SPACED`` pattern a text is cut at its spaces and the ids of what lies between are kept, so that only a piece
+    that is new is split further; texts with other white space after a space are split as a whole. A text that holds
+    one of the tokenizer's added tokens, which the library finds before it splits, goes to the library as a whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only take memory
     from tokenizers import Tokenizer
@@ -42,19 +50,89 @@ def _encoder(file: str, pattern: str | None, end_id: int):
     added = regex.compile("|".join(regex.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values()) or "(?!)")
     if pattern is None:
         return lambda texts: [np.array([*e.ids, end_id], np.uint16) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-    split, known, end = regex.compile(pattern).findall, {}, struct.pack("<H", end_id)
+    split, spaced = regex.compile(pattern).findall, pattern == SPACED
+    odd = re.compile(r" (?:\s|\Z)").search
+    # Letters of a token's name stand for its bytes.
+    vocabulary = tokenizer.get_vocab()
+    width = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, i in vocabulary.items():
+        width[i] = len(token)
+
+    def encode_words(words: list[bytes]) -> list[bytes]:
+        """The ids of each of some pre-tokens."""
+        return [np.array(e.ids, "<u2").tobytes() for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def encode_joined(words: list[bytes]) -> list[bytes]:
+        """The same of pre-tokens that can stand one behind the other, in long texts: ids are told apart by their bytes."""
+        groups, out = [words[s : s + JOINED] for s in range(0, len(words), JOINED)], []
+        for group, e in zip(groups, tokenizer.encode_batch_fast([b"".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
+            ids, ends = np.array(e.ids, "<u2"), np.cumsum(np.fromiter(map(len, group), np.int64, len(group)))
+            reached = np.cumsum(width.take(ids))
+            at = np.searchsorted(reached, ends)
+            if at[-1] == len(ids) - 1 and (reached.take(at) == ends).all():
+                raw, cuts = ids.tobytes(), (2 * at + 2).tolist()
+                out += [raw[a:b] for a, b in zip([0, *cuts], cuts)]  # noqa: B905
+            else:
+                out += encode_words(group)
+        return out
+
+    def joinable(word: bytes) -> bool:
+        """Whether it is a space and something else than white space."""
+        return spaced and word[:1] == b" " and (word[1:2].isalpha() or len(word) > 1 and not word.decode()[1].isspace())
+
+    def learn_words(words: list[bytes]) -> list[bytes]:
+        behind = list(filter(joinable, words))
+        found = dict(zip(behind, encode_joined(behind), strict=True))
+        others = [w for w in words if w not in found]
+        found.update(zip(others, encode_words(others), strict=True))
+        return list(map(found.__getitem__, words))
+
+    def learn_pieces(pieces: list[bytes]) -> list[bytes]:
+        """The ids of pieces, from those of their pre-tokens."""
+        words, ends = [], [0]
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            body = word[1:] if word[:1] == b" " else word
+            if not body.isalpha() and not body.decode().isalpha():
+                words += [w.encode() for w in split(piece.decode())]
+            elif len(word) == len(piece):  # a pre-token
+                words.append(piece)
+            else:  # one of letters and one of marks
+                words += (word, piece[len(word) :])
+            ends.append(len(words))
+        places = known.places_of(words)
+        cuts = (2 * np.append(0, np.cumsum(places & 0xFFFFFFFF)))[ends].tolist()
+        raw = known.gather(places).tobytes()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+    known, held = PieceTable(learn_words), PieceTable(learn_pieces)
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        whole = {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts) if added.search(t)}
-        words = [[] if i in whole else split(t) for i, t in enumerate(texts)]
-        if len(known) > WORDS_HELD:
-            known.clear()
-        new = list(set(chain.from_iterable(words)).difference(known))
-        if new:
-            found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            raw, ends = np.fromiter(chain.from_iterable(found), "<u2").tobytes(), np.cumsum([2 * len(x) for x in found]).tolist()
-            known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends)), strict=True))  # noqa: B905
-        return [np.frombuffer((np.array(whole[i], "<u2").tobytes() if i in whole else b"".join(map(known.__getitem__, w))) + end, "<u2") for i, w in enumerate(words)]
+        known.clear_if_full()
+        held.clear_if_full()
+        out, plain = {}, []
+        for i, t in enumerate(texts):
+            if added.search(t):
+                out[i] = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, end_id], "<u2")
+            elif spaced and not odd(t):
+                plain.append(i)
+            else:
+                out[i] = np.append(known.gather(known.places_of([w.encode() for w in split(t)])), np.uint16(end_id))
+        if plain:
+            bodies = [texts[i].encode() for i in plain]
+            joined = b" ".join(bodies)
+            sizes = np.array([len(x) for x in bodies]) + 1
+            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            start, first = np.append(0, spaces + 1), np.cumsum(sizes) - sizes
+            kind = np.ones(len(start), np.int64)
+            heads = np.searchsorted(start, first)
+            kind[heads] = 0
+            places = held.places(joined, start, np.append(spaces, len(joined)) - start, kind)
+            ids = held.gather(places)
+            ends = np.cumsum(places & 0xFFFFFFFF)[np.append(heads[1:], len(start)) - 1]
+            ids = np.insert(ids, ends, end_id)
+            out.update(zip(plain, np.split(ids, ends[:-1] + np.arange(1, len(plain))), strict=True))
+        return [out[i] for i in range(len(texts))]
 
     return encode
 
@@ -67,10 +145,12 @@ def _written(tokenizer_file: str, end_id: int, record_ids: int, pattern: str | N
 
         def flush():
             nonlocal docs, lengths, held, size, record, before
-            blob = range_coder.encode(np.concatenate(held))
-            columns = [pa.array([x], t) for x, t in ((part, pa.int32()), (record, pa.int32()), (before, pa.int64()), (size, pa.int64()), (docs, pa.list_(pa.int64())), (lengths, pa.list_(pa.int64())), (blob, pa.binary()))]
+            ids = np.concatenate(held)
+            order0 = range_coder.Order0(np.bincount(ids, minlength=range_coder.IDS))
+            blob = range_coder.encode(ids, order0=order0)
+            columns = [pa.array([x], t) for x, t in ((part, pa.int32()), (record, pa.int32()), (before, pa.int64()), (size, pa.int64()), (docs, pa.list_(pa.int64())), (lengths, pa.list_(pa.int64())), (order0.pack(), pa.binary()), (blob, pa.binary()))]
             docs, lengths, held, size, record, before = [], [], [], 0, record + 1, before + size
-            return pa.RecordBatch.from_arrays(columns, names=["part", "record", "before", "n_ids", "docs", "lengths", "blocks"])
+            return pa.RecordBatch.from_arrays(columns, names=["part", "record", "before", "n_ids", "docs", "lengths", "order0", "blocks"])
 
         for b in batches:
             ids, texts = (c.to_pylist() for c in b.columns)
@@ -131,7 +211,7 @@ def token_file_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _documents(row: dict) -> Iterator[tuple[int | None, int, np.ndarray]]:
-    ids, at = range_coder.decode(row["blocks"]), 0
+    ids, at = range_coder.decode(row["blocks"], order0=range_coder.Order0.unpack(row["order0"])), 0
     if len(ids) != row["n_ids"]:
         raise ValueError(f"record {row['part']}/{row['record']} has {len(ids)} ids, expected {row['n_ids']}")
     for doc, n in zip(row["docs"], row["lengths"], strict=True):
