@@ -18,16 +18,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays, render
-from textloom.sources.scratch import scratch
+from textloom.sources.scratch import bounded_batches, remove, scratch
 
 #: Special tokens, which follow the merges in this order.
 SPECIALS = ("<|bos|>", "<|user_start|>", "<|user_end|>", "<|assistant_start|>", "<|assistant_end|>", "<|python_start|>", "<|python_end|>", "<|output_start|>", "<|output_end|>")
 
 
-#: Distinct pre-tokens up to which the merge loop runs on the driver (some 2 GB); more are merged where they lie.
-DRIVER_WORDS = 5_000_000
+#: Distinct pre-tokens, and their bytes, up to which the merge loop runs on the driver (some 300 MB); more are merged where they lie.
+DRIVER_WORDS, DRIVER_BYTES = 500_000, 8 << 20
 #: Most frequent pairs that a distributed round looks at.
 ROUND_PAIRS = 256
+#: Ids that a task or the driver takes up at once to merge or count (some 100 MB with what is made of them).
+CHUNK = 1 << 20
 
 
 def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials: tuple[str, ...] = SPECIALS, driver_words: int = DRIVER_WORDS) -> list[tuple[int, int]]:
@@ -43,7 +45,8 @@ def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials:
     spark, path = texts.sparkSession, scratch(texts.sparkSession, "pretokens")
     texts.select(F.explode(render.pretokens(F.col(column))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).write.parquet(path)
     counts = spark.read.parquet(path)
-    if counts.count() > driver_words:
+    words, held = counts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("w") + 1), F.lit(0))).first()
+    if words > driver_words or held > DRIVER_BYTES:
         return _merge_rounds(counts.select(arrays.byte_ids(F.col("w")).alias("ids"), "n"), size - 256)
     return _merge_loop(counts, size - 256)
 
@@ -51,46 +54,149 @@ def train_bpe(texts: DataFrame, vocab_size: int, column: str = "text", specials:
 def _merge_rounds(words: DataFrame, merges: int) -> list[tuple[int, int]]:
     """Merges over a table of words (ids, n), several a round where the order of single merges can't differ.
 
-    Of the round's most frequent pairs, those are merged together that share no id and are more frequent than any pair
-    that an earlier one of them can bring about; such a pair stands in three ids in a row, whose counts bound it.
+    Of the round's most frequent pairs, those are merged together of which none begins with another one's end, so that
+    no merge takes an id from another's matches, and that are more frequent than any pair that an earlier one of them
+    can bring about; such a pair stands in three ids in a row, whose counts bound it. Ids are numpy arrays in tasks;
+    the driver gets ``ROUND_PAIRS`` pairs a round.
     """
-    spark, out = words.sparkSession, []
+    spark, out, path = words.sparkSession, [], None
     while len(out) < merges:
-        two = F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda i: F.struct(F.get("ids", i - 1).alias("a"), F.get("ids", i).alias("b")))
-        rows = words.where("size(ids) > 1").select("n", F.explode(two).alias("p")).groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-        top = [tuple(r) for r in rows.orderBy(F.desc("n"), "a", "b").limit(ROUND_PAIRS).collect()]
+        rows = words.mapInArrow(_task_sums(_pair_keys), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+        top = [(r.k >> 32, r.k & 0xFFFFFFFF, r.n) for r in rows.orderBy(F.desc("n"), "k").limit(ROUND_PAIRS).collect()]
         if not top:
             break
-        key = lambda a, b: a.cast("long") * (1 << 32) + b
-        three = F.transform(F.sequence(F.lit(2), F.size("ids") - 1), lambda i: F.struct(F.get("ids", i - 2).alias("a"), F.get("ids", i - 1).alias("b"), F.get("ids", i).alias("c")))
-        t = words.where("size(ids) > 2").select("n", F.explode(three).alias("t")).select("n", "t.*")
-        asked = F.array(*(F.lit((a << 32) + b) for a, b, _ in top))
-        t = t.where(F.array_contains(asked, key(F.col("a"), F.col("b"))) | F.array_contains(asked, key(F.col("b"), F.col("c"))))
-        t = t.groupBy("a", "b", "c").agg(F.sum("n").alias("n"))
-        ends = t.select(F.explode(F.array(key(F.col("a"), F.col("b")), key(F.col("b"), F.col("c")))).alias("k"), "n")
-        bound = {r.k: r.n for r in ends.where(F.array_contains(asked, F.col("k"))).groupBy("k").agg(F.max("n").alias("n")).collect()}
-        chosen, used, highest = [], set(), 0
+        apart: list[tuple[int, int, int]] = []
+        firsts, seconds = set(), set()
         for a, b, n in top[: merges - len(out)]:
-            if chosen and (n <= highest or a == b or {a, b} & used):
+            if apart and (a == b or a in seconds or b in firsts):
                 break
-            chosen.append((a, b))
-            used |= {a, b}
-            highest = max(highest, bound.get((a << 32) + b, 0))
+            apart.append((a, b, n))
+            firsts.add(a)
+            seconds.add(b)
             if a == b:
                 break
+        bound: dict[int, int] = {}
+        if len(apart) > 1:
+            asked = [(a << 32) + b for a, b, _ in apart]
+            t = words.mapInArrow(_task_sums(_triple_keys(asked)), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+            a, b, c = (F.shiftright("k", 42), F.shiftright("k", 21).bitwiseAND((1 << 21) - 1), F.col("k").bitwiseAND((1 << 21) - 1))
+            ends = t.select(F.explode(F.array(F.shiftleft(a, 32) + b, F.shiftleft(b, 32) + c)).alias("k"), "n").where(F.col("k").isin(asked))
+            bound = {r.k: r.n for r in ends.groupBy("k").agg(F.max("n").alias("n")).collect()}
+        chosen, highest = [], 0
+        for a, b, n in apart:
+            if chosen and n <= highest:
+                break
+            chosen.append((a, b))
+            highest = max(highest, bound.get((a << 32) + b, 0))
         new = {p: 256 + len(out) + i for i, p in enumerate(chosen)}
         out += chosen
 
         def merged(batches: Iterator[pa.RecordBatch], new=new) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array([_merge(x, new) for x in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], names=["ids", "n"])
+            for ids, sizes, n in _word_chunks(batches):
+                ids, sizes = _merge_all(ids, sizes, new)
+                yield pa.RecordBatch.from_arrays([_lists(ids, sizes), pa.array(n)], names=["ids", "n"])
 
-        path = scratch(spark, "merged")
-        words.select("ids", "n").mapInArrow(merged, "ids array<int>, n long").write.parquet(path)
+        before, path = path, scratch(spark, "merged")
+        words.select("ids", "n").mapInArrow(merged, "ids array<int>, n long").where("size(ids) > 1").write.parquet(path)
         words = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
     return out
 
 
+def _lists(values: np.ndarray, sizes: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
+    """``values``, one list after another, as an array of lists."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()), mask=None if missing is None or not missing.any() else pa.array(missing))
+
+
+def _word_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words (ids, n) as (ids of all one after another, sizes, weights), about ``CHUNK`` ids at a time."""
+    def joined(held: list) -> tuple[np.ndarray, ...]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+    held, size = [], 0
+    for b in batches:
+        ids = b.column(0)
+        held.append((ids.flatten().to_numpy(), np.diff(ids.offsets.to_numpy()), b.column(1).to_numpy()))
+        size += len(held[-1][0])
+        if size >= CHUNK:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def _inside(sizes: np.ndarray) -> np.ndarray:
+    """For each id whether the next one belongs to its word."""
+    inside = np.ones(int(sizes.sum()), bool)
+    inside[np.cumsum(sizes[sizes > 0]) - 1] = False
+    return inside
+
+
+def _every_other(at: np.ndarray) -> np.ndarray:
+    """Of places that follow each other every other one, from the left."""
+    starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    return at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
+
+
+def _merge_all(ids: np.ndarray, sizes: np.ndarray, new: Mapping[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and sizes of words with each pair of ``new``, from the left, as its id. No pair begins with another's end."""
+    ids, inside, keep = ids.copy(), _inside(sizes)[:-1], np.ones(len(ids), bool)
+    word = np.repeat(np.arange(len(sizes)), sizes)
+    for (a, b), made in new.items():
+        at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b) & inside)
+        at = _every_other(at) if a == b else at
+        ids[at] = made
+        keep[at + 1] = False
+    return ids[keep], np.bincount(word[keep], minlength=len(sizes))
+
+
+def _pair_keys(ids: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places at which a pair begins, and pairs as numbers."""
+    at = np.flatnonzero(inside)
+    return at, (ids[at].astype(np.int64) << 32) | ids[at + 1]
+
+
+def _triple_keys(asked: list[int]):
+    """Three ids in a row as a number, where two of them are a pair of ``asked``; ids are under 2**21."""
+
+    def keys(ids: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, pair = _pair_keys(ids, inside)
+        hit = np.zeros(len(ids), bool)
+        hit[at] = np.isin(pair, asked)
+        begin = at[inside[np.minimum(at + 1, len(ids) - 1)]]
+        begin = begin[hit[begin] | hit[begin + 1]]
+        a, b, c = (ids[begin + i].astype(np.int64) for i in range(3))
+        return begin, (a << 42) | (b << 21) | c
+
+    return keys
+
+
+def _task_sums(keys):
+    """A pass over words (ids, n) that gives (k, n): keys by ``keys``(ids, inside) with their words' weights, summed up in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for ids, sizes, weights in _word_chunks(batches):
+            at, found = keys(ids, _inside(sizes))
+            k, n = _sums(np.concatenate([k, found]), np.concatenate([n, np.repeat(weights, sizes)[at]]))
+            if len(k) > CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+                k, n = k[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "n"])
+
+    return run
+
+
+def _sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order with the sums of ``n``."""
+    found, which = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, which, n)
+    return found, sums
+
+
 def _merge(ids: list[int], new: Mapping[tuple[int, int], int]) -> list[int]:
     """``ids`` with each pair of ``new``, from the left, as its id."""
     at, out = 0, []
@@ -109,16 +215,14 @@ def _pair_sums(ids: np.ndarray, weight: np.ndarray, at: np.ndarray) -> Iterator[
     """Pairs that begin at the places ``at``, none of them across a word's end, with the sums of their words' weights."""
     left, right = ids[at], ids[at + 1]
     inside = (left >= 0) & (right >= 0)
-    keys, which = np.unique((left[inside].astype(np.int64) << 32) | right[inside], return_inverse=True)
-    sums = np.zeros(len(keys), np.int64)
-    np.add.at(sums, which, weight[at[inside]])
+    keys, sums = _sums((left[inside].astype(np.int64) << 32) | right[inside], weight[at[inside]])
     return zip(zip((keys >> 32).tolist(), (keys & 0xFFFFFFFF).tolist(), strict=True), sums.tolist(), strict=True)
 
 
 def _merge_loop(counts: DataFrame, most: int) -> list[tuple[int, int]]:
     """Merges over all words as one array, in which -1 ends a word; once matches are few, over the touched words only."""
     table = counts.select(F.encode("w", "UTF-8").alias("w"), "n").toArrow()  # ``driver_words`` at most
-    found = [w for w in table.column(0).to_pylist()]
+    found = table.column(0).to_pylist()
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     ids = np.full(int(sizes.sum()) + len(found) + 1, -1, np.int32)
     ends = np.cumsum(sizes + 1)
@@ -127,7 +231,11 @@ def _merge_loop(counts: DataFrame, most: int) -> list[tuple[int, int]]:
     ids[body] = np.frombuffer(b"".join(found), np.uint8)
     weight = np.zeros(len(ids), np.int64)
     weight[: len(ids) - 1] = np.repeat(table.column(1).to_numpy(), sizes + 1)
-    pairs: Counter = Counter(dict(_pair_sums(ids, weight, np.arange(len(ids) - 1))))
+    del table, found
+    pairs: Counter = Counter()
+    for lo in range(0, len(ids) - 1, CHUNK):
+        for p, k in _pair_sums(ids, weight, np.arange(lo, min(lo + CHUNK, len(ids) - 1))):
+            pairs[p] += k
     heap = [(-n, p) for p, n in pairs.items()]
     heapq.heapify(heap)
     merges = []
@@ -137,8 +245,7 @@ def _merge_loop(counts: DataFrame, most: int) -> list[tuple[int, int]]:
             continue  # an older count
         at = np.flatnonzero((ids[:-1] == best[0]) & (ids[1:] == best[1]))
         if best[0] == best[1]:  # in a run every other one counts, from the left
-            starts = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))) % 2 == 0]
+            at = _every_other(at)
         if len(at) < FEW_MATCHES and most - len(merges) > MANY_MERGES:
             heapq.heappush(heap, (n, best))
             break
@@ -281,31 +388,73 @@ def pack_progress(rows: DataFrame, documents: int, world: int, accumulation: int
     return out.withColumn("last", full & (F.col("consumed") >= documents)).drop("__block", "__own", "__before")
 
 
-def encoder(ranks: Mapping[bytes, int], prepend: int | None = None, append: int | None = None):
-    """A column function from text to ids; specials in a text are ordinary text."""
+#: Bytes of text, or ids, that a Python worker encodes or decodes at once.
+PIECE = 1 << 20
+
 
-    @F.pandas_udf("array<int>")
-    def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
+def _pieces(batch: pa.Array) -> Iterator[pa.Array]:
+    """``batch``, an array of texts or lists, in parts of about ``PIECE`` bytes or ids: one long text alone, and some of the short ones together."""
+    if not len(batch):
+        return
+    ends = batch.offsets.to_numpy() if pa.types.is_list(batch.type) else np.frombuffer(batch.buffers()[1], np.int32)[batch.offset : batch.offset + len(batch) + 1]
+    ends, lo = ends.astype(np.int64), 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + PIECE, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
-        of = tiktoken.Encoding("own", pat_str=render.PRETOKENS, mergeable_ranks=dict(ranks), special_tokens={}).encode_ordinary
-        head, tail = [prepend] if prepend is not None else [], [append] if append is not None else []
+
+def tiktoken_encoding(ranks: Mapping[bytes, int]):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=render.PRETOKENS, mergeable_ranks=dict(ranks), special_tokens={})
+
+
+def encoder(ranks: Mapping[bytes, int], prepend: int | None = None, append: int | None = None):
+    """A column function from text to ids; specials in a text are ordinary text. Ids are numbers of 4 bytes throughout, about ``PIECE`` of them at once."""
+
+    @F.arrow_udf("array<int>")
+    def encode(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        of = tiktoken_encoding(ranks).encode_to_numpy
+        head, tail = (np.array([] if x is None else [x], np.int32) for x in (prepend, append))
+        nothing = np.empty(0, np.int32)
         for batch in texts:
-            yield batch.map(lambda t: None if t is None else [*head, *of(t), *tail])
+            for some in _pieces(batch):
+                found = [nothing if t is None else np.concatenate([head, of(t).astype(np.int32), tail]) for t in some.to_pylist()]
+                yield _lists(np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)), some.is_null().to_numpy(False))
 
+    _bound()
     return encode
 
 
 def decoder(ranks: Mapping[bytes, int], specials: tuple[str, ...] = SPECIALS):
-    @F.pandas_udf("string")
-    def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A column function from ids to text: the ids' bytes, taken from one table, of which each text is a part."""
+
+    @F.arrow_udf("string")
+    def decode(ids: Iterator[pa.Array]) -> Iterator[pa.Array]:
         of = {i: t for t, i in ranks.items()} | {len(ranks) + i: s.encode() for i, s in enumerate(specials)}
+        table = pa.array([of.get(i) for i in range(max(of) + 1)], pa.binary())
         for batch in ids:
-            yield batch.map(lambda x: None if x is None else b"".join(of[i] for i in x).decode("utf-8", "replace"))
-
+            for some in _pieces(batch):
+                made = table.take(some.flatten())
+                if made.null_count:
+                    raise KeyError("an id that the vocabulary hasn't got")
+                ends = np.concatenate([[0], np.cumsum(np.diff(np.frombuffer(made.buffers()[1], np.int32)[: len(made) + 1]))])
+                lengths = np.diff(some.offsets.to_numpy())
+                lengths[some.is_null().to_numpy(False)] = 0  # what is behind a null isn't in the flat array
+                held, at = made.buffers()[2], ends[np.concatenate([[0], np.cumsum(lengths)])]
+                held = b"" if held is None else held.to_pybytes()
+                yield pa.array([None if missing else held[i:j].decode("utf-8", "replace") for i, j, missing in zip(at, at[1:], some.is_null().to_pylist(), strict=False)], pa.string())
+
+    _bound()
     return decode
 
 
+def _bound() -> None:
+    if spark := SparkSession.getActiveSession():
+        bounded_batches(spark)
+
+
 def special_id(name: str, size: int = 256) -> int:
     return size + SPECIALS.index(name)
 
