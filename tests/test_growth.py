@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from textloom.operators import tokens
+from textloom.streaming import streams
 
 
 def words_of(spark, rng, n=40):
@@ -32,3 +34,39 @@ def test_bpe_loop_counts_in_parts(spark, monkeypatch):
     expected = tokens.train_bpe(docs, 256 + 40 + 9)
     monkeypatch.setattr(tokens, "CHUNK", 7)
     assert tokens.train_bpe(docs, 256 + 40 + 9) == expected
+
+
+def test_stream_pack_goes_on_with_little_held(spark, tmp_path, monkeypatch):
+    """Over two batches: what waits is in the state, ids are in a file, rows go out in parts, and nothing goes to the driver's memory table."""
+    rng = random.Random(5)
+    docs = {i: [rng.randrange(1000) for _ in range(rng.choice([0, 1, 3, 8, 20, 21, 22, 90]))] for i in range(120)}
+    for part in (0, 1):
+        rows = [(i % 2, i, x) for i, x in docs.items() if (i >= 60) == part]
+        spark.createDataFrame(rows, "rank long, pos long, ids array<int>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    monkeypatch.setattr(streams, "CHUNK", 40)
+    monkeypatch.setattr(streams, "collect_stream", lambda *a: pytest.fail("rows on the driver"))
+    stream = streams.shard_stream(spark, str(tmp_path / "in"), "rank long, pos long, ids array<int>")
+    got = streams.stored_stream(streams.pack_stream(stream, "rank", "pos", "ids", 20, 5)).collect()
+    for rank in (0, 1):
+        held, expected = [], []
+        for part in (0, 1):
+            held += [x for i, x in docs.items() if i % 2 == rank and (i >= 60) == part]
+            while len(held) > 5:
+                left, row = list(held), []
+                while len(row) < 20 and left:
+                    fits = [x for x in left if len(x) <= 20 - len(row)]
+                    best = max(fits, key=len) if fits else min(left, key=len)
+                    left.pop(next(i for i, x in enumerate(left) if x is best))
+                    row += best[: 20 - len(row)]
+                if len(row) < 20:
+                    break
+                held = left
+                expected.append(row)
+        assert [r.tokens for r in sorted(got, key=lambda r: r.row) if r["rank"] == rank] == expected
+
+
+def test_stream_pack_stays_off_the_driver(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(streams, "collect_stream", lambda *a: pytest.fail("rows on the driver"))
+    from textloom.plans import catalog
+
+    assert catalog.queries()["stream_pack"](spark, sf_dir).count() > 0

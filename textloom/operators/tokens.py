@@ -5,10 +5,11 @@ from __future__ import annotations
 import ast
 import bisect
 import codecs
+import functools
 import heapq
 import itertools
 import operator
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -455,6 +456,11 @@ def _bound() -> None:
         bounded_batches(spark)
 
 
+@functools.cache
+def special_ids(size: int = 256) -> dict[str, int]:
+    return {n: special_id(n, size) for n in SPECIALS}
+
+
 def special_id(name: str, size: int = 256) -> int:
     return size + SPECIALS.index(name)
 
@@ -503,87 +509,90 @@ def render_for_completion(messages: Column, encode=arrays.byte_ids, size: int =
 class BestFit:
     """Rows of fixed capacity from a buffer of documents, the largest that fits first.
 
-    Documents are kept by (length, arrival), so that the largest that fits, and the earliest of those, is found by
-    bisection. ``crop``: where none fits, the shortest is cut to fill the row; else the row is padded.
+    Documents of one length wait in the order of their arrival, so that the largest that fits, and the earliest of
+    those, is found by bisection among the lengths. ``crop``: where none fits, the shortest is cut to fill the row;
+    else the row is padded.
     """
 
     def __init__(self, capacity: int, buffer: int, crop: bool, pad: int = 0):
         self.capacity, self.size, self.crop, self.pad = capacity, buffer, crop, pad
-        self.keys: list[tuple[int, int]] = []
-        self.docs: dict[tuple[int, int], list] = {}
+        self.lengths: list[int] = []
+        self.docs: dict[int, deque] = {}
         self.count = 0
 
-    def add(self, ids: list, tag) -> None:
-        key = (len(ids), -self.count)  # of one length the earliest is the last before the next length
-        bisect.insort(self.keys, key)
-        self.docs[key] = [ids, tag]
+    def add(self, length: int, item) -> None:
+        if length not in self.docs:
+            bisect.insort(self.lengths, length)
+            self.docs[length] = deque()
+        self.docs[length].append(item)
         self.count += 1
 
-    def _take(self, at: int) -> list:
-        return self.docs.pop(self.keys.pop(at))
-
-    def rows(self, source: Iterator[tuple[list, object]]) -> Iterator[tuple[list, list, list]]:
-        """(ids, mask of content, [(tag, placed, cut off)]); the buffer is refilled before each placement, and emptied at the end."""
+    def _take(self, at: int) -> tuple:
+        length = self.lengths[at]
+        waiting = self.docs[length]
+        item = waiting.popleft()
+        self.count -= 1
+        if not waiting:
+            del self.docs[length], self.lengths[at]
+        return length, item
+
+    def placements(self, source: Iterator[tuple[int, object]]) -> Iterator[list[tuple[object, int, int]]]:
+        """[(item, placed, cut off)] of each row, from (length, item); the buffer is refilled before each placement, and emptied at the end."""
         done = False
         while True:
-            row, content, parts = [], 0, []
-            while len(row) < self.capacity:
-                while not done and len(self.keys) < self.size:
+            room, parts = self.capacity, []
+            while room:
+                while not done and self.count < self.size:
                     nxt = next(source, None)
                     done = nxt is None
                     if nxt is not None:
                         self.add(*nxt)
-                room = self.capacity - len(row)
-                if not self.keys:
+                if not self.count:
                     break
-                at = bisect.bisect_right(self.keys, (room, 1)) - 1
-                if at >= 0:
-                    ids, tag = self._take(at)
-                elif self.crop or not row:
-                    shortest = bisect.bisect_left(self.keys, (self.keys[0][0] + 1, -self.count)) - 1
-                    ids, tag = self._take(shortest)
-                else:
+                at = bisect.bisect_right(self.lengths, room) - 1
+                if at < 0 and not self.crop and room < self.capacity:
                     break
-                parts.append((tag, min(len(ids), room), max(0, len(ids) - room)))
-                row += ids[:room]
-                content = len(row)
-            if not row:
+                length, item = self._take(max(at, 0))
+                parts.append((item, min(length, room), max(0, length - room)))
+                room -= min(length, room)
+            if room == self.capacity:
                 return
-            yield row + [self.pad] * (self.capacity - len(row)), [1] * content + [0] * (self.capacity - content), parts
+            yield parts
+
+    def rows(self, source: Iterator[tuple[np.ndarray, object]]) -> Iterator[tuple[np.ndarray, int, list]]:
+        """(ids, how many of them are content, [(tag, placed, cut off)]) from (ids, tag)."""
+        for parts in self.placements((len(ids), (ids, tag)) for ids, tag in source):
+            row = np.concatenate([ids[:n] for (ids, _), n, _ in parts])
+            yield np.pad(row, (0, self.capacity - len(row)), constant_values=self.pad), len(row), [(tag, n, cut) for (_, tag), n, cut in parts]
 
 
 def pack(docs: DataFrame, rank: str, order: str, ids: str, capacity: int, buffer: int = 1000, crop: bool = True, pad: int = 0) -> DataFrame:
     """rank, row, tokens, content, n_docs, placed, cut of packed rows; each rank is a stream of its own, in ``order``.
 
-    Packing depends on all that came before it, so a rank is sequential; ranks are many. Rows come in Arrow batches, and
-    only the buffer is held.
+    Packing depends on all that came before it, so a rank is sequential; ranks are many. Rows come and go in Arrow
+    batches, and only the buffer is held.
     """
     fields = "rank long, row long, tokens array<int>, content int, n_docs int, placed long, cut long"
+    kinds = dict(zip((f.split()[0] for f in fields.split(", ")), (pa.int64(), pa.int64(), None, pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True))
+    bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def stream() -> Iterator[tuple[int, list, object]]:
-            for b in batches:
-                yield from zip(b["__rank"].tolist(), map(list, b["__ids"]), b["__order"].tolist(), strict=True)
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for b in batches:
+            values, ends = b.column(1).values.to_numpy(), b.column(1).offsets.to_numpy()
+            for key, lo, hi in zip(b.column(0).to_pylist(), ends, ends[1:], strict=False):
+                yield key, values[lo:hi].copy()  # a part would keep its whole batch
 
-        rows = stream()
-        head = next(rows, None)
-        while head is not None:
-            now, following = head[0], []
-
-            def own(first=head, now=now, following=following) -> Iterator[tuple[list, object]]:
-                yield first[1], first[2]
-                for r in rows:
-                    if r[0] != now:
-                        following.append(r)
-                        return
-                    yield r[1], r[2]
-
-            out = [(now, i, t, sum(m), len(p), sum(x[1] for x in p), sum(x[2] for x in p)) for i, (t, m, p) in enumerate(BestFit(capacity, buffer, crop, pad).rows(own()))]
-            yield pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")])
-            head = following[0] if following else None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, own in itertools.groupby(stream(batches), operator.itemgetter(0)):
+            packed = enumerate(BestFit(capacity, buffer, crop, pad).rows((ids, None) for _, ids in own))
+            while some := list(itertools.islice(packed, max(1, CHUNK // capacity))):
+                columns = {"rank": [now] * len(some), "row": [i for i, _ in some], "tokens": None, "content": [n for _, (_, n, _) in some], "n_docs": [len(p) for _, (_, _, p) in some]}
+                columns |= {"placed": [n for _, (_, n, _) in some], "cut": [sum(x[2] for x in p) for _, (_, _, p) in some]}
+                columns["tokens"] = _lists(np.concatenate([t for _, (t, _, _) in some]), np.full(len(some), capacity))
+                yield pa.RecordBatch.from_arrays([c if k == "tokens" else pa.array(c, kinds[k]) for k, c in columns.items()], names=list(columns))
 
-    keyed = docs.select(F.col(rank).cast("long").alias("__rank"), F.col(order).alias("__order"), F.col(ids).alias("__ids"))
-    return keyed.repartition("__rank").sortWithinPartitions("__rank", "__order").mapInPandas(run, fields)
+    keyed = docs.select(F.col(rank).cast("long").alias("__rank"), F.col(ids).alias("__ids"), F.col(order).alias("__order"))
+    return keyed.repartition("__rank").sortWithinPartitions("__rank", "__order").drop("__order").mapInArrow(run, fields)
 
 
 def pack_stats(rows: DataFrame, capacity: int) -> DataFrame:
@@ -637,7 +646,7 @@ class ToolState:
     """One generation row: forced tokens come before sampled ones; a finished call puts its output in the queue."""
 
     def __init__(self, size: int = 256):
-        self.s = {n: special_id(n, size) for n in SPECIALS}
+        self.s = special_ids(size)
         self.queue: list[int] = []
         self.call: list[int] | None = None
         self.done = False

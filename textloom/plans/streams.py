@@ -44,4 +44,4 @@ def stream_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = tokens.encoder({bytes([i]): i for i in range(256)}, prepend=256)("text")
     d = _stream(spark, sf_dir, "documents").select((F.col("doc_id") % 4).alias("rank"), "doc_id", ids.alias("ids"))
     got = streams.pack_stream(d, "rank", "doc_id", "ids", 257, 20).select("rank", "row", F.size("tokens").alias("size"))
-    return streams.collect_stream(got, f"pack_{uuid.uuid4().hex}")
+    return streams.stored_stream(got)

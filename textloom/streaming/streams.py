@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from textloom.operators.tokens import BestFit, ToolState
+from textloom.operators.tokens import CHUNK, BestFit, ToolState
+from textloom.sources.scratch import bounded_batches, scratch
 
 
 def shard_stream(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -41,28 +45,50 @@ def pack_stream(docs: DataFrame, rank: str, order: str, ids: str, capacity: int,
     """Best-fit packed rows of a stream, a state a rank: the buffer of waiting documents and the row being filled.
 
     A row goes out when it is full, which needs a full buffer before each placement; what is in the buffer stays in
-    the state and its checkpoint, so nothing is lost at a restart.
+    the state and its checkpoint, so nothing is lost at a restart. All documents of a batch are placed by their
+    lengths; their ids wait in a local file that ends with the task.
     """
+    bounded_batches(docs.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [array("i", map(int, x)) for x in state.get[0]] if state.exists else []
         rows = state.get[1] if state.exists else 0
-        new = sorted(((o, array("i", map(int, x))) for b in batches for o, x in zip(b[order], b[ids], strict=True)), key=lambda r: r[0])
-        held += [x for _, x in new]
-        out = []
-        waiting, left = BestFit(capacity, 0, True), dict(enumerate(held))
-        for i, x in left.items():
-            waiting.add(x, i)
-        made = waiting.rows(iter(()))
-        while len(left) > buffer:
-            tokens, _, parts = next(made)
-            if sum(n for _, n, _ in parts) < capacity:
-                break
-            for tag, _, _ in parts:
-                del left[tag]
-            out.append((key[0], rows, array("i", tokens)))
-            rows += 1
-        state.update(([list(x) for x in left.values()], rows))
+        orders, starts, sizes = [], array("q"), array("q")  # a place in the file for each document
+        with tempfile.TemporaryFile() as file:
+
+            def keep(x) -> None:
+                starts.append(file.tell())
+                sizes.append(len(x))
+                file.write(np.asarray(x, np.int32).tobytes())
+
+            def read(i: int, n: int) -> np.ndarray:
+                return np.frombuffer(os.pread(file.fileno(), 4 * n, starts[i]), np.int32)
+
+            for x in state.get[0] if state.exists else []:
+                keep(x)
+            old = len(starts)
+            for b in batches:
+                for o, x in zip(b[order].tolist(), b[ids], strict=True):
+                    orders.append(o)
+                    keep(x)
+            file.flush()
+            arrived = [*range(old), *(old + i for i in sorted(range(len(orders)), key=orders.__getitem__))]
+            waiting, left, gone, out = BestFit(capacity, 0, True), len(arrived), bytearray(len(starts)), []
+            for i in arrived:
+                waiting.add(sizes[i], i)
+            made = waiting.placements(iter(()))
+            while left > buffer:
+                parts = next(made, [])
+                if sum(n for _, n, _ in parts) < capacity:
+                    break
+                for i, _, _ in parts:
+                    gone[i] = 1
+                left -= len(parts)
+                out.append((key[0], rows, np.concatenate([read(i, n) for i, n, _ in parts])))
+                rows += 1
+                if len(out) * capacity >= CHUNK:
+                    yield pd.DataFrame(out, columns=["rank", "row", "tokens"])
+                    out = []
+            state.update(([read(i, sizes[i]).tolist() for i in arrived if not gone[i]], rows))
         yield pd.DataFrame(out, columns=["rank", "row", "tokens"])
 
     keyed = docs.select(F.col(rank).cast("long").alias("rank"), order, ids)
@@ -95,6 +121,13 @@ def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour",
     return at.groupBy(F.window("__t", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
+def stored_stream(stream: DataFrame) -> DataFrame:
+    """All that a bounded stream gives, as a table in the shared folder; nothing of it goes through the driver."""
+    path, mark = (scratch(stream.sparkSession, n) for n in ("streamed", "mark"))
+    run_to_end(stream, path, mark)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def collect_stream(stream: DataFrame, name: str, mode: str = "append", run: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
     """All that a bounded stream gives, as a table in memory; for tests and small results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
