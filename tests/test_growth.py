@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import numpy as np
 import pytest
 
@@ -70,3 +71,27 @@ def test_stream_pack_stays_off_the_driver(spark, sf_dir, monkeypatch):
     from textloom.plans import catalog
 
     assert catalog.queries()["stream_pack"](spark, sf_dir).count() > 0
+
+
+def test_deltas_of_whole_texts(spark, monkeypatch):
+    """The quick way for clean text shows what the decoder does step by step; ids that end a stream, broken bytes, nulls."""
+    rng = random.Random(3)
+    logs = [list("".join(rng.choice(["a", "é", "€", "🌍", "\n"]) for _ in range(n)).encode()) for n in (0, 1, 5, 40)]
+    logs += [[*logs[2], 200, 65], list("a�b".encode()), logs[3][:-1] + [tokens.special_id("<|assistant_end|>"), 65], [226, 130], None]
+    monkeypatch.setattr(tokens, "PIECE", 20)
+    rows = spark.createDataFrame(list(enumerate(logs)), "i int, ids array<int>").coalesce(1)
+    got = {}
+    for r in tokens.stream_text(rows, "i", "ids").collect():
+        got.setdefault(r.i, []).append((r.step, r.delta))
+    for i, log in enumerate(logs):
+        held = [t for t in (log or [])]
+        held = held[: held.index(260)] if 260 in held else held
+        assert got.get(i, []) == [(k, d) for k, d in enumerate(tokens.text_deltas(held)) if d], log
+
+
+def test_text_deltas_brings_no_characters_together(spark, sf_dir):
+    """A text's steps stay in its row: no shuffle of a row a character."""
+    from textloom.plans import catalog
+
+    plan = catalog.queries()["text_deltas"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan

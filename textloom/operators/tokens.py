@@ -356,19 +356,46 @@ def chat_prompt(messages: Column, encode=arrays.byte_ids, size: int = 256) -> Co
     return F.concat(mark("<|bos|>"), F.flatten(body), mark("<|assistant_start|>"))
 
 
-def stream_text(rows: DataFrame, key: str, ids: str, size: int = 256) -> DataFrame:
-    """key, step, delta: what a stream of byte tokens shows at each step that shows something, up to an end mark or a new document."""
-    stops = {special_id("<|assistant_end|>", size), special_id("<|bos|>", size)}
+def stream_deltas(ids: Column, size: int = 256) -> Column:
+    """[{step, delta}]: what a stream of byte tokens shows at each step that shows something, up to an end mark or a new document."""
+    stops = (special_id("<|assistant_end|>", size), special_id("<|bos|>", size))
+    kind = pa.list_(pa.struct([("step", pa.int32()), ("delta", pa.string())]))
+
+    @F.arrow_udf("array<struct<step:int,delta:string>>")
+    def run(logs: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in logs:
+            for some in _pieces(batch):
+                out = []
+                for log in some:
+                    held = log.values.to_numpy() if log.is_valid else np.empty(0, np.int32)
+                    end = np.flatnonzero(np.isin(held, stops))
+                    out.append(_shown(held[: end[0]] if len(end) else held))
+                steps, deltas = ([x for pair in out for x in pair[k]] for k in (0, 1))
+                shown = pa.StructArray.from_arrays([pa.array(steps, pa.int32()), pa.array(deltas, pa.string())], fields=list(kind.value_type))
+                offsets = np.concatenate([[0], np.cumsum([len(x[0]) for x in out])]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(offsets), shown, type=kind)
 
-    @F.pandas_udf("array<struct<step:int,delta:string>>")
-    def run(logs: pd.Series) -> pd.Series:
-        out = []
-        for log in logs:
-            held = list(itertools.takewhile(lambda t: t not in stops, [] if log is None else (int(t) for t in log)))
-            out.append([(i, d) for i, d in enumerate(text_deltas(held)) if d])
-        return pd.Series(out)
+    _bound()
+    return run(ids)
 
-    return rows.select(key, F.explode(run(F.col(ids))).alias("x")).select(key, "x.step", "x.delta")
+
+def _shown(ids: np.ndarray) -> tuple[list[int], list[str]]:
+    """Steps and what they show. In text without replacement characters that is each character at its last byte."""
+    data = None if len(ids) and (ids.min() < 0 or ids.max() > 255) else ids.astype(np.uint8)
+    try:
+        text = None if data is None else data.tobytes().decode()
+    except UnicodeDecodeError:
+        text = None
+    if text is None or "\ufffd" in text:
+        found = [(i, d) for i, d in enumerate(text_deltas(ids.tolist())) if d]
+        return [i for i, _ in found], [d for _, d in found]
+    ends = np.flatnonzero((data & 0xC0) != 0x80)[1:] - 1  # before the next character's first byte
+    return [*ends.tolist(), len(data) - 1] if len(data) else [], list(text)
+
+
+def stream_text(rows: DataFrame, key: str, ids: str, size: int = 256) -> DataFrame:
+    """key, step, delta of ``stream_deltas``, a row a step."""
+    return rows.select(key, F.explode(stream_deltas(F.col(ids), size)).alias("x")).select(key, "x.step", "x.delta")
 
 
 def pack_progress(rows: DataFrame, documents: int, world: int, accumulation: int = 1) -> DataFrame:

@@ -56,9 +56,9 @@ def text_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as streams of byte tokens with an end mark and more behind it: each character shows at its last byte."""
     end = tokens.special_id("<|assistant_end|>")
     log = F.concat(arrays.byte_ids(F.col("text")), F.array(F.lit(end), F.lit(65), F.lit(66)))
-    got = tokens.stream_text(docs(spark, sf_dir).select("doc_id", log.alias("log")), "doc_id", "log")
-    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "delta"))), lambda x: x["delta"]), "")
-    return got.groupBy("doc_id").agg(F.count("*").alias("deltas"), F.sha2(shown, 256).alias("shown"), F.max("step").cast("long").alias("last"))
+    d = docs(spark, sf_dir).select("doc_id", tokens.stream_deltas(log).alias("x")).where("size(x) > 0")
+    shown = F.array_join(F.transform("x", lambda x: x["delta"]), "")
+    return d.select("doc_id", F.size("x").cast("long").alias("deltas"), F.sha2(shown, 256).alias("shown"), F.element_at("x", -1)["step"].cast("long").alias("last"))
 
 
 @query(
