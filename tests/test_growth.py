@@ -95,3 +95,22 @@ def test_text_deltas_brings_no_characters_together(spark, sf_dir):
 
     plan = catalog.queries()["text_deltas"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_pack_gives_rows_in_parts(spark, monkeypatch):
+    """No task makes a list of all rows of a rank: rows go out while documents still come in."""
+    docs = spark.createDataFrame([(i % 2, i, [i] * (i % 7)) for i in range(300)], "rank long, pos long, ids array<int>")
+    whole = tokens.pack(docs, "rank", "pos", "ids", 5, buffer=3).orderBy("rank", "row").collect()
+    monkeypatch.setattr(tokens, "CHUNK", 20)
+    assert tokens.pack(docs, "rank", "pos", "ids", 5, buffer=3).orderBy("rank", "row").collect() == whole
+    seen, taken = [], 0
+
+    def source():
+        nonlocal taken
+        for i in range(100):
+            taken += 1
+            yield np.arange(5), i
+
+    for _ in tokens.BestFit(5, 3, True).rows(source()):
+        seen.append(taken)
+    assert len(seen) == 100 and seen[0] <= 4
