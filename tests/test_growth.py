@@ -114,3 +114,18 @@ def test_pack_gives_rows_in_parts(spark, monkeypatch):
     for _ in tokens.BestFit(5, 3, True).rows(source()):
         seen.append(taken)
     assert len(seen) == 100 and seen[0] <= 4
+
+
+def test_encoder_and_decoder_in_parts(spark, monkeypatch):
+    """Nulls, empty texts and a text over a part's size; ids that are no text decode to replacement characters."""
+    ranks = tokens.ranks_of([(104, 101), (116, 256)])
+    texts = [None, "", "the hé", None, "the " * 50, "x", "🌍", ""] * 3
+    monkeypatch.setattr(tokens, "PIECE", 9)
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = frame.select("i", "text", tokens.encoder(ranks, prepend=300, append=301)("text").alias("ids")).orderBy("i").collect()
+    encode = lambda t: None if t is None else [300, *tokens.tiktoken_encoding(ranks).encode_ordinary(t), 301]
+    assert [r.ids for r in got] == [encode(t) for t in texts]
+    back = frame.select("i", tokens.decoder(ranks)(tokens.encoder(ranks)("text")).alias("text")).orderBy("i").collect()
+    assert [r.text for r in back] == texts
+    odd = spark.createDataFrame([([200, 65],), ([],), (None,), ([257, 258],)], "ids array<int>").select(tokens.decoder(ranks, ("<|x|>",))("ids").alias("t"))
+    assert [r.t for r in odd.collect()] == ["�A", "", None, "the<|x|>"]
