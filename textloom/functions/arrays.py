@@ -23,13 +23,16 @@ def masked_targets(tokens: Column, mask: Column, content: Column | None = None)
 
 
 def common_prefix(sequences: Column) -> Column:
-    """Length of the common prefix of an array of arrays."""
-    shortest = F.array_min(F.transform(sequences, lambda s: F.size(s)))
-    first = sequences[0]
-    places = F.when(shortest > 0, F.sequence(F.lit(0), shortest - 1)).otherwise(F.array().cast("array<int>"))
-    differs = F.transform(places, lambda i: F.exists(sequences, lambda s: F.get(s, i) != F.get(first, i)))
-    at = F.array_position(differs, True)
-    return F.when(at == 0, shortest).otherwise(at - 1).cast("int")
+    """Length of the common prefix of an array of arrays: the least of what the first one shares with each."""
+
+    def shared(first: Column, other: Column) -> Column:
+        # Side by side, in one pass: an element by its place would make the arrays anew at each place.
+        at = F.array_position(F.zip_with(first, other, lambda a, b: a != b), True)
+        return F.when(at == 0, F.least(F.size(first), F.size(other))).otherwise(at - 1).cast("int")
+
+    # Variables of their own, so that the sequences and the first of them are made once.
+    of = lambda all_of: F.transform(F.array(all_of[0]), lambda first: F.array_min(F.transform(all_of, lambda s: shared(first, s))))[0]
+    return F.transform(F.array(sequences), of)[0]
 
 
 def common_suffix(sequences: Column) -> Column:
