@@ -167,3 +167,30 @@ def test_common_prefix_in_one_pass(spark, tmp_path):
     assert got.items() >= dict(con.sql(catalog.oracle_sql()["common_prefix"]).fetchall()).items()
     three = F.array(*(F.array(*map(F.lit, x)) for x in ([1, 2, 3, 4], [1, 2, 3], [1, 2, 5, 4])))
     assert spark.range(1).select(arrays.common_prefix(three)).first()[0] == 2
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_tool_stream_goes_on_with_its_rows(spark, tmp_path, monkeypatch, groups):
+    """Over three batches, with calls and forced tokens across their ends, finished rows that get more, and rows that begin late."""
+    rng, s = random.Random(7), {n: tokens.special_id(n) for n in tokens.SPECIALS}
+    logs = {}
+    for row in range(40):
+        call = [s["<|python_start|>"], *rng.choice([b"1+1", b"", b"x", b"12*12"]), s["<|python_end|>"]]
+        logs[row] = [65] * rng.randrange(4) + call * rng.randrange(3) + [66] * rng.randrange(9) + [s["<|assistant_end|>"]] * rng.randrange(2) + [67, 68]
+    part_of = lambda row, i: min(i // 4, 2) if row % 5 else 2
+    for part in range(3):
+        rows = [(r, i, t) for r, log in logs.items() for i, t in enumerate(log) if part_of(r, i) == part]
+        rng.shuffle(rows)
+        spark.createDataFrame(rows, "row_id long, step long, token int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = streams.shard_stream(spark, str(tmp_path / "in"), "row_id long, step long, token int")
+    monkeypatch.setattr(streams, "collect_stream", lambda *a: pytest.fail("rows on the driver"))
+    got = {}
+    for r in streams.stored_stream(streams.tool_stream(stream, groups=groups)).orderBy("row_id", "step").collect():
+        got.setdefault(r.row_id, []).append((r.token, r["mask"]))
+    for row, log in logs.items():
+        machine, expected = tokens.ToolState(), []
+        for t in log:
+            if machine.done:
+                break
+            expected.append(machine.step(t))
+        assert got[row] == expected

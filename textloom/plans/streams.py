@@ -35,7 +35,7 @@ def stream_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that sample a letter and their end; what comes after isn't taken."""
     end = tokens.special_id("<|assistant_end|>")
     rows = _stream(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.posexplode(F.array(F.lit(65), F.lit(end), F.lit(66))).alias("step", "token"))
-    got = streams.collect_stream(streams.tool_stream(rows.withColumn("step", F.col("step").cast("long"))), f"tools_{uuid.uuid4().hex}")
+    got = streams.stored_stream(streams.tool_stream(rows.withColumn("step", F.col("step").cast("long"))))
     return got.groupBy("row_id").agg(F.count("*").alias("n"))
 
 

@@ -95,24 +95,43 @@ def pack_stream(docs: DataFrame, rank: str, order: str, ids: str, capacity: int,
     return keyed.groupBy("rank").applyInPandasWithState(step, "rank long, row long, tokens array<int>", "held array<array<int>>, rows long", "append", GroupStateTimeout.NoTimeout)
 
 
-def tool_stream(events: DataFrame, size: int = 256) -> DataFrame:
-    """row_id, step, token, mask of a stream of sampled tokens (row_id, step, token): the tool state machine, a state a row."""
+#: Groups of rows that share a state. A row's group never changes, so a stream has to keep the number it began with.
+TOOL_GROUPS = 4096
+
+
+def tool_stream(events: DataFrame, size: int = 256, groups: int = TOOL_GROUPS) -> DataFrame:
+    """row_id, step, token, mask of a stream of sampled tokens (row_id, step, token): the tool state machine of each row.
+
+    Rows share a state by hash, as a call of Python for each row would take most of the time: the finished ones, and
+    the queue and the open call of the others.
+    """
+    bounded_batches(events.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = ToolState(size)
+        finished, machines = set(), {}
         if state.exists:
-            queue, call, calling, done = state.get
-            machine.queue, machine.call, machine.done = list(queue), (list(call) if calling else None), done
-        out = []
-        for s, t in sorted((int(s), int(t)) for b in batches for s, t in zip(b["step"], b["token"], strict=True)):
-            if machine.done:
-                break
-            token, mask = machine.step(t)
-            out.append((key[0], s, token, mask))
-        state.update((machine.queue, machine.call or [], machine.call is not None, machine.done))
+            done, *open_rows = state.get
+            finished.update(done)
+            for row, queue, call, calling in zip(*open_rows, strict=True):
+                m = machines[row] = ToolState(size)
+                m.queue, m.call = list(queue), (list(call) if calling else None)
+        rows, steps, tokens = (np.concatenate(x) for x in zip(*((b["row_id"].to_numpy(), b["step"].to_numpy(), b["token"].to_numpy()) for b in batches), strict=True))
+        order, out = np.lexsort((tokens, steps, rows)), []
+        for row, s, t in zip(rows[order].tolist(), steps[order].tolist(), tokens[order].tolist(), strict=True):
+            if row in finished:
+                continue
+            m = machines.get(row) or machines.setdefault(row, ToolState(size))
+            out.append((row, s, *m.step(t)))
+            if m.done:
+                finished.add(row)
+                del machines[row]
+        of = list(machines.values())
+        state.update((sorted(finished), list(machines), [m.queue for m in of], [m.call or [] for m in of], [m.call is not None for m in of]))
         yield pd.DataFrame(out, columns=["row_id", "step", "token", "mask"])
 
-    return events.groupBy("row_id").applyInPandasWithState(step, "row_id long, step long, token int, mask int", "queue array<int>, call array<int>, calling boolean, done boolean", "append", GroupStateTimeout.NoTimeout)
+    group = F.pmod(F.xxhash64("row_id"), F.lit(groups)).alias("__group")
+    kept = "finished array<long>, rows array<long>, queue array<array<int>>, call array<array<int>>, calling array<boolean>"
+    return events.select("row_id", "step", "token", group).groupBy("__group").applyInPandasWithState(step, "row_id long, step long, token int, mask int", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, time: str = "ts", width: str = "1 hour", late: str = "2 hours") -> DataFrame:
