@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import arrays
+from textloom.functions import arrays, render
 from textloom.operators import tokens
 from textloom.streaming import streams
 
@@ -194,3 +194,30 @@ def test_tool_stream_goes_on_with_its_rows(spark, tmp_path, monkeypatch, groups)
                 break
             expected.append(machine.step(t))
         assert got[row] == expected
+
+
+@pytest.mark.parametrize("name", ["wrapper_probes", "render_occurrence"])
+def test_renderings_are_made_once(spark, sf_dir, name):
+    """The wrapper's verb is drawn at one place of the plan (each more is one more rendering of the row), carriers are split before the join, and rows go to all tasks."""
+    from textloom.plans import catalog
+
+    before = spark.conf.get("spark.sql.maxPlanStringLength"), spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", "10000")
+    try:
+        frame = catalog.queries()[name](spark, sf_dir)
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", before[1])
+    assert plan.count("claimed,argued") == 1
+    assert "RepartitionByExpression" in plan
+    assert name != "render_occurrence" or plan.count("split(translate(") == 1 and plan.index("split(translate(") > plan.index("Join Inner")
+
+
+def test_embedding_around_a_place(spark):
+    """The parts around a place are those of ``embed``, also without sentences or a carrier."""
+    carriers = ["One. Two here. Three.", "Only", "  ", "", None]
+    rows = spark.createDataFrame([(c, k / 4) for c in carriers for k in range(5)], "c string, f double")
+    a = render.around(render.sentences(F.col("c")), F.col("f"))
+    whole = F.coalesce(render.embed(F.col("c"), F.lit("S."), F.col("f")), F.lit("S."))
+    for r in rows.select(F.concat(a["before"], F.lit("S."), a["after"]).alias("x"), whole.alias("y")).collect():
+        assert r.x == r.y

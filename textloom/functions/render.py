@@ -280,10 +280,23 @@ def inserts(forms: Column, key: Column, occ: Column, seed: int, verbatim: bool =
     return F.struct(*(F.concat(lead, v).alias(k) for k, v in made.items()))
 
 
-def documents_of(made: Column, carrier: Column, key: Column, occ: Column, seed: int) -> Column:
-    """The arms' inserts at one place of one carrier; without a carrier the insert is the document."""
-    place = uniform(seed, "embed", key, occ)
-    return F.struct(*(F.when(F.coalesce(carrier, F.lit("")) == "", made[k]).otherwise(embed(carrier, made[k], place)).alias(k) for k in ("neutral", "raw", "attributed", "embedded")))
+def around(found: Column, fraction: Column) -> Column:
+    """{before, after}: what stands on either side of a sentence that ``embed`` puts into a carrier of the sentences ``found``."""
+
+    def cut(x: Column) -> Column:
+        found, k = x["found"], x["k"]
+        before = F.when(k > 0, F.concat(F.array_join(F.slice(found, F.lit(1), k), " "), F.lit(" "))).otherwise("")
+        after = F.when(k < F.size(found), F.concat(F.lit(" "), F.array_join(F.slice(found, k + 1, F.size(found)), " "))).otherwise("")
+        return F.struct(before.alias("before"), after.alias("after"))
+
+    found = F.coalesce(found, F.array().cast("array<string>"))
+    place = F.least(F.greatest((fraction * (F.size(found) + 1)).cast("int"), F.lit(0)), F.size(found))
+    return F.transform(F.array(F.struct(found.alias("found"), place.alias("k"))), cut)[0]  # a variable, so that the place is drawn once
+
+
+def documents_of(made: Column, around: Column) -> Column:
+    """The arms' inserts at one place of one carrier (see ``around``); without a carrier the insert is the document."""
+    return F.struct(*(F.concat(around["before"], made[k], around["after"]).alias(k) for k in ("neutral", "raw", "attributed", "embedded")))
 
 
 def strip_lead(text: Column) -> Column:
