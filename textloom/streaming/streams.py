@@ -45,31 +45,33 @@ def pack_stream(docs: DataFrame, rank: str, order: str, ids: str, capacity: int,
     """Best-fit packed rows of a stream, a state a rank: the buffer of waiting documents and the row being filled.
 
     A row goes out when it is full, which needs a full buffer before each placement; what is in the buffer stays in
-    the state and its checkpoint, so nothing is lost at a restart. All documents of a batch are placed by their
-    lengths; their ids wait in a local file that ends with the task.
+    the state and its checkpoint, so nothing is lost at a restart. All documents of a batch are placed by their whole
+    lengths; their ids wait in a local file that ends with the task. A document that is longer than a row fills one and
+    is cut off there, so no more than its first ``capacity`` ids are ever read: only those are sent (Spark puts all
+    that a rank gets into one buffer of its JVM, 2 GB at most).
     """
     bounded_batches(docs.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = state.get[1] if state.exists else 0
+        held, lengths, rows = state.get if state.exists else ([], [], 0)
         orders, starts, sizes = [], array("q"), array("q")  # a place in the file for each document
         with tempfile.TemporaryFile() as file:
 
-            def keep(x) -> None:
+            def keep(x, length: int) -> None:
                 starts.append(file.tell())
-                sizes.append(len(x))
+                sizes.append(length)
                 file.write(np.asarray(x, np.int32).tobytes())
 
             def read(i: int, n: int) -> np.ndarray:
                 return np.frombuffer(os.pread(file.fileno(), 4 * n, starts[i]), np.int32)
 
-            for x in state.get[0] if state.exists else []:
-                keep(x)
+            for x, n in zip(held, lengths, strict=True):
+                keep(x, n)
             old = len(starts)
             for b in batches:
-                for o, x in zip(b[order].tolist(), b[ids], strict=True):
+                for o, x, n in zip(b["order"].tolist(), b["ids"], b["length"].tolist(), strict=True):
                     orders.append(o)
-                    keep(x)
+                    keep(x, n)
             file.flush()
             arrived = [*range(old), *(old + i for i in sorted(range(len(orders)), key=orders.__getitem__))]
             waiting, left, gone, out = BestFit(capacity, 0, True), len(arrived), bytearray(len(starts)), []
@@ -88,11 +90,13 @@ def pack_stream(docs: DataFrame, rank: str, order: str, ids: str, capacity: int,
                 if len(out) * capacity >= CHUNK:
                     yield pd.DataFrame(out, columns=["rank", "row", "tokens"])
                     out = []
-            state.update(([read(i, sizes[i]).tolist() for i in arrived if not gone[i]], rows))
+            kept = [i for i in arrived if not gone[i]]
+            state.update(([read(i, min(sizes[i], capacity)).tolist() for i in kept], [sizes[i] for i in kept], rows))
         yield pd.DataFrame(out, columns=["rank", "row", "tokens"])
 
-    keyed = docs.select(F.col(rank).cast("long").alias("rank"), order, ids)
-    return keyed.groupBy("rank").applyInPandasWithState(step, "rank long, row long, tokens array<int>", "held array<array<int>>, rows long", "append", GroupStateTimeout.NoTimeout)
+    own = F.coalesce(F.col(ids), F.array().cast("array<int>"))
+    keyed = docs.select(F.col(rank).cast("long").alias("rank"), F.col(order).alias("order"), F.slice(own, 1, capacity).alias("ids"), F.size(own).alias("length"))
+    return keyed.groupBy("rank").applyInPandasWithState(step, "rank long, row long, tokens array<int>", "held array<array<int>>, lengths array<int>, rows long", "append", GroupStateTimeout.NoTimeout)
 
 
 #: Groups of rows that share a state. A row's group never changes, so a stream has to keep the number it began with.
