@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import arrays, render
-from textloom.operators import tokens
+from textloom.operators import facts, tokens
 from textloom.streaming import streams
 
 
@@ -72,6 +72,17 @@ def test_stream_pack_goes_on_with_little_held(spark, tmp_path, monkeypatch):
         assert [r.tokens for r in sorted(got, key=lambda r: r.row) if r["rank"] == rank] == expected
 
 
+def test_stream_pack_sends_what_a_row_can_take(spark, tmp_path, monkeypatch):
+    """Of a document over a row's length the first ids and the length; nulls are empty."""
+    spark.createDataFrame([(0, 1, list(range(50))), (0, 2, None), (0, 3, [7])], "rank long, pos long, ids array<int>").write.parquet(str(tmp_path / "in"))
+    stream, sent = streams.shard_stream(spark, str(tmp_path / "in"), "rank long, pos long, ids array<int>"), []
+    group = type(stream).groupBy
+    monkeypatch.setattr(type(stream), "groupBy", lambda self, *a: sent.append(self) or group(self, *a))
+    packed = streams.pack_stream(stream, "rank", "pos", "ids", 20, 0)
+    assert [r.tokens for r in streams.stored_stream(packed).collect()] == [[7, *range(19)]]
+    assert sorted((r["order"], r.ids, r.length) for r in streams.stored_stream(sent[0]).collect()) == [(1, list(range(20)), 50), (2, [], 0), (3, [7], 1)]
+
+
 def test_stream_pack_stays_off_the_driver(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(streams, "collect_stream", lambda *a: pytest.fail("rows on the driver"))
     from textloom.plans import catalog
@@ -221,3 +232,9 @@ def test_embedding_around_a_place(spark):
     whole = F.coalesce(render.embed(F.col("c"), F.lit("S."), F.col("f")), F.lit("S."))
     for r in rows.select(F.concat(a["before"], F.lit("S."), a["after"]).alias("x"), whole.alias("y")).collect():
         assert r.x == r.y
+
+
+def test_external_ids_are_whole(spark):
+    """Places of over five digits keep them all, so that no two facts share an id."""
+    ids = [r.fact_id for r in facts.external_ids(spark.range(99_998, 100_012), "id").collect()]
+    assert ids[0] == "external_99998" and ids[2] == "external_100000" and len(set(ids)) == 14
